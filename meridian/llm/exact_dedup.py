@@ -71,4 +71,4 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows, all their columns unchanged, that ``deduplicate`` keeps; of rows that share the kept id, one (the
     join has already brought them together, so that takes no further shuffle)."""
     kept = deduplicate(docs, index).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])

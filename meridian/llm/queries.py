@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, sharding, toxicity
+from . import ann, exact_dedup, langid, near_dedup, sharding, toxicity
 from .common import small_batches
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _read(spark, sf_dir, "documents")
@@ -34,8 +39,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_read(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.Forest(words=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op6_toxicity, op7_rendezvous, op8_exact_dedup)
+    f.__name__: f for f in (op1_vantage_point, op3_language_id, op6_toxicity, op7_rendezvous, op8_exact_dedup, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {
