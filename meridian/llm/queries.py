@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, langid, near_dedup, sharding, toxicity
+from . import ann, exact_dedup, langid, near_dedup, packing, sharding, toxicity
 from .common import small_batches
 
 
@@ -39,13 +39,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_read(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(_read(spark, sf_dir, "documents"), packing.Packing.public())
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.Forest(words=4))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vantage_point, op3_language_id, op6_toxicity, op7_rendezvous, op8_exact_dedup, op10_lsh_forest)
+    f.__name__: f for f in (op1_vantage_point, op3_language_id, op6_toxicity, op7_rendezvous, op8_exact_dedup, op9_lexical_packing, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {
