@@ -116,7 +116,7 @@ def noisy_or_fit(doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, n_featu
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 4096, bits: int = BITS, sizes=SIZES) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 1024, bits: int = BITS, sizes=SIZES) -> ToxicityModel:
     """Fit on a sample of at most ``max_docs`` labelled documents outside fold 0, half of it toxic ones if there are
     so many, drawn by a hash of doc_id; weights restore the classes' shares. Of repeated labels the highest counts,
     null labels none. Without both classes the model answers with the share of toxic labels."""
@@ -145,22 +145,25 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
         df = np.zeros((2, width), dtype=np.int32)
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                seen = [np.unique(at) for _, _, at in _features([text], bits, sizes)]
-                if seen:
-                    df[y, np.unique(np.concatenate(seen))] += 1
+                seen = [at for _, _, at in _features([text], bits, sizes)]
+                df[y, np.unique(np.concatenate(seen))] += 1
         at = np.flatnonzero(df.any(axis=0))
         yield pd.DataFrame({"b": at.astype("int32"), "n0": df[0, at].astype("int64"), "n1": df[1, at].astype("int64")})
 
     counts = sample.mapInPandas(frequency, "b int, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = lambda c, k: F.log((F.col(c) + 0.5) / (drawn[k] - F.col(c) + 0.5))
-    gain = (odds("n1", 1) - odds("n0", 0)) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counts.filter("n0 + n1 >= 3").select("b", F.abs(gain).alias("g")).orderBy(F.desc("g"), "b").limit(max_features).toPandas()
+    # Evidence for toxicity: twice the odds at least, and by more than two standard errors.
+    gap = odds("n1", 1) - odds("n0", 0)
+    gain = gap / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    best = counts.filter("n1 >= 2").select("b", gap.alias("gap"), gain.alias("g")).filter("gap >= 0.7 and g >= 2")
+    best = best.orderBy(F.desc("g"), "b").limit(max_features).select("b").toPandas()
     bucket = np.sort(best["b"].to_numpy(dtype=np.int64))
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot = np.full(width + 1, -1, dtype=np.int32)
         slot[bucket] = np.arange(len(bucket))
         for pdf in batches:
+            rows = []
             for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"], strict=True):
                 sents, hits, last = [], [], 0
                 for _, s, at in _features([text], bits, sizes):
@@ -171,11 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
                 s = np.concatenate(sents) if sents else np.zeros(0, np.int64)
                 f = np.concatenate(hits) if hits else np.zeros(0, np.int32)
                 order = np.argsort(s, kind="stable")
-                yield pd.DataFrame({"doc_id": [doc_id], "y": [y], "n": [last + 1], "s": [s[order].astype("<i4").tobytes()], "f": [f[order].astype("<i4").tobytes()]})
+                rows.append((doc_id, y, last + 1, s[order].astype("<i4").tobytes(), f[order].astype("<i4").tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "n", "s", "f"])
 
     fit = sample.mapInPandas(bags, "doc_id long, y int, n int, s binary, f binary").orderBy("doc_id").toPandas()
     base = np.concatenate(([0], np.cumsum(fit["n"])))
-    sent = np.concatenate([np.frombuffer(s, "<i4") + base[k] for k, s in enumerate(fit["s"])])
+    sent = np.concatenate([np.frombuffer(s, "<i4") + np.int32(base[k]) for k, s in enumerate(fit["s"])])
     feature = np.concatenate([np.frombuffer(f, "<i4") for f in fit["f"]])
     owner = np.repeat(np.arange(len(fit)), fit["n"])
     y = fit["y"].to_numpy()
