@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, langid, near_dedup, packing, sharding, toxicity
+from . import ann, exact_dedup, langid, near_dedup, packing, sentencepiece_lattice, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 
@@ -19,12 +19,29 @@ def op1_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = warc.archive_pages(_read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark, 2000)
+    return sentencepiece_lattice.encode_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = _read(spark, sf_dir, "documents")
@@ -50,10 +67,18 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vantage_point, op3_language_id, op6_toxicity, op7_rendezvous, op8_exact_dedup, op9_lexical_packing, op10_lsh_forest)
+    f.__name__: f for f in (op1_vantage_point, op2_warc, op3_language_id, op4_url_filter, op5_sentencepiece, op6_toxicity, op7_rendezvous, op8_exact_dedup, op9_lexical_packing, op10_lsh_forest)
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f""",
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp,
