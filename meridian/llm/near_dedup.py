@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import likely_in, materialize
 from .components import UnionFind, connected_components
 
 
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     members = members.join(per, "component").select("rep", "cls", "component", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
     members = materialize(members, "members")
 
-    texts = docs.select(F.col("doc_id").alias("__id"), "text").join(members, F.col("__id") == F.col("rep")).select("component", "block", "rep", "cls", "text")
+    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", members, "rep").join(members, F.col("__id") == F.col("rep")).select("component", "block", "rep", "cls", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = texts.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "rep")
     groups = materialize(together.mapInPandas(_verify_blocks(f), "rep long, grp long"), "groups")
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
 def _join_blocks(docs: DataFrame, pairs: DataFrame, cut: DataFrame, groups: DataFrame, f: Forest) -> DataFrame:
     """``groups`` with the groups of cut components merged over confirmed candidate pairs between them."""
     reps = cut.select("rep", "cls")
-    texts = docs.select(F.col("doc_id").alias("__id"), "text").join(reps, F.col("__id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "text")
+    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", reps, "rep").join(reps, F.col("__id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "text")
     texts = materialize(texts, "cut-texts")
     open_pairs = pairs.join(cut.select(F.col("rep").alias("a")), "a").join(cut.select(F.col("rep").alias("b")), "b").select("a", "b")
     for only_one in (True, False):
