@@ -32,6 +32,7 @@ def sentence_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
     end = (b.codes < 128) & _ENDS[np.minimum(b.codes, 127)]
     first = np.zeros(len(b.codes), dtype=bool)
     first[1:] = end[:-1] & ~end[1:]
+    first[b.starts + b.size - 1] = False  # the space after a text is no sentence
     first[b.starts] = True
     return np.cumsum(first) - 1, np.flatnonzero(first)
 
