@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score over hashed character n-grams, a document's
-score is their noisy-or, 1 - prod(1 - p), and the weights are fitted so that document scores meet document labels;
-the sentence scores then locate what offends. Features are chosen on the executors by how differently toxic and
+A document is a bag of sentences. Each sentence has a logistic score over the hashed character n-grams it holds (each
+counted once), a document's score is a noisy-or, 1 - (1 - p0) prod(1 - p), over the sentences that hold any of the
+model's n-grams and one empty sentence, so that neither length nor repetition alone speaks against a document. The
+weights are fitted so that document scores meet document labels; the sentence scores then locate what offends. Features are chosen on the executors by how differently toxic and
 other documents of the training sample hold them, so that the driver fits a model of bounded size."""
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ def sentence_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(first) - 1, np.flatnonzero(first)
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 @dataclass
 class ToxicityModel:
     bucket: np.ndarray
@@ -46,33 +51,40 @@ class ToxicityModel:
     sizes: tuple[int, ...] = SIZES
 
     def dense(self) -> np.ndarray:
-        w = np.zeros((1 << self.bits) + 1, dtype=np.float32)
+        w = np.zeros((1 << self.bits) + 1)
         w[self.bucket] = self.weight
         return w
 
-    def sentences(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of every sentence: text, start and end in that text's characters, probability; block by block."""
-        w = self._w = getattr(self, "_w", None) if getattr(self, "_w", None) is not None else self.dense()
+    def sentences(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of every sentence: text, start and end in that text's characters, probability, and whether it holds any of the
+        model's n-grams; block by block."""
+        if getattr(self, "_w", None) is None:
+            self._w = self.dense()
+            self._used = self._w != 0
         for b in blocks(texts, max(self.sizes)):
-            hit = w[b.buckets(self.sizes[0], self.bits)]
-            for n in self.sizes[1:]:
-                hit += w[b.buckets(n, self.bits)]
             sent, first = sentence_of(b)
-            z = np.bincount(sent, weights=hit, minlength=len(first)) + self.bias
+            pairs = []
+            for n in self.sizes:
+                at = b.buckets(n, self.bits)
+                hit = np.flatnonzero(self._used[at])
+                pairs.append((sent[hit] << self.bits) + at[hit])
+            pair = np.unique(np.concatenate(pairs))
+            own = pair >> self.bits
+            z = np.bincount(own, weights=self._w[pair & ((1 << self.bits) - 1)], minlength=len(first)) + self.bias
             part = np.searchsorted(b.starts, first, side="right") - 1
             shift = b.at[part] - b.starts[part] - 1  # one for the space before the text
             stop = np.append(first[1:], len(b.codes))
             stop = np.minimum(stop, b.starts[part] + b.own[part])
-            yield b.docs[part], first + shift, stop + shift, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            yield b.docs[part], first + shift, stop + shift, _sigmoid(z), np.bincount(own, minlength=len(first)) > 0
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """Noisy-or over the sentences of each text; a null or empty text has one empty sentence."""
+        """Noisy-or for each text; a null or empty one has the empty sentence only."""
         texts = [t if isinstance(t, str) else "" for t in texts]
         n = len(texts)
-        log_clean, count = np.zeros(n), np.zeros(n, dtype=np.int32)
+        log_clean, count = np.full(n, np.log1p(-_sigmoid(np.float64(self.bias)))), np.zeros(n, dtype=np.int32)
         top, start, end = np.full(n, -1.0), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-        for doc, a, z, p in self.sentences(texts):
-            log_clean += np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+        for doc, a, z, p, holds in self.sentences(texts):
+            log_clean += np.bincount(doc[holds], weights=np.log1p(-np.minimum(p[holds], 1 - 1e-12)), minlength=n)
             count += np.bincount(doc, minlength=n).astype(np.int32)
             best = np.lexsort((a, -p, doc))
             best = best[np.unique(doc[best], return_index=True)[1]]
@@ -166,16 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
         for pdf in batches:
             rows = []
             for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"], strict=True):
-                sents, hits, last = [], [], 0
+                pairs = []
                 for _, s, at in _features([text], bits, sizes):
-                    last = max(last, int(s[-1]) if len(s) else 0)
                     f = slot[at]
-                    sents.append(s[f >= 0])
-                    hits.append(f[f >= 0])
-                s = np.concatenate(sents) if sents else np.zeros(0, np.int64)
-                f = np.concatenate(hits) if hits else np.zeros(0, np.int32)
-                order = np.argsort(s, kind="stable")
-                rows.append((doc_id, y, last + 1, s[order].astype("<i4").tobytes(), f[order].astype("<i4").tobytes()))
+                    pairs.append((s[f >= 0] << bits) + f[f >= 0])
+                pair = np.unique(np.concatenate(pairs))
+                # Sentences that hold features are numbered from 1; 0 is the empty one.
+                s = np.unique(pair >> bits, return_inverse=True)[1] + 1
+                rows.append((doc_id, y, int(s.max(initial=0)) + 1, s.astype("<i4").tobytes(), (pair & (width - 1)).astype("<i4").tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "y", "n", "s", "f"])
 
     fit = sample.mapInPandas(bags, "doc_id long, y int, n int, s binary, f binary").orderBy("doc_id").toPandas()
@@ -214,7 +224,7 @@ def locate(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Dat
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for doc, a, z, p in shared.value.sentences(texts):
+            for doc, a, z, p, _ in shared.value.sentences(texts):
                 at = np.flatnonzero(p >= threshold)
                 found = [(ids[doc[k]], max(int(a[k]), 0), min(int(z[k]), len(texts[doc[k]])), float(p[k])) for k in at]
                 yield pd.DataFrame([(*x, texts[doc[k]][x[1] : x[2]]) for k, x in zip(at, found, strict=True)], columns=["doc_id", "start", "end", "score", "sentence"])

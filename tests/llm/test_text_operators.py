@@ -119,8 +119,11 @@ def test_toxicity_scores_and_locates(spark):
     hard = toxicity.detect(docs(spark, HARD), model).collect()
     assert len(hard) == len(HARD) and all(0 <= r["score"] < 0.5 for r in hard)
     # Noisy-or over sentences, by hand.
-    doc, a, z, p = next(iter(model.sentences([rows[0][1]])))
-    assert out[0]["score"] == pytest.approx(1 - np.prod(1 - p), abs=1e-6)
+    doc, a, z, p, holds = next(iter(model.sentences([rows[0][1]])))
+    empty = 1 / (1 + np.exp(-model.bias))
+    assert out[0]["score"] == pytest.approx(1 - (1 - empty) * np.prod(1 - p[holds]), abs=1e-9)
+    again = model.predict([rows[1][1], rows[1][1] + " " + rows[1][1] * 50])["score"]
+    assert again[1] < 0.5
 
 
 def test_toxicity_without_labels(spark):
