@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +26,35 @@ _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 SPECIAL = "<|endoftext|>"
 
 
+class _Unsafe(Exception):
+    """A text with blanks next to each other."""
+
+
+class _Spaced(dict):
+    """Ids of parts that follow one space; parts that are empty or have a blank at either end are no parts of that kind."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Unsafe
+        out = self.encode(" " + part)
+        if len(self) < self.limit:
+            self[part] = out
+        return out
+
+
 class Encoder(dict):
     """A text's ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pattern never matches over the border between a character that is no white space and one that
-    is, so a text may be cut there and the parts encoded apart. Parts met early are kept, up to a bound; the others
-    are encoded by a library that reads the same vocabulary as ranks. A text that spells the special token goes to the
-    tokenizer whole."""
+    is, so a text may be cut there and the parts encoded apart: at single spaces where there are no other blanks around
+    them, else by a pattern. Parts met early are kept, up to a bound; the others are encoded by a library that reads the
+    same vocabulary as ranks. A text that spells the special token goes to the tokenizer whole."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         super().__init__()
@@ -40,11 +62,18 @@ class Encoder(dict):
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.json_path, self._whole = json_path, None
+        self.spaced = _Spaced(self.part, self.LIMIT)
+
+    def part(self, part: str) -> bytes:
+        out = array("I", self.ranks(part))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        out = np.array(self.encode(part), dtype="<u4").tobytes()
+        out = self.part(part)
         if len(self) < self.LIMIT:
             self[part] = out
         return out
@@ -56,11 +85,21 @@ class Encoder(dict):
             self._whole = Tokenizer.from_file(self.json_path)
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    @staticmethod
+    def _unsafe() -> bytes:
+        raise _Unsafe
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if SPECIAL in text:
             return self.whole(text)
+        if not (text[0].isspace() or text[-1].isspace()):
+            first, *parts = text.split(" ")
+            try:
+                return (self[first] if first and not first[-1].isspace() else self._unsafe()) + b"".join(map(self.spaced.__getitem__, parts))
+            except _Unsafe:
+                pass
         return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
 
 
@@ -95,6 +134,15 @@ class Packing:
 TOKENIZED = "doc_id long, tokens long, full array<long>, tail int, tail_crc long, bag binary"
 
 
+def _bag(raw: bytes) -> bytes:
+    """Distinct ids, then their counts."""
+    ids = np.frombuffer(raw, "<u4")
+    # 16-bit numbers are sorted by their digits.
+    ids = np.sort(ids.astype(np.uint16), kind="stable") if ids.max(initial=0) < 1 << 16 else np.sort(ids)
+    at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return np.concatenate((ids[at], np.diff(np.append(at, len(ids))))).astype("<u4").tobytes()
+
+
 def tokenize(docs: DataFrame, p: Packing) -> DataFrame:
     """TOKENIZED of each row: its number of ids with the end id, crc32 of each full window, length and crc32 of the
     tail, and the bag: distinct ids and their counts, one array of 32-bit integers after the other."""
@@ -107,9 +155,7 @@ def tokenize(docs: DataFrame, p: Packing) -> DataFrame:
             for text in batch.column(1):
                 raw = enc.ids(text.as_py()) + end
                 cut = len(raw) // step * step
-                ids, n = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-                bag = np.concatenate((ids.astype("<u4"), n.astype("<u4"))).tobytes()
-                for to, x in zip(rows, (len(raw) // 4, [zlib.crc32(raw[k : k + step]) for k in range(0, cut, step)], (len(raw) - cut) // 4, zlib.crc32(raw[cut:]), bag), strict=True):
+                for to, x in zip(rows, (len(raw) // 4, [zlib.crc32(raw[k : k + step]) for k in range(0, cut, step)], (len(raw) - cut) // 4, zlib.crc32(raw[cut:]), _bag(raw)), strict=True):
                     to.append(x)
             types = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, types, strict=True))], ["doc_id", "tokens", "full", "tail", "tail_crc", "bag"])
@@ -188,12 +234,15 @@ def pack_shard(tails: np.ndarray, index: InvertedIndex, window: int) -> tuple[np
             used += int(tails[k])
 
         put(k)
-        found, score = index.neighbours(k)
-        while used < window and len(found):
+        if used < window:
+            found, score = index.neighbours(k)
             fits = free[found] & (tails[found] <= window - used)
             found, score = found[fits], score[fits]
-            if len(found):
-                put(int(found[np.lexsort((found, -score))[0]] if len(found) < 64 else found[np.argmax(score)]))
+            for j in found[np.lexsort((found, -score))].tolist():
+                if tails[j] <= window - used:
+                    put(j)
+                    if used == window:
+                        break
         while used < window and (k := longest(window - used)) >= 0:
             put(k)
         number += 1
