@@ -58,3 +58,10 @@ def likely_in(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int =
     words = ids.select(slot(id_col).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__h & 63 as int))")).alias("__m"))
     marked = df.withColumn("__h", slot(key)).join(F.broadcast(words), F.shiftright("__h", 6) == F.col("__w"))
     return marked.filter("shiftright(__m, cast(__h & 63 as int)) & 1 = 1").drop("__h", "__w", "__m")
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows, all their columns unchanged, whose doc_id is in ``ids``; of fully repeated ones, one. Rows are shuffled
+    by doc_id once: the join brings repeated rows together."""
+    wanted = ids.select("doc_id").filter("doc_id is not null").distinct()
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

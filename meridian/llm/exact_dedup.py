@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import keep_ids, materialize, scratch_path
 
 #: Fixed by the contract: the characters that do not count, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -68,7 +68,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows, all their columns unchanged, that ``deduplicate`` keeps; of rows that share the kept id, one (the
-    join has already brought them together, so that takes no further shuffle)."""
-    kept = deduplicate(docs, index).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows, all their columns unchanged, that ``deduplicate`` keeps; of repeated rows one. Rows without id are told
+    apart by their text."""
+    kept = materialize(deduplicate(docs, index).filter("kept").select("doc_id", "text_sha256"), "kept")
+    nameless = kept.filter("doc_id is null").select(F.col("text_sha256").alias("__d")).distinct()
+    rest = docs.filter("doc_id is null").join(nameless, F.sha2(normalized(F.col("text")), 256) == F.col("__d"), "left_semi")
+    return keep_ids(docs, kept).unionByName(rest.dropDuplicates(["text"]))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, materialize
+from .common import keep_ids, likely_in, materialize
 from .components import UnionFind, connected_components
 
 
@@ -318,6 +318,6 @@ def _join_blocks(docs: DataFrame, pairs: DataFrame, cut: DataFrame, groups: Data
 
 
 def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """The rows, all their columns unchanged, that ``near_duplicates`` keeps; of repeated rows one."""
-    kept = near_duplicates(docs, f).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows, all their columns unchanged, that ``near_duplicates`` keeps; of repeated rows one. Rows without id stay."""
+    kept = near_duplicates(docs, f).filter("kept")
+    return keep_ids(docs, kept).unionByName(docs.filter("doc_id is null"))
