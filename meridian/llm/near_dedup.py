@@ -11,7 +11,9 @@
    brought together block by block, a block holding one component or a bounded part of a large one. In a block, all
    pairs with like signatures are confirmed on full sets, but for pairs that are linked already.
 4. Where a component was cut into blocks, candidate pairs between blocks that are not linked yet are confirmed by a
-   join of pairs with texts, first one for each pair of found groups, then all that are left."""
+   join of pairs with texts, first one for each pair of found groups, then all that are left. Then every two blocks of
+   a component that is not one group yet are compared, all pairs with like signatures that are not linked, so a
+   component is compared in full whatever its size; one task holds one block and streams the other."""
 
 from __future__ import annotations
 
@@ -245,6 +247,61 @@ def _verify_blocks(f: Forest):
     return run
 
 
+class _Block:
+    """One side of a comparison of two blocks."""
+
+    def __init__(self, sets: list[np.ndarray], groups: list[int], f: Forest, a: np.ndarray, b: np.ndarray):
+        self.sets, self.groups, self.f, self.a, self.b = sets, np.array(groups), f, a, b
+        self.sigs = np.stack([signature(s, a, b) for s in sets])
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.cumsum(self.size) - self.size
+        self.values, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.values), dtype=bool)
+
+    def similar_to(self, s: np.ndarray, group: int) -> np.ndarray:
+        """Groups, but for ``group``, of the sets that are similar to ``s``: filtered as in _link, then on full sets."""
+        like = (self.sigs == signature(s, self.a, self.b)).mean(axis=1)
+        lo, hi = np.minimum(self.size, len(s)), np.maximum(self.size, len(s))
+        at = np.flatnonzero((self.groups != group) & (like >= self.f.percent / 100 - 0.3) & (100 * lo >= self.f.percent * hi))
+        if len(at) <= 16:
+            return np.unique(self.groups[[k for k in at.tolist() if similar(self.sets[k], s, self.f.percent)]])
+        known = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        known = known[self.values[known] == s]
+        self.mark[known] = True
+        both = np.add.reduceat(self.mark[self.at], self.start, dtype=np.int64)[at]
+        self.mark[known] = False
+        return np.unique(self.groups[at[100 * both >= self.f.percent * (self.size[at] + len(s) - both)]])
+
+
+def _between_blocks(f: Forest):
+    """Links (ga, gb) of groups over similar pairs, one of the block ``lo`` and one of ``hi``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = _coefficients(f)
+        key, sets, groups, held = None, [], [], None
+        for pdf in batches:
+            links = []
+            for comp, lo, hi, block, cls, grp, text in zip(*(pdf[c].tolist() for c in ("component", "lo", "hi", "block", "cls", "grp", "text")), strict=True):
+                if (comp, lo, hi) != key:
+                    key, sets, groups, held, linked = (comp, lo, hi), [], [], None, UnionFind()
+                s = shingles(text, f.words)
+                if xxhash.xxh3_128_hexdigest(s.tobytes()) != cls:
+                    continue
+                if block == lo:
+                    sets.append(s)
+                    groups.append(grp)
+                elif sets:
+                    held = held or _Block(sets, groups, f, a, b)
+                    for g in held.similar_to(s, linked.find(grp)).tolist():
+                        if linked.find(g) != linked.find(grp):
+                            linked.union(g, grp)
+                            links.append((g, grp))
+                            held.groups = np.array([linked.find(x) for x in held.groups.tolist()])
+            yield pd.DataFrame(links, columns=["ga", "gb"], dtype="int64")
+
+    return run
+
+
 def _verify_pairs(pairs: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
     """The pairs (a, b) whose texts' full sets are similar."""
 
@@ -314,7 +371,22 @@ def _join_blocks(docs: DataFrame, pairs: DataFrame, cut: DataFrame, groups: Data
         merged = connected_components(linked, "ga", "gb")
         groups = groups.join(merged, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
         groups = materialize(groups, "groups")
-    return groups
+    return _compare_blocks(docs, cut, groups, f)
+
+
+def _compare_blocks(docs: DataFrame, cut: DataFrame, groups: DataFrame, f: Forest) -> DataFrame:
+    """``groups`` merged over all similar pairs between the blocks of cut components."""
+    rows = cut.join(groups, "rep")
+    apart = rows.groupBy("component").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).filter("g <> h").select("component")
+    rows = rows.join(apart, "component")
+    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", rows, "rep").join(rows, F.col("__id") == F.col("rep"))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+    tasks = texts.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cls", "grp", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = tasks.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "block", "rep")
+    merged = connected_components(together.mapInPandas(_between_blocks(f), "ga long, gb long"), "ga", "gb")
+    groups = groups.join(merged, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
+    return materialize(groups, "groups")
 
 
 def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:

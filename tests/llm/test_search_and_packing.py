@@ -264,6 +264,27 @@ def test_near_dedup_against_brute_force(spark, sf, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_near_dedup_finds_pairs_hidden_in_a_large_like_group(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+
+    def change(w, n):
+        w = list(w)
+        for j in rng.choice(200, n, replace=False):
+            w[j] = f"z{rng.integers(10**9)}"
+        return w
+
+    variants = [change(base, 5) for _ in range(200)]  # similar by about 0.66, so not linked
+    partners = [change(w, 5) for w in variants[:40]]  # by about 0.82 to their variant
+    rows = [(k, " ".join(w)) for k, w in enumerate(variants + partners)]
+    want = brute_near(rows, 4, 80)
+    assert len({c for _, c in want.values()}) > 190
+    # Few and shallow orders with one partner each: candidates chain all into one component, but miss pairs.
+    f = near_dedup.Forest(words=4, trees=4, min_depth=1, window=1, block_classes=3)
+    out = near_dedup.near_duplicates(docs(spark, rows), f).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
 def test_near_dedup_of_hard_texts(spark):
     f = near_dedup.Forest()
     out = near_dedup.near_duplicates(docs(spark, HARD).withColumns({"cls": F.lit(1), "rep": F.lit(2)}), f).collect()
