@@ -102,9 +102,31 @@ def _agree(est: np.ndarray, least: float = 0.2, factor: float = 3.0) -> tuple[fl
 SHIFTS = "cube_id string, time timestamp_ntz, shift_row double, shift_col double, inliers int, windows int, kept boolean"
 
 
-def estimate_shifts(pixels: DataFrame, band: str, size: int = 64, windows: int = 9, keep: int | str = "auto", first_days: int = 3) -> DataFrame:
-    """Shift of every scene against the median of a cube's first scenes: SHIFTS. The chain is sequential, so a cube
-    is one group; cubes are tiles of bounded size and run side by side."""
+def _anchor(cube: np.ndarray, times: np.ndarray, cloud: list[float | None]) -> int:
+    """Of scenes with at most 10 % cloud and under 20 % missing (all, if none is so), preferably of the middle half of the
+    time range, the one of the highest median gradient."""
+    grad = [np.hypot(*np.gradient(s)) for s in cube]
+    texture = [float(np.median(g[np.isfinite(g)])) if np.isfinite(g).any() else 0.0 for g in grad]
+    every = range(len(times))
+    good = [k for k in every if (cloud[k] is None or cloud[k] <= 10) and not np.isfinite(grad[k]).mean() <= 0.8] or list(every)
+    quarter = (times[-1] - times[0]) / 4
+    good = [k for k in good if times[0] + quarter <= times[k] <= times[-1] - quarter] or good
+    return max(good, key=lambda k: texture[k])
+
+
+def estimate_shifts(
+    pixels: DataFrame, band: str, size: int = 64, windows: int = 9, keep: int | str = "auto", composite_days: int = 30, mode: str = "composite", anchor=None, update_ref: int | str = "auto", max_cloud_update_ref: float | None = None, cloud: str | None = None
+) -> DataFrame:
+    """Shift of every scene of a cube: SHIFTS. The chain is sequential, so a cube is one group; cubes are tiles of bounded
+    size and run side by side.
+
+    A scene is matched against the running reference and its shift added to the reference's. It becomes the reference
+    when ``update_ref`` windows agree (``auto``: 16 %, at least 3) and its ``cloud`` column is at most
+    ``max_cloud_update_ref``, or missing. ``composite`` starts from the median of the first ``composite_days`` days;
+    ``anchor`` from one scene (its time, or the best one), forward and then backward. One pass over all windows: there is
+    no second pass over moved scenes, and no coarse set of windows that is tried first."""
+    if mode not in ("composite", "anchor"):
+        raise ValueError("mode must be composite or anchor")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
@@ -112,30 +134,48 @@ def estimate_shifts(pixels: DataFrame, band: str, size: int = 64, windows: int =
         at = {t: k for k, t in enumerate(times)}
         cube = np.full((len(times), h, w), np.nan)
         cube[pdf["time"].map(at), pdf["row"], pdf["col"]] = pdf[band].to_numpy(dtype=float)
-        import warnings
-
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ref = np.nanmedian(cube[:first_days], axis=0)
-        rows = []
-        for k, t in enumerate(times):
-            clear = ~np.isnan(ref) & ~np.isnan(cube[k])
-            places = window_positions(clear, min(size, h, w), windows, stride=max(8, size // 4), apart=max(8, size // 2))
-            est = []
-            for r, c in places:
-                s = (slice(r, r + size), slice(c, c + size))
-                a, b = np.nan_to_num(ref[s], nan=float(np.nanmean(ref[s]))), np.nan_to_num(cube[k][s], nan=float(np.nanmean(cube[k][s])))
-                dy, dx, rel = phase_shift(a, b)
-                est.append((dx, dy, rel))
-            if est:
+        cover: list[float | None] = [None] * len(times)
+        if cloud:
+            cover = [None if pd.isna(v) else float(v) for v in pdf.groupby("time")[cloud].max().reindex(times)]
+        name, rows = pdf["cube_id"].iloc[0], {}
+        if mode == "composite":
+            import warnings
+
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                start = np.nanmedian(cube[times <= times[0] + np.timedelta64(composite_days, "D")], axis=0)
+            start[start == 0] = np.nan
+            legs = [range(len(times))]
+        else:
+            first = _anchor(cube, times, cover) if anchor is None else at.get(pd.Timestamp(anchor).to_datetime64().astype(times.dtype))
+            if first is None:
+                raise ValueError(f"no scene at {anchor} in cube {name}")
+            start = cube[first]
+            rows[first] = (name, times[first], 0.0, 0.0, 0, 0, True)
+            legs = [range(first + 1, len(times)), range(first - 1, -1, -1)]
+        for leg in legs:
+            ref, sum_y, sum_x = start, 0.0, 0.0
+            for k in leg:
+                places = window_positions(~np.isnan(ref) & ~np.isnan(cube[k]), min(size, h, w), windows, stride=max(8, size // 4), apart=max(8, size // 2))
+                est = []
+                for r, c in places:
+                    s = (slice(r, r + size), slice(c, c + size))
+                    a, b = np.nan_to_num(ref[s], nan=float(np.nanmean(ref[s]))), np.nan_to_num(cube[k][s], nan=float(np.nanmean(cube[k][s])))
+                    dy, dx, rel = phase_shift(a, b)
+                    est.append((dx, dy, rel))
+                if not est:
+                    rows[k] = (name, times[k], None, None, 0, 0, False)
+                    continue
                 x, y, n = _agree(np.array(est))
+                x, y = sum_x + x, sum_y + y
                 ok = n >= (inlier_threshold(keep, len(est), 0.06, 1) if keep == "auto" else keep)
-                rows.append((pdf["cube_id"].iloc[0], t, y, x, n, len(est), bool(ok)))
-            else:
-                rows.append((pdf["cube_id"].iloc[0], t, None, None, 0, 0, False))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SHIFTS.split(", ")])
+                rows[k] = (name, times[k], y, x, n, len(est), bool(ok))
+                clear = max_cloud_update_ref is None or cover[k] is None or cover[k] <= max_cloud_update_ref
+                if ok and clear and n >= inlier_threshold(update_ref, len(est), 0.16):
+                    ref, sum_y, sum_x = cube[k], y, x
+        return pd.DataFrame([rows[k] for k in sorted(rows)], columns=[c.split()[0] for c in SHIFTS.split(", ")])
 
-    return pixels.select("cube_id", "time", "row", "col", band).groupBy("cube_id").applyInPandas(run, SHIFTS)
+    return pixels.select("cube_id", "time", "row", "col", band, *([cloud] if cloud else [])).groupBy("cube_id").applyInPandas(run, SHIFTS)
 
 
 def coregister(pixels: DataFrame, bands: Sequence[str], match_band: str, **how) -> tuple[DataFrame, DataFrame]:

@@ -197,6 +197,25 @@ def test_coregistration_undoes_shifts(spark):
     assert out.select("time").distinct().count() == 4
 
 
+@pytest.mark.parametrize("mode", ["composite", "anchor"])
+def test_shifts_are_chained(spark, mode):
+    rng = np.random.default_rng(6)
+    a, b = rng.random((64, 64)), rng.random((64, 64))
+    half = (a + b) / 2
+    # From the first scene to the last the ground changes altogether; only neighbours look alike.
+    scenes = [(a, (0, 0)), (half, (2, -1)), (b, (4, 1))]
+    days = ["2024-01-01", "2024-03-01", "2024-05-01"]
+    rows = [("c", t, r, c, float(np.roll(x, s, (0, 1))[r, c])) for t, (x, s) in zip(days, scenes, strict=True) for r in range(64) for c in range(64)]
+    d = spark.createDataFrame(rows, "cube_id string, time string, row int, col int, red double").withColumn("time", F.to_timestamp_ntz("time")).withColumn("cc", F.lit(50.0))
+    how = {"mode": mode, **({"anchor": days[2]} if mode == "anchor" else {})}
+    got = [(r["shift_row"], r["shift_col"]) for r in coregistration.estimate_shifts(d, "red", size=32, **how).orderBy("time").collect()]
+    start = scenes[2][1] if mode == "anchor" else (0, 0)
+    assert np.allclose(got, np.array([s for _, s in scenes]) - start, atol=0.4)
+    fixed = coregistration.estimate_shifts(d, "red", size=32, cloud="cc", max_cloud_update_ref=10.0, **how).orderBy("time").collect()
+    far = fixed[0 if mode == "anchor" else 2]
+    assert not np.allclose((far["shift_row"], far["shift_col"]), np.array(scenes[0 if mode == "anchor" else 2][1]) - start, atol=0.4)
+
+
 def test_patches_and_upsampling():
     assert resample.patch_positions(100) == [0] and resample.patch_positions(400)[-1] == 272
     a = np.arange(200 * 180, dtype=float).reshape(1, 200, 180)
