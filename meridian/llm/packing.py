@@ -2,7 +2,8 @@
 
 One pass over the texts tokenizes each document and cuts it at every full window; full windows are sequences of their
 own, and what remains is the document's tail. Only lengths, checksums and each document's bag of distinct tokens move
-on. Documents are dealt to shards of bounded size by a hash of their id. A shard has a BM25 inverted index over its
+on. Documents are dealt to shards of bounded size by their words: a tree fitted on a sample
+of sketches of the bags puts like documents together, and what is too many for a shard is dealt on by a hash. A shard has a BM25 inverted index over its
 documents' bags; the longest tail left is the seed of a sequence, the index returns its unused neighbours, best first,
 and those that fit fill the window. What no neighbour fills is filled by the longest tail that fits."""
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, unit_hash
+
 #: White space as the vocabulary's pattern has it, which is Python's but for \\x1c-\\x1f.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 SPECIAL = "<|endoftext|>"
@@ -163,6 +166,112 @@ def tokenize(docs: DataFrame, p: Packing) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENIZED)
 
 
+_SKETCH_TERMS, _SKETCH = 1 << 16, 48
+
+
+def _directions() -> np.ndarray:
+    return np.random.default_rng(9).normal(size=(_SKETCH_TERMS, _SKETCH)).astype(np.float32)
+
+
+def sketch(bag: bytes, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """A random projection, of length 1, of a bag's terms weighted by log-count and idf."""
+    term, tf = np.frombuffer(bag, "<u4").reshape(2, -1)
+    term = term % _SKETCH_TERMS
+    v = (np.log1p(tf) * idf[term]).astype(np.float32) @ directions[term]
+    return v / max(float(np.linalg.norm(v)), 1e-9)
+
+
+class LexicalTree:
+    """Cuts a sample of sketches in two again and again, each time between its two cluster centres, until there are
+    ``leaves`` parts of about equal size."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.nodes: list[tuple[np.ndarray, float, int, int, int]] = []  # direction, limit, left, right; leaf number or -1
+        self.leaves = 0
+        self._grow(x, leaves)
+
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        me = len(self.nodes)
+        self.nodes.append((np.zeros(_SKETCH, np.float32), 0.0, -1, -1, self.leaves))
+        if leaves == 1 or len(x) < 2:
+            self.leaves += 1
+            return me
+        d = np.linalg.eigh(np.cov(x.T))[1][:, -1] if len(x) > 2 else x[1] - x[0]
+        for _ in range(5):
+            side = x @ d > np.median(x @ d)
+            if side.all() or not side.any():
+                break
+            d = x[side].mean(axis=0) - x[~side].mean(axis=0)
+        d = d.astype(np.float32)
+        less = leaves // 2
+        at = x @ d
+        limit = float(np.quantile(at, less / leaves))
+        left = self._grow(x[at <= limit], less)
+        right = self._grow(x[at > limit], leaves - less)
+        self.nodes[me] = (d, limit, left, right, -1)
+        return me
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=np.int32)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            k, rows = todo.pop()
+            d, limit, left, right, number = self.nodes[k]
+            if number >= 0:
+                out[rows] = number
+            elif len(rows):
+                low = x[rows] @ d <= limit
+                todo += [(left, rows[low]), (right, rows[~low])]
+        return out
+
+
+def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
+    """``tokenized`` with its shard: the leaf of a lexical tree, in so many pieces by a hash that each holds about
+    ``shard_docs`` rows at most."""
+    if rows <= p.shard_docs:
+        return tokenized.withColumn("shard", F.lit(0))
+    leaves = -(-rows * 5 // (4 * p.shard_docs))
+    draw = min(max(8_000, 8 * leaves), 60_000)
+    sample = tokenized.filter(unit_hash("doc_id", "tokens", "tail_crc", seed=9) < draw / rows).select("bag")
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(_SKETCH_TERMS, dtype=np.int64)
+        for batch in batches:
+            for bag in batch.column(0).to_pylist():
+                df[np.unique(np.frombuffer(bag, "<u4").reshape(2, -1)[0] % _SKETCH_TERMS)] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "n"])
+
+    df = np.zeros(_SKETCH_TERMS)
+    for r in sample.mapInArrow(terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        df[r["term"]] = r["n"]
+    idf = np.log1p(draw / (df + 0.5)).astype(np.float32)
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = _directions()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sketch(b, idf, directions).tobytes() for b in batch.column(0).to_pylist()], pa.binary())], ["x"])
+
+    drawn = sorted(bytes(r["x"]) for r in sample.mapInArrow(sketches, "x binary").collect())
+    x = np.frombuffer(b"".join(drawn), np.float32).reshape(-1, _SKETCH)
+    shared = tokenized.sparkSession.sparkContext.broadcast((idf, LexicalTree(x, leaves)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions, (weights, tree) = _directions(), shared.value
+        for batch in batches:
+            if batch.num_rows:
+                at = tree.leaf(np.stack([sketch(b, weights, directions) for b in batch.column(batch.schema.get_field_index("bag")).to_pylist()]))
+                yield batch.append_column("leaf", pa.array(at, pa.int32()))
+
+    placed = materialize(tokenized.mapInArrow(place, TOKENIZED + ", leaf int"), "placed")
+    count = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    pieces = {k: -(-n // p.shard_docs) for k, n in sorted(count.items())}
+    first = dict(zip(pieces, np.cumsum([0, *pieces.values()]).tolist(), strict=False))
+    plan = tokenized.sparkSession.createDataFrame([(k, first[k], n) for k, n in pieces.items()], "leaf int, first int, pieces int")
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens", "tail_crc"), F.col("pieces")).cast("int")
+    return placed.join(F.broadcast(plan), "leaf").withColumn("shard", shard)
+
+
 class InvertedIndex:
     """BM25 postings of one shard, held by term in one array of documents and one of weights."""
 
@@ -256,9 +365,8 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     """Per piece PACKED. Every id of every row lies in one piece; a piece is a full window or a document's tail. A null
     or empty text has the end id only. Repeated rows are packed each; an empty table gives no rows."""
     rows = docs.count()
-    shards = max(1, -(-rows // p.shard_docs))
+    shards = max(1, -(-rows * 5 // (4 * p.shard_docs)))
     parts = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shard = F.pmod(F.xxhash64("doc_id", "tokens", "tail_crc"), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -292,5 +400,6 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
             yield flush()
 
     cols = ["doc_id", "tokens", "full", "tail", "tail_crc", "bag"]
-    dealt = tokenize(docs, p).select(shard.alias("shard"), *cols).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "tail_crc")
+    tokenized = tokenize(docs, p)
+    dealt = deal(materialize(tokenized, "tokenized") if rows > p.shard_docs else tokenized, rows, p).select("shard", *cols).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "tail_crc")
     return dealt.mapInArrow(run, PACKED)

@@ -228,6 +228,20 @@ def test_neighbours_share_words():
     assert len(index.neighbours(4)[0]) == 0
 
 
+def test_like_documents_share_a_shard(spark):
+    rng = np.random.default_rng(8)
+    words = [[f"{chr(97 + t)}{w}x" for w in range(40)] for t in range(16)]
+    rows = [(k, " ".join(rng.choice(words[k % 16], 60))) for k in range(640)] + [(700 + k, "same words again") for k in range(200)]
+    p = packing.Packing.public(shard_docs=100)
+    dealt = packing.deal(packing.tokenize(docs(spark, rows), p), len(rows), p).select("doc_id", "shard").collect()
+    of = {r["doc_id"]: r["shard"] for r in dealt}
+    size = collections.Counter(of.values())
+    assert len(of) == len(rows) and max(size.values()) <= 150
+    mates = [(i, j) for i in range(640) for j in range(i % 16, i, 16)]
+    assert np.mean([of[i] == of[j] for i, j in mates]) > 0.5
+    check_packing(rows, packing.pack(docs(spark, rows), p).collect())
+
+
 def brute_near(rows, words, percent):
     def sh(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
