@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
     take = {1: min(n[1], max_docs // 2)}
     take[0] = min(n[0], max_docs - take[1])
     chance = F.when(F.col("y") == 1, take[1] / n[1]).otherwise(take[0] / n[0])
-    ids = rows.filter(unit_hash("doc_id", seed=6) < chance).limit(max_docs)
+    # What the chance draws beyond the bound is cut in the order of the hash, so every layout draws the same documents.
+    at = unit_hash("doc_id", seed=6)
+    ids = rows.filter(at < chance).orderBy(at / chance, "doc_id").limit(max_docs)
     ids = ids.withColumnRenamed("doc_id", "__id")
     # The sample's ids are at most max_docs, so they may be broadcast: the texts of all others stay where they are.
     sample = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")

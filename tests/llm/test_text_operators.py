@@ -251,3 +251,20 @@ def test_trees_follow_their_splits():
     y = (x[:, 0] >= 2).astype(float)
     t = url_filter.boost(x, y, trees=20)
     assert ((t.margin(x) > 0) == (y == 1)).all()
+
+
+def test_toxicity_sample_is_the_same_in_any_layout(spark):
+    rows = [(k, f"plain words of text {k}" if k % 2 else f"vile awful slurs {k}") for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2 == 0) for k in range(400)], "doc_id long, toxic boolean")
+    models = []
+    for parts in ("1", "3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            m = toxicity.train(d, lab, max_docs=60)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        models.append((m.bucket.tolist(), m.weight.tolist(), m.bias))
+    assert models[0] == models[1] == models[2]
