@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import OPERATIONS
-from ..functions.temporal import Window, in_window, is_iso_date, is_mmdd, season_windows, season_year
+from ..functions.temporal import Window, date_kind, in_window, season_windows, season_year
 
 REDUCERS = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_pop}
 PERIOD_ALIASES = {"timeseries": "timeseries", "all": "timeseries", "full": "timeseries", "monthly": "monthly", "annual": "annual"}
@@ -72,9 +72,9 @@ class Custom:
     def __post_init__(self):
         if self.op not in OPERATIONS:
             raise ValueError(f"unknown operation {self.op!r}")
-        if self.years and not (is_mmdd(self.start) and is_mmdd(self.end)):
+        if self.years and {date_kind(self.start), date_kind(self.end)} != {"season"}:
             raise ValueError("a composite per year has a season of MM-DD days")
-        if not self.years and not (is_iso_date(self.start) and is_iso_date(self.end)):
+        if not self.years and {date_kind(self.start), date_kind(self.end)} != {"day"}:
             raise ValueError("a composite of one window has two days")
 
     @property

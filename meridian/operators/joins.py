@@ -45,22 +45,37 @@ def rank_aligned(left: DataFrame, right: DataFrame, how: str = "full_outer", tim
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, value: str, by: Sequence[str] = (), time: str = "time", tolerance: str | None = None, out: str | None = None) -> DataFrame:
-    """``left`` with the value of the right row nearest in time, the earlier one on a tie.
+    """``left`` with the value of the right row nearest in time, the earlier one on a tie; of right rows at one time the
+    largest value. Keys match as groups do: a missing key matches a missing key.
 
-    Both sides are put in one order by time and each row looks back and ahead for the next right row: one sort per
-    key, no product of rows. ``tolerance`` is an interval such as ``5 DAYS``."""
+    A key is cut into months, so a key with most of the rows, or no key at all, is still many tasks. Each month is given
+    the last right row before it and the first after it from a table of one row per key and month. Within a month both
+    sides are put in one order by time, once forward and once backward, and each row takes the last right row so far:
+    running values, whose cost is that of the two sorts. ``tolerance`` is an interval such as ``5 DAYS``."""
     out = out or value
-    cols = left.columns
-    if not by:  # a constant key would put all rows in one task; years keep neighbours within reach by a copy to both sides
-        return _asof_by_bucket(left, right, value, time, tolerance, out)
-    a = left.withColumns({"__t": F.col(time), "__r": F.lit(None).cast(right.schema[time].dataType), "__v": F.lit(None).cast(right.schema[value].dataType), "__s": F.lit(1)})
-    b = right.select(*by, F.col(time).alias("__t"), F.col(time).alias("__r"), F.col(value).alias("__v"), F.lit(0).alias("__s"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    mark = F.when(F.col("__s") == 0, F.struct(F.col("__r").alias("t"), F.col("__v").alias("v")))
-    w = Window.partitionBy(*by).orderBy("__t", "__s")
-    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return _nearest(both.withColumns({"__b": before, "__a": after}).filter("__s = 1"), cols, tolerance, out)
+    cols, keys = left.columns, [*by, "__m"]
+    month = lambda c: F.date_trunc("MONTH", c).cast("timestamp_ntz")
+    a = left.withColumns({"__t": F.col(time), "__m": month(F.col(time))})
+    r = right.select(*by, F.col(time).alias("__t"), F.col(value).alias("__v"), month(F.col(time)).alias("__m")).filter("__t is not null")
+
+    asked = a.select(*keys, F.lit(None).cast(right.schema[time].dataType).alias("__t"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    row = F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"))
+    mark = F.when(F.col("__t").isNotNull(), row)
+    early = F.when(F.col("__t").isNotNull(), F.struct(-F.unix_micros(F.col("__t").cast("timestamp")), "__v"))
+    months = asked.unionByName(r.select(*asked.columns)).groupBy(*keys).agg(F.max_by(mark, early).alias("lo"), F.max(mark).alias("hi"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    before = F.last("hi", ignorenulls=True).over(w.orderBy("__m").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("lo", ignorenulls=True).over(w.orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1))
+    around = months.withColumns({"__before": before, "__after": after})
+    edges = around.select(*keys, F.explode(F.array("__before", "__after")).alias("s")).filter("s is not null").select(*keys, F.col("s.t").alias("__t"), F.col("s.v").alias("__v"))
+
+    marks = r.select(*edges.columns).unionByName(edges).withColumn("__s", F.lit(0))
+    both = a.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__s": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    seen = F.last(F.when(F.col("__s") == 0, row), ignorenulls=True)
+    w = Window.partitionBy(*keys)
+    back = seen.over(w.orderBy("__t", "__s", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    ahead = seen.over(w.orderBy(F.desc("__t"), "__s", "__v").rowsBetween(Window.unboundedPreceding, 0))
+    return _nearest(both.withColumns({"__b": back, "__a": ahead}).filter("__s = 1"), cols, tolerance, out)
 
 
 def _nearest(rows: DataFrame, cols: Sequence[str], tolerance: str | None, out: str) -> DataFrame:
@@ -75,22 +90,6 @@ def _nearest(rows: DataFrame, cols: Sequence[str], tolerance: str | None, out: s
     return rows.withColumn("__o", value).select(*[c for c in cols if c != out], F.col("__o").alias(out))
 
 
-def _asof_by_bucket(left: DataFrame, right: DataFrame, value: str, time: str, tolerance: str | None, out: str) -> DataFrame:
-    """Without keys: months are the keys. Each month is given the last right row before it and the first after it, which a
-    table of one row per month holds."""
-    month = lambda c: F.date_trunc("MONTH", c).cast("timestamp_ntz")
-    r = right.select(F.col(time).alias("t"), F.col(value).alias("v")).withColumn("__m", month(F.col("t")))
-    edges = r.groupBy("__m").agg(F.min_by(F.struct("t", "v"), "t").alias("lo"), F.max_by(F.struct("t", "v"), "t").alias("hi"))
-    months = left.select(month(F.col(time)).alias("__m")).distinct().join(edges, "__m", "full_outer")
-    w = Window.orderBy("__m")  # one row a month: small whatever the rows
-    around = months.select("__m", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    extra = around.select("__m", F.explode(F.array("prev", "next")).alias("s")).filter("s is not null").select("__m", "s.t", "s.v")
-    full = r.select("__m", "t", "v").unionByName(extra)
-    keyed = left.withColumn("__m", month(F.col(time)))
-    hit = asof_nearest(keyed, full.select("__m", F.col("t").alias(time), F.col("v").alias(value)), value, by=["__m"], time=time, tolerance=tolerance, out=out)
-    return hit.drop("__m")
-
-
 def add_bands(old: DataFrame, new: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("time", "row", "col")) -> DataFrame:
     """Left join of new bands; dates that the new side lacks stay missing. Spectral bands first, indices last."""
     from ..functions.indices import INDICES

@@ -91,11 +91,14 @@ def source_map(placed: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("
 
 
 def overlap_report(placed: DataFrame, band: str, max_pairs: int = 50) -> DataFrame:
-    """Of each pair of pieces, on the first date both have: shared pixels, mean and largest difference of a band."""
-    v = placed.filter(F.col(band).isNotNull()).select("time", "row", "col", F.col("priority").alias("p"), F.col(band).alias("v"))
-    other = v.select("time", "row", "col", F.col("p").alias("q"), F.col("v").alias("w"))
-    both = v.join(other, ["time", "row", "col"]).filter("p < q")
-    per = both.groupBy("p", "q", "time").agg(F.count(F.lit(1)).alias("shared"), F.avg(F.abs(F.col("v") - F.col("w"))).alias("mean_diff"), F.max(F.abs(F.col("v") - F.col("w"))).alias("max_diff"))
+    """Of each pair of pieces, on the first date on which they share a pixel: shared pixels, mean and largest difference
+    of a band. Pixels are shuffled once: the pieces of a pixel are gathered in its row (as many as overlap there), and
+    pairs within it are reduced by date before they move. No table is joined with itself."""
+    v = placed.filter(F.col(band).isNotNull()).select("time", "row", "col", F.struct(F.col("priority").alias("p"), F.col(band).alias("v")).alias("s"))
+    pixel = v.groupBy("time", "row", "col").agg(F.sort_array(F.collect_list("s")).alias("all")).filter(F.size("all") > 1)
+    couples = F.transform("all", lambda a: F.transform(F.filter("all", lambda b: b["p"] > a["p"]), lambda b: F.struct(a["p"].alias("p"), b["p"].alias("q"), F.abs(a["v"] - b["v"]).alias("gap"))))
+    pairs = pixel.select("time", F.inline(F.flatten(couples)))
+    per = pairs.groupBy("p", "q", "time").agg(F.count(F.lit(1)).alias("shared"), F.avg("gap").alias("mean_diff"), F.max("gap").alias("max_diff"))
     first = per.groupBy("p", "q").agg(F.min_by(F.struct("time", "shared", "mean_diff", "max_diff"), "time").alias("s"))
     return first.select("p", "q", "s.*").orderBy("p", "q").limit(max_pairs)
 

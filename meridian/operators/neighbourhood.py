@@ -62,13 +62,13 @@ def dilate(mask: DataFrame, radius: int, shape: tuple[int, int] | None = None) -
 
 
 def majority(mask: DataFrame, radius: int, shape: tuple[int, int]) -> DataFrame:
-    """Pixels whose disk is set in more than half, on set pixels only; beyond the border the image is mirrored about its
-    edge pixel."""
+    """Pixels whose disk is set in more than half; beyond the border the image is mirrored with its edge pixel repeated
+    (row -1 is row 0)."""
     height, width = shape
     offs = disk_offsets(radius)
     off = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offs))).alias("o")
     # Each set pixel stands in for its mirror images near a border.
-    mirrors = lambda v, n: F.array_distinct(F.array(v, F.when(v <= radius, -v).otherwise(v), F.when(v >= n - 1 - radius, 2 * (n - 1) - v).otherwise(v)))
+    mirrors = lambda v, n: F.array_distinct(F.array(v, F.when(v < radius, -1 - v).otherwise(v), F.when(v >= n - radius, 2 * n - 1 - v).otherwise(v)))
     spread = mask.select("time", F.explode(mirrors(F.col("row"), height)).alias("row"), "col").select("time", "row", F.explode(mirrors(F.col("col"), width)).alias("col"))
     votes = spread.select("time", "row", "col", off).select("time", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
     votes = votes.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))

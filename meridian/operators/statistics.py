@@ -40,30 +40,72 @@ def ever_imaged(pixels: DataFrame, band: str) -> DataFrame:
     return pixels.groupBy("row", "col").agg(F.bool_or(F.col(band).isNotNull()).alias("ever"))
 
 
+PERIOD_KEYS = ("band", "level", "start")
+
+
+def _periods(day: str = "day") -> Column:
+    """The day, month and year that a day belongs to, as rows: level 0, 1, 2 and first day."""
+    starts = (F.col(day), F.trunc(day, "month"), F.trunc(day, "year"))
+    return F.inline(F.array(*(F.struct(F.lit(k).alias("level"), c.alias("start")) for k, c in enumerate(starts))))
+
+
+def _period_names() -> list[Column]:
+    is_day, is_month = F.col("level") == 0, F.col("level") == 1
+    label = F.when(is_day, F.date_format("start", "yyyy-MM-dd")).when(is_month, F.date_format("start", "MMMM_yyyy")).otherwise(F.date_format("start", "yyyy"))
+    return [F.when(is_day, "date").when(is_month, "month").otherwise("year").alias("period"), label.alias("label")]
+
+
+def _value_bin(v: Column, per_octave: int = 64) -> Column:
+    """A whole number that grows with the value, in steps of about 1 %, whatever the range of the data."""
+    size = lambda x: F.floor(F.log2(x) * per_octave).cast("long") + 2_000_000
+    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0).cast("long"))
+
+
+def _medians(long: DataFrame) -> DataFrame:
+    """PERIOD_KEYS and the exact median, by counts instead of buffers of values.
+
+    Values are counted by day and bin, the counts are rolled up to months and years, and running counts tell the one or
+    two bins that hold the middle ranks. Only values of those bins are counted singly and ranked."""
+    there = long.filter("value is not null").withColumn("bin", _value_bin(F.col("value")))
+    counts = there.groupBy("band", "day", "bin").agg(F.count(F.lit(1)).alias("n"))
+    rolled = counts.select("band", "bin", "n", _periods()).groupBy(*PERIOD_KEYS, "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*PERIOD_KEYS)
+    upto, whole = F.sum("n").over(w.orderBy("bin")), F.sum("n").over(w)
+    ranked = rolled.select(*PERIOD_KEYS, "bin", (upto - F.col("n")).alias("below"), upto.alias("upto"), whole.alias("whole"))
+    lo, hi = F.floor((F.col("whole") - 1) / 2), F.floor(F.col("whole") / 2)
+    wanted = ranked.withColumns({"lo": lo, "hi": hi}).filter("upto > lo and below <= hi").select(*PERIOD_KEYS, "bin", "below", "lo", "hi")
+    # At most two rows for each band and calendar day, month or year: bounded by the calendar, not by pixels.
+    middle = there.select("band", "bin", "value", _periods()).join(F.broadcast(wanted), [*PERIOD_KEYS, "bin"])
+    singly = middle.groupBy(*PERIOD_KEYS, "value", "below", "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.min("below").over(w) + F.sum("c").over(w.orderBy("value"))
+    ends = singly.withColumn("upto", upto)
+    holds = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("c") <= F.col(rank)), F.col("value")))
+    return ends.groupBy(*PERIOD_KEYS).agg(((holds("lo") + holds("hi")) / 2).alias("median"))
+
+
 def cube_statistics(pixels: DataFrame, bands: Sequence[str], stats: DataFrame | None = None, digits: int = 6, time: str = "time") -> DataFrame:
     """period, label, band, n_dates, mean, median, min, max, std (population), and the means of per-scene columns.
 
-    Days, years and months come from one grouping-set pass over all pixels, not from means of means. Bands are
-    unfolded before grouping, after only the asked ones were read."""
-    t = F.col(time)
-    base = pixels.select(F.to_date(t).alias("day"), *bands)
-    long = base.unpivot("day", list(bands), "band", "value").withColumns({"year": F.year("day"), "month": F.month("day")})
-    grouped = long.groupingSets([["band", "day"], ["band", "year"], ["band", "year", "month"]], "band", "day", "year", "month")
-    g = grouped.agg(
-        F.grouping("day").alias("gd"), F.grouping("month").alias("gm"), F.count_distinct(F.struct("day")).alias("nd"), F.min("day").alias("first"),
-        rounded(F.avg("value"), digits).alias("mean"), rounded(F.median("value"), digits).alias("median"), rounded(F.min("value"), digits).alias("min"),
-        rounded(F.max("value"), digits).alias("max"), rounded(F.stddev_pop("value"), digits).alias("std"),
-    )
-    is_day, is_month = F.col("gd") == 0, (F.col("gd") == 1) & (F.col("gm") == 0)
-    period = F.when(is_day, "date").when(is_month, "month").otherwise("year")
-    label = F.when(is_day, F.date_format("day", "yyyy-MM-dd")).when(is_month, F.date_format(F.make_date("year", "month", F.lit(1)), "MMMM_yyyy")).otherwise(F.col("year").cast("string"))
-    out = g.select(period.alias("period"), label.alias("label"), "band", F.when(is_day, F.lit(1)).otherwise(F.col("nd")).cast("int").alias("n_dates"), "mean", "median", "min", "max", "std")
+    Months and years are over all their pixels, not means of means: days are reduced to count, mean, variance and
+    extremes, and those are merged. Bands are unfolded before grouping, after only the asked ones were read."""
+    base = pixels.select(F.to_date(time).alias("day"), *(F.col(b).cast("double").alias(b) for b in bands))
+    long = base.unpivot("day", list(bands), "band", "value")
+    v = F.col("value")
+    days = long.groupBy("band", "day").agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s"), F.min(v).alias("min"), F.max(v).alias("max"))
+    parts = days.select("band", "n", "m", "s", "min", "max", _periods())
+    w = Window.partitionBy(*PERIOD_KEYS)
+    n = F.nullif(F.sum("n").over(w), F.lit(0))
+    parts = parts.withColumn("n_all", n).withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w) / F.col("n_all"))
+    around = F.col("n") * (F.col("s") + F.pow(F.col("m") - F.col("mean"), F.lit(2)))
+    merged = parts.groupBy(*PERIOD_KEYS, "n_all", "mean").agg(F.count(F.lit(1)).cast("int").alias("n_dates"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum(around).alias("q"))
+    out = merged.join(_medians(long), list(PERIOD_KEYS), "left")
+    numbers = {"mean": F.col("mean"), "median": F.col("median"), "min": F.col("min"), "max": F.col("max"), "std": F.sqrt(F.col("q") / F.col("n_all"))}
+    out = out.select(*_period_names(), "band", "n_dates", *(rounded(c, digits).alias(name) for name, c in numbers.items()))
     if stats is None:
         return out
     extra = [c for c in ("cloud_percentage", "scene_coverage") if c in stats.columns]
-    days = stats.select(F.to_date(time).alias("day"), *extra).withColumns({"d": F.date_format("day", "yyyy-MM-dd"), "y": F.year("day").cast("string"), "m": F.date_format("day", "MMMM_yyyy")})
-    labels = days.select(F.explode(F.array(*(F.struct(F.lit(p).alias("period"), F.col(c).alias("label")) for p, c in (("date", "d"), ("year", "y"), ("month", "m"))))).alias("k"), *extra)
-    means = labels.select("k.period", "k.label", *extra).groupBy("period", "label").agg(*(rounded(F.avg(c), digits).alias(c) for c in extra))
+    labels = stats.select(F.to_date(time).alias("day"), *extra).select(*extra, _periods())
+    means = labels.select(*_period_names(), *extra).groupBy("period", "label").agg(*(rounded(F.avg(c), digits).alias(c) for c in extra))
     return out.join(means, ["period", "label"], "left")
 
 

@@ -330,9 +330,12 @@ def cloud_filter(spark, sf):
     return FI.keep_scenes(V.pixels(spark, sf), FI.by_cloud(_stats(spark, sf), 20)).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_STATS} SELECT time, count(*) AS n FROM px WHERE time IN (SELECT time FROM st WHERE scene_coverage >= 0.35) GROUP BY 1")
+@query(f"WITH {_STATS} SELECT time, count(*) AS n FROM px WHERE time IN (SELECT time FROM st WHERE scene_coverage >= (SELECT avg(scene_coverage) FROM st)) GROUP BY 1")
 def partial_scene_filter(spark, sf):
-    return FI.keep_scenes(V.pixels(spark, sf), FI.by_coverage(_stats(spark, sf), 0.35)).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
+    """Scenes that cover as much as the mean scene: how much a scene covers grows with the table."""
+    stats = _stats(spark, sf)
+    least = stats.agg(F.avg("scene_coverage")).first()[0]
+    return FI.keep_scenes(V.pixels(spark, sf), FI.by_coverage(stats, least)).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _grouping(period: str, label: str, group: str) -> str:
@@ -618,8 +621,8 @@ def dilate_mask(spark, sf):
 
 
 @query(f"""WITH {_CLOUDS}, o AS (SELECT r, c FROM (SELECT unnest(range(-1, 2)) AS r), (SELECT unnest(range(-1, 2)) AS c) WHERE r * r + c * c <= 1),
-    m AS (SELECT DISTINCT time, r, col FROM (SELECT time, unnest([ "row", CASE WHEN "row" <= 1 THEN -"row" ELSE "row" END, CASE WHEN "row" >= 6 THEN 14 - "row" ELSE "row" END ]) AS r, col FROM cl)),
-    n AS (SELECT DISTINCT time, r, c FROM (SELECT time, r, unnest([ col, CASE WHEN col <= 1 THEN -col ELSE col END, CASE WHEN col >= 6 THEN 14 - col ELSE col END ]) AS c FROM m)),
+    m AS (SELECT DISTINCT time, r, col FROM (SELECT time, unnest([ "row", CASE WHEN "row" < 1 THEN -1 - "row" ELSE "row" END, CASE WHEN "row" >= 7 THEN 15 - "row" ELSE "row" END ]) AS r, col FROM cl)),
+    n AS (SELECT DISTINCT time, r, c FROM (SELECT time, r, unnest([ col, CASE WHEN col < 1 THEN -1 - col ELSE col END, CASE WHEN col >= 7 THEN 15 - col ELSE col END ]) AS c FROM m)),
     v AS (SELECT time, n.r + o.r AS "row", n.c + o.c AS col, count(*) AS k FROM n, o GROUP BY 1, 2, 3)
     SELECT time, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col FROM v WHERE k > 2.5 AND "row" BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7""")
 def disk_majority(spark, sf):

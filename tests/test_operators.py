@@ -155,12 +155,14 @@ def test_shadow_goes_away_from_the_sun(spark):
 
 
 def test_disks_and_majority_against_numpy(spark):
-    assert neighbourhood.disk(2).sum() == 13 and neighbourhood.disk(4).sum() == 49
+    # Rows of a filled circle of radius 2 and 4 as drawn by the midpoint rule.
+    assert ["".join(".#"[v] for v in row) for row in neighbourhood.disk(2).astype(int)] == ["..#..", ".###.", "#####", ".###.", "..#.."]
+    assert [int(row.sum()) for row in neighbourhood.disk(4)] == [1, 5, 7, 7, 9, 7, 7, 5, 1]
     rng = np.random.default_rng(0)
     m = rng.random((12, 12)) < 0.55
     d = px(spark, [("2024-01-01", int(r), int(c), 1.0) for r, c in np.argwhere(m)])
     k = neighbourhood.disk(2)
-    pad = np.pad(m, 2, mode="reflect")
+    pad = np.pad(m, 2, mode="symmetric")
     mean = np.array([[(pad[r : r + 5, c : c + 5] & k).sum() / k.sum() for c in range(12)] for r in range(12)])
     got = {(r["row"], r["col"]) for r in neighbourhood.majority(d, 2, (12, 12)).collect()}
     assert got == {tuple(map(int, x)) for x in np.argwhere(mean > 0.5)}
