@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a local session that names no shared folder, as in tests; a cluster must name one.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session is given
+    a local one; any other is refused, since its executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,6 +34,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table of ``materialize`` that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", share: float = 1e-3) -> DataFrame:
+    """``rows`` joined by ``key`` with ``groups``, which has one row per key and in ``size`` the number of its rows, of
+    ``total`` rows in all. Keys that hold at least ``share`` of the rows are 1 / ``share`` at most, so they are
+    broadcast and their rows stay where they are; only the rows of other keys are shuffled. Rows with a null key are
+    left out of an inner join and must not be given to another."""
+    heavy = groups.filter(F.col(size) >= max(1.0, total * share)).drop(size)
+    light = groups.filter(F.col(size) < max(1.0, total * share)).drop(size)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key, how))
+
+
 def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text (fold 0)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds

@@ -207,6 +207,35 @@ def test_digest_index_persists(spark):
     assert "Exchange" not in plan
 
 
+def test_digest_index_counts_all_batches_and_repeats_one(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    run = lambda rows, batch: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(docs(spark, rows), index, batch).collect()}
+    assert run([(1, "same"), (2, "sa me")], "a") == {1: (2, 2, False), 2: (2, 2, True)}
+    assert run([(3, "same")], "b") == {3: (2, 3, False)}
+    assert run([(4, "same"), (5, "new")], "c") == {4: (2, 4, False), 5: (5, 1, True)}
+    # A batch whose result was lost is run again and says the same, whether or not others came after it.
+    assert run([(4, "same"), (5, "new")], "c") == {4: (2, 4, False), 5: (5, 1, True)}
+    assert run([(1, "same"), (2, "sa me")], "a") == {1: (2, 4, False), 2: (2, 4, True)}
+    assert run([(6, "new"), (7, "same")], "d") == {6: (5, 2, False), 7: (2, 5, False)}
+    small = index.compact()
+    assert small.buckets == 4 and small.batches().count() == 2 and {r["n"] for r in small.table().collect()} == {2, 5}
+    out = exact_dedup.deduplicate(docs(spark, [(8, "same"), (9, "x")]), small).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out} == {(8, 2, 6, False), (9, 9, 1, True)}
+    with pytest.raises(ValueError, match="letters"):
+        exact_dedup.deduplicate(docs(spark, [(1, "x")]), index, "a/b")
+
+
+def test_ids_with_several_texts_lose_none_and_keep_no_copy(spark):
+    rows = [(1, "aaa"), (1, "bbb"), (2, "bbb "), (3, "aaa"), (None, "n"), (None, "m"), (None, " n"), (0, "m")]
+    d = docs(spark, rows).withColumns({"h": F.lit(1), "n": F.lit(2), "__i": F.lit(3), "keep_id": F.lit("x")})
+    out = exact_dedup.keep_first(d.drop("__i"), exact_dedup.DigestIndex(spark))
+    assert sorted((r["text"] for r in out.collect())) == [" n", "aaa", "bbb ", "m"]
+    assert out.columns == d.drop("__i").columns
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(None, " n"), (1, "aaa"), (2, "bbb "), (0, "m")}
+    kept = exact_dedup.deduplicate(d, exact_dedup.DigestIndex(spark)).filter("kept").collect()
+    assert len(kept) == 4
+
+
 URLS = [
     (1, "http://A.Example.org/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
     (2, "https://x.org/p?q#f", "x.org", "/p", "org/", "allow"),
