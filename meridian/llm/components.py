@@ -1,7 +1,7 @@
 """Connected components of a graph held as a table of edges: large-star and small-star steps until nothing changes.
 
-Each step is a partial aggregation and a join on a node, so a node with very many neighbours is a skewed join that
-adaptive execution splits, never a group in one task. Every round is written to the shared folder."""
+Each step is a partial aggregation and a join on a node; the few nodes with very many neighbours are broadcast, so no
+task gathers one's edges. Every round is written to the shared folder and replaces the one before."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_groups, materialize
 
 
 class UnionFind:
@@ -52,15 +52,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node of an edge between two nodes; component is the smallest node reachable."""
     e = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = materialize(e.mapInPandas(contract, "u long, v long").filter("u <> v").distinct(), "edges")
-    last = None
+    last = (e.count(), None)
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both.filter("v > u"), low, "u", "n", 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(e)
+        e = after
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
         last = now

@@ -2,18 +2,17 @@
 
 1. One pass over the texts gives each document the size of its shingle set, a digest of that set and a MinHash
    signature. Documents with equal sets form a class; from here on a class is one node, so copies cost nothing.
-2. Every tree of the forest orders the classes by its own piece of the signature. In an order, classes that share the
-   first ``min_depth`` values with one of the next ``window`` are candidates: in a sparse region that is the whole
-   region at its shallow depth, in a dense one only the neighbours with the longest common prefixes. The order is
-   range-partitioned on (tree, key, class), so no region is a group of one task; pairs over a partition's border are
-   found from the border rows.
-3. Components of the candidate graph gather what may be linked. The texts of their classes, and of no others, are
-   brought together block by block, a block holding one component or a bounded part of a large one. In a block, all
-   pairs with like signatures are confirmed on full sets, but for pairs that are linked already.
-4. Where a component was cut into blocks, candidate pairs between blocks that are not linked yet are confirmed by a
-   join of pairs with texts, first one for each pair of found groups, then all that are left. Then every two blocks of
-   a component that is not one group yet are compared, all pairs with like signatures that are not linked, so a
-   component is compared in full whatever its size; one task holds one block and streams the other."""
+2. Every tree of the forest orders the classes by its own piece of the signature. Classes that follow one another in an
+   order are candidates if their longest common prefix reaches the depth of their region. A region of at most
+   ``region`` classes is taken at the depth ``min_depth``; where more classes share a prefix the region is split one
+   value deeper, down to ``max_depth``. The order is range-partitioned on (tree, key, class), so no region is a group of
+   one task; pairs over a partition's border are found from the border rows.
+3. Components of the candidate graph gather what may be linked: a region is a chain of candidates, so all of it is in
+   one component, whatever its size. The texts of their classes, and of no others, are brought together block by
+   block, a block holding one component or a bounded part of a large one. In a block, all pairs with like signatures
+   are confirmed on full sets, but for pairs that are linked already.
+4. Where a component was cut into blocks, every two blocks of it are compared, all pairs with like signatures that are
+   not linked, so a component is compared in full whatever its size; one task holds one block and streams the other."""
 
 from __future__ import annotations
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, likely_in, materialize
+from .common import join_groups, keep_ids, likely_in, materialize
 from .components import UnionFind, connected_components
 
 
@@ -38,8 +37,9 @@ class Forest:
     percent: int = 80
     trees: int = 16
     depth: int = 8
-    min_depth: int = 4
-    window: int = 3
+    min_depth: int = 3
+    max_depth: int = 4
+    region: int = 8
     block_classes: int = 1000
     block_shingles: int = 4_000_000
     seed: int = 10
@@ -130,18 +130,18 @@ def sign(docs: DataFrame, f: Forest) -> DataFrame:
 
 
 def _pairs(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, f: Forest, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order, the candidate pairs whose later row is at or after position ``new``."""
-    left, right = [], []
-    for off in range(1, f.window + 1):
-        lo = max(new - off, 0)
-        x, y = slice(lo, len(rep) - off), slice(lo + off, len(rep))
-        if lo + off >= len(rep):
-            break
-        ok = (tree[x] == tree[y]) & (key[x, : f.min_depth] == key[y, : f.min_depth]).all(axis=1)
-        left.append(rep[x][ok])
-        right.append(rep[y][ok])
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+    """Of rows in order, the candidates among neighbours whose later row is at or after position ``new``. A region that
+    goes on beyond the rows given counts as smaller than it is, which only adds candidates."""
+    if len(rep) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    common = np.where(tree[1:] == tree[:-1], (key[1:] == key[:-1]).cumprod(axis=1).sum(axis=1), 0)
+    ok = common >= f.max_depth
+    for depth in range(f.min_depth, f.max_depth):
+        region = np.cumsum(np.append(True, common < depth)) - 1
+        ok |= (common >= depth) & (np.bincount(region)[region[1:]] <= f.region)
+    at = np.flatnonzero(ok)
+    at = at[at + 1 >= new]
+    return rep[at], rep[at + 1]
 
 
 NEIGHBOURS = "a long, b long, border int, tree int, key binary, rep long"
@@ -157,7 +157,7 @@ def neighbours(f: Forest):
         return table(None, None, [pid] * len(rep), tree.tolist(), [k.astype(">u4").tobytes() for k in key], rep.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, w = TaskContext.get().partitionId(), f.window
+        pid, w = TaskContext.get().partitionId(), f.region + 1
         tree, key, rep = np.zeros(0, np.int32), np.zeros((0, f.depth), np.uint32), np.zeros(0, np.int64)
         head = 0
         for batch in batches:
@@ -302,39 +302,26 @@ def _between_blocks(f: Forest):
     return run
 
 
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets are similar."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [similar(shingles(x, f.words), shingles(y, f.words), f.percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pdf[ok][["a", "b"]]
-
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links, the row's own included; kept says whether it is the
     row's own. A null or blank text, or one with a null id, is linked with nothing: n_shingles is that of its text,
-    component_id its own id, kept true. Repeated rows share a component and are all marked as their ids are. An empty
-    table gives no rows."""
+    component_id its own id, kept true. Rows with one id are one document: they share a component, whatever their
+    texts, and are all marked as their id is. An empty table gives no rows."""
     signed = materialize(sign(docs, f), "signatures")
     rows = signed.count()
     known = signed.filter("cls is not null")
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    pairs = materialize(candidates(classes, f, rows), "candidates")
-    comp = materialize(connected_components(pairs), "components")
+    classes = known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes, "classes")
+    comp = materialize(connected_components(candidates(classes, f, rows)), "components")
 
-    sizes = known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    members = sizes.join(comp, sizes["rep"] == comp["node"]).select("rep", "cls", "n", "component")
+    members = classes.join(comp, classes["rep"] == comp["node"]).select("rep", "cls", "n", "component")
     per = members.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("k") / f.block_classes, F.col("s") / f.block_shingles)).cast("int")
-    per = per.select("component", F.greatest(blocks, F.lit(1)).alias("blocks"))
-    members = members.join(per, "component").select("rep", "cls", "component", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    per = per.select("component", "k", F.greatest(blocks, F.lit(1)).alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
+    members = join_groups(members, per, "component", "k", rows).select("rep", "cls", "component", "blocks", block)
     members = materialize(members, "members")
 
     texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", members, "rep").join(members, F.col("__id") == F.col("rep")).select("component", "block", "rep", "cls", "text")
@@ -344,43 +331,24 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
 
     cut = members.filter("blocks > 1")
     if not cut.isEmpty():
-        groups = _join_blocks(docs, pairs, cut, groups, f)
+        groups = _compare_blocks(docs, cut, groups, f)
 
-    of_class = sizes.join(groups.withColumnRenamed("rep", "node"), F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select(F.col("cls").alias("c"), F.coalesce("grp", "rep").alias("component_id"))
-    out = signed.join(of_class, signed["cls"] == of_class["c"], "left")
+    # Rows of a class of their own that is linked with nothing keep their id; all others are told by their class.
+    of_class = classes.join(groups.withColumnRenamed("rep", "node"), F.col("rep") == F.col("node"), "left").filter("copies > 1 or grp is not null")
+    of_class = of_class.select("cls", "copies", F.coalesce("grp", "rep").alias("component_id"))
+    told = join_groups(known.select("doc_id", "n_shingles", "cls"), of_class, "cls", "copies", rows, "left")
+    out = told.select("doc_id", "n_shingles", "component_id").unionByName(signed.filter("cls is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _join_blocks(docs: DataFrame, pairs: DataFrame, cut: DataFrame, groups: DataFrame, f: Forest) -> DataFrame:
-    """``groups`` with the groups of cut components merged over confirmed candidate pairs between them."""
-    reps = cut.select("rep", "cls")
-    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", reps, "rep").join(reps, F.col("__id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "text")
-    texts = materialize(texts, "cut-texts")
-    open_pairs = pairs.join(cut.select(F.col("rep").alias("a")), "a").join(cut.select(F.col("rep").alias("b")), "b").select("a", "b")
-    for only_one in (True, False):
-        x = groups.select(F.col("rep").alias("a"), F.col("grp").alias("ga"))
-        y = groups.select(F.col("rep").alias("b"), F.col("grp").alias("gb"))
-        apart = open_pairs.join(x, "a").join(y, "b").filter("ga <> gb")
-        if only_one:
-            todo = apart.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            todo = apart.select("a", "b")
-        linked = _verify_pairs(todo, texts, f).join(x, "a").join(y, "b").select("ga", "gb")
-        merged = connected_components(linked, "ga", "gb")
-        groups = groups.join(merged, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
-        groups = materialize(groups, "groups")
-    return _compare_blocks(docs, cut, groups, f)
-
-
 def _compare_blocks(docs: DataFrame, cut: DataFrame, groups: DataFrame, f: Forest) -> DataFrame:
     """``groups`` merged over all similar pairs between the blocks of cut components."""
     rows = cut.join(groups, "rep")
     apart = rows.groupBy("component").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).filter("g <> h").select("component")
     rows = rows.join(apart, "component")
     texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", rows, "rep").join(rows, F.col("__id") == F.col("rep"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")  # a component's blocks, squared
     tasks = texts.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cls", "grp", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = tasks.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "block", "rep")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meridian.llm import ann, components, near_dedup, packing, sentencepiece_lattice, warc
-from meridian.llm.common import likely_in
+from meridian.llm.common import join_groups, likely_in
 
 P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,12 +293,47 @@ def test_near_dedup_finds_pairs_hidden_in_a_large_like_group(spark):
     rows = [(k, " ".join(w)) for k, w in enumerate(variants + partners)]
     want = brute_near(rows, 4, 80)
     assert len({c for _, c in want.values()}) > 190
-    # Few and shallow orders with one partner each: candidates chain all into one component, but miss pairs.
-    f = near_dedup.Forest(words=4, trees=4, min_depth=1, window=1, block_classes=3)
+    # Few and shallow orders: candidates chain all into one component, but miss pairs.
+    f = near_dedup.Forest(words=4, trees=4, min_depth=1, max_depth=1, block_classes=3)
     out = near_dedup.near_duplicates(docs(spark, rows), f).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+def test_near_dedup_loses_no_pair_in_a_component_beyond_a_block(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(160)]
+
+    def change(w, places):
+        w = list(w)
+        for j in places:
+            w[j] = f"z{rng.integers(10**12)}"
+        return w
+
+    rows, pairs, ids = [], [], rng.permutation(2400).tolist()
+    for k in range(1200):  # unlike pairs share 0.66 to 0.78 of their shingles
+        mine = change(base, 5 * rng.choice(np.arange(1, 31), 5, replace=False))
+        a, b = ids[2 * k : 2 * k + 2]
+        rows += [(a, " ".join(change(mine, [2]))), (b, " ".join(change(mine, [157])))]
+        pairs.append((min(a, b), max(a, b)))
+    s = {i: near_dedup.shingles(t, 4) for i, t in rows}
+    assert all(near_dedup.similar(s[a], s[b], 80) for a, b in pairs)
+    some = rng.integers(0, 2400, (3000, 2)).tolist()
+    assert not any(near_dedup.similar(s[a], s[b], 80) for a, b in some if (min(a, b), max(a, b)) not in set(pairs) and a != b)
+    out = near_dedup.near_duplicates(docs(spark, rows), near_dedup.Forest(words=4)).collect()
+    want = {i: a for a, b in pairs for i in (a, b)}
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
+def test_depth_follows_the_region():
+    f = near_dedup.Forest(min_depth=1, max_depth=3, depth=4, region=2)
+    key = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 2, 1], [1, 2, 1, 1], [2, 1, 1, 1], [2, 2, 1, 1], [3, 1, 1, 1]], np.uint32)
+    a, b = near_dedup._pairs(np.zeros(7, np.int32), key, np.arange(7), f, 0)
+    # Four share one value and three of them two, so only the pair with three in common is taken; two share one value.
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (4, 5)]
+    a, b = near_dedup._pairs(np.array([0, 0, 0, 0, 0, 1, 1]), key, np.arange(7), f, 1)
+    assert (4, 5) not in set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_near_dedup_of_hard_texts(spark):
     f = near_dedup.Forest()
     out = near_dedup.near_duplicates(docs(spark, HARD).withColumns({"cls": F.lit(1), "rep": F.lit(2)}), f).collect()
@@ -327,6 +362,15 @@ def test_connected_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_groups_join_splits_heavy_keys(spark):
+    rows = spark.createDataFrame([(k, 1 if k < 500 else k) for k in range(1500)], "id long, key long")
+    groups = rows.groupBy("key").count().withColumnRenamed("count", "n").withColumn("twice", F.col("key") * 2)
+    out = join_groups(rows, groups.filter("key <> 700"), "key", "n", 1500, share=0.1)
+    assert {(r["id"], r["twice"]) for r in out.collect()} == {(r["id"], 2 * r["key"]) for r in rows.collect() if r["key"] != 700}
+    left = join_groups(rows, groups.filter("key <> 700"), "key", "n", 1500, "left", share=0.1)
+    assert left.count() == 1500 and left.filter("twice is null").count() == 1 and left.columns == ["key", "id", "twice"]
+
+
 def test_bitmap_keeps_all_members(spark):
     df = spark.range(10_000).withColumnRenamed("id", "k")
     ids = spark.range(0, 10_000, 97).withColumnRenamed("id", "m")
