@@ -123,7 +123,7 @@ class Packing:
     window: int = 1024
     end_id: int = 0
     shard_docs: int = 4096
-    query_terms: int = 24
+    query_terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
 
@@ -273,9 +273,11 @@ def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
 
 
 class InvertedIndex:
-    """BM25 postings of one shard, held by term in one array of documents and one of weights."""
+    """BM25 postings of one shard, held by term in one array of documents and one of weights. Terms that a sixteenth of
+    the documents hold are rows of a matrix instead, as far as ``cells`` go: their postings are added without looking up
+    documents."""
 
-    def __init__(self, bags: list[bytes], p: Packing):
+    def __init__(self, bags: list[bytes], p: Packing, cells: int = 8_000_000):
         halves = [np.frombuffer(b, "<u4").reshape(2, -1) for b in bags]
         size = np.array([h.shape[1] for h in halves])
         term = np.concatenate([h[0] for h in halves]).astype(np.int64)
@@ -290,23 +292,30 @@ class InvertedIndex:
         by_term = np.argsort(inverse, kind="stable")
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.start = np.concatenate(([0], np.cumsum(df)))
-        # The query of a document: its terms of most weight that another document has too.
+        common = np.flatnonzero(df * 16 > len(bags))
+        common = common[np.argsort(-df[common], kind="stable")][: cells // max(1, len(bags))]
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(bags)), dtype=np.float32)
+        held = self.row[inverse] >= 0
+        self.rows[self.row[inverse[held]], doc[held]] = weight[held]
+        # The query of a document: its terms that another document has too, all of them or those of most weight.
         shared = df[inverse] > 1
         d, w, t = doc[shared], weight[shared], inverse[shared]
         order = np.lexsort((t, -w, d))
         d, t = d[order], t[order]
         first = np.searchsorted(d, np.arange(len(bags)))
-        rank = np.arange(len(d)) - first[d]
-        keep = rank < p.query_terms
+        keep = np.arange(len(d)) - first[d] < (p.query_terms or len(terms))
         self.query, self.query_start = t[keep], np.searchsorted(d[keep], np.arange(len(bags) + 1))
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents that share a query term with the seed, and their scores."""
-        at = [slice(self.start[t], self.start[t + 1]) for t in self.query[self.query_start[seed] : self.query_start[seed + 1]].tolist()]
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0)
-        doc = np.concatenate([self.doc[a] for a in at])
-        score = np.bincount(doc, weights=np.concatenate([self.weight[a] for a in at]), minlength=self.size)
+        query = self.query[self.query_start[seed] : self.query_start[seed + 1]]
+        row = self.row[query]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        at = [slice(self.start[t], self.start[t + 1]) for t in query[row < 0].tolist()]
+        if at:
+            score += np.bincount(np.concatenate([self.doc[a] for a in at]), weights=np.concatenate([self.weight[a] for a in at]), minlength=self.size)
         found = np.flatnonzero(score)
         return found, score[found]
 

@@ -228,6 +228,26 @@ def test_neighbours_share_words():
     assert len(index.neighbours(4)[0]) == 0
 
 
+@pytest.mark.parametrize("cells", [0, 200, 10**6])
+def test_neighbours_equal_bm25(cells):
+    rng = np.random.default_rng(2)
+    p = packing.Packing("", "", "")
+    docs_ = [collections.Counter(rng.zipf(1.3, 40).clip(max=300).tolist()) for _ in range(60)]
+    bags = [np.array([*sorted(c), *(c[k] for k in sorted(c))], "<u4").tobytes() for c in docs_]
+    index = packing.InvertedIndex(bags, p, cells)
+    df = collections.Counter(t for c in docs_ for t in c)
+    mean = sum(sum(c.values()) for c in docs_) / 60
+    for seed in range(60):
+        want = {}
+        for k, c in enumerate(docs_):
+            both = [t for t in docs_[seed] if t in c and df[t] > 1]
+            norm = p.k1 * (1 - p.b + p.b * sum(c.values()) / mean)
+            if both:
+                want[k] = sum(np.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (p.k1 + 1) / (c[t] + norm) for t in both)
+        found, score = index.neighbours(seed)
+        assert found.tolist() == sorted(want) and np.allclose(score, [want[k] for k in sorted(want)], rtol=1e-5)
+
+
 def test_like_documents_share_a_shard(spark):
     rng = np.random.default_rng(8)
     words = [[f"{chr(97 + t)}{w}x" for w in range(40)] for t in range(16)]
