@@ -119,23 +119,27 @@ class VPTree:
         self._vec[q[keep], rank[keep]] = v[keep]
 
 
-def _search_shards(bound: float, k: int, factor: float, dims: int):
+def _search_shards(bounds: dict[int, float], k: int, factor: float):
+    """``bounds``: length of vectors to the largest norm among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, vectors, tree = None, [], [], None
+        now, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            s, kind, i = (np.asarray(batch.column(c)) for c in range(3))
-            x = np.asarray(batch.column(3).flatten()).reshape(-1, dims)
-            cut = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])))
+            d, s, kind, i = (np.asarray(batch.column(c)) for c in range(4))
+            lists = batch.column(4)
+            flat, first = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])))
             for a, z in zip(cut, np.append(cut[1:], len(s)), strict=True):
-                if s[a] != shard:
-                    shard, ids, vectors, tree = s[a], [], [], None
+                if (d[a], s[a]) != now:
+                    now, ids, vectors, tree = (d[a], s[a]), [], [], None
+                x = flat[first[a] : first[z]].reshape(z - a, int(d[a]))
                 if kind[a] == 0:
                     ids.append(i[a:z])
-                    vectors.append(x[a:z])
+                    vectors.append(x)
                 elif ids:
-                    tree = tree or VPTree(np.concatenate(ids), np.concatenate(vectors), bound)
-                    for lo in range(a, z, 1024):
-                        q, v, score = tree.search(i[lo : min(lo + 1024, z)], x[lo : min(lo + 1024, z)], k, factor)
+                    tree = tree or VPTree(np.concatenate(ids), np.concatenate(vectors), bounds[int(d[a])])
+                    for lo in range(0, len(x), 1024):
+                        q, v, score = tree.search(i[a + lo : min(a + lo + 1024, z)], x[lo : lo + 1024], k, factor)
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
@@ -145,24 +149,24 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = FA
     """query_id, rank, vec_id, score: for every row whose id is divisible by ``every`` the ``k`` others of largest inner
     product that the search finds, ties to the smaller id.
 
-    Vectors that are null, empty, zero, hold a null or non-finite component or have another length than most take no
-    part, nor do rows without id. Rows with the query's own id are never its neighbours; other repeated rows count
-    each. An empty table gives no rows."""
+    Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without id.
+    Vectors of different lengths have no inner product: each is searched among those of its own length. Rows with the
+    query's own id are never its neighbours; other repeated rows count each. An empty table gives no rows."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     ok = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(F.coalesce(ok, F.lit(False)))
+    rows = rows.filter(F.coalesce(ok, F.lit(False))).withColumn("dims", F.size("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    by_dims = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"))
-    found = by_dims.orderBy(F.desc("n"), "dims").limit(1).collect()
-    dims, n, bound = (found[0]["dims"], found[0]["n"], float(np.sqrt(found[0]["m"])) * (1 + 1e-12)) if found else (1, 0, 0.0)
-    rows = rows.filter(F.size("v") == dims)
-    shards = max(1, -(-n // shard_rows))
-    stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.filter(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    # One row for each length of vectors.
+    found = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m")).collect()
+    bounds = {r["dims"]: float(np.sqrt(r["m"])) * (1 + 1e-12) for r in found}
+    plan = spark.createDataFrame([(r["dims"], -(-r["n"] // shard_rows)) for r in found], "dims int, shards int")
+    rows = rows.join(F.broadcast(plan), "dims")
+    stored = rows.select("dims", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    asked = rows.filter(F.col("id") % every == 0).select("dims", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "v")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = stored.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "id")
-    hits = met.mapInArrow(_search_shards(bound, k, factor, dims), "query_id long, vec_id long, score double")
+    met = stored.unionByName(asked).repartition(parts, "dims", "shard").sortWithinPartitions("dims", "shard", "kind", "id")
+    hits = met.mapInArrow(_search_shards(bounds, k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,6 +61,20 @@ def test_recall_of_the_production_factor(spark, sf):
     assert few.count() == 4
 
 
+def test_vectors_are_searched_among_those_of_their_length(spark):
+    rng = np.random.default_rng(4)
+    x = {k: rng.normal(size=3 if k % 3 else 5).tolist() for k in range(120)}
+    x |= {200: [1.0], 201: [float("nan"), 1.0, 2.0], 202: [0.0, 0.0, 0.0], 203: [], 204: None, 205: [1.0, None, 2.0]}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>").withColumns({"dims": F.lit("x"), "shard": F.lit(1), "v": F.lit(2)})
+    out = ann.nearest(df, k=3, factor=1.0, shard_rows=20).collect()
+    ok = {k: v for k, v in x.items() if v and None not in v and np.isfinite(v).all() and any(v)}
+    want = set()
+    for q in (k for k in ok if k % 20 == 0):
+        best = sorted((-float(np.cumsum(np.multiply(ok[q], ok[k]))[-1]), k) for k in ok if k != q and len(ok[k]) == len(ok[q]))[:3]
+        want |= {(q, r + 1, k) for r, (_, k) in enumerate(best)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in out} == want and 200 not in {r["query_id"] for r in out}
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in range(9):

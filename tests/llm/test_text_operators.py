@@ -275,6 +275,60 @@ def test_boosted_urls_on_held_out_labels(spark):
     assert (flat < 0.5).all()
 
 
+def test_features_do_not_tell_the_label_they_are_fitted_on():
+    urls = [f"http://only{k}.net/x" for k in range(200)]
+    y = np.arange(200) % 2.0
+    at = url_filter.FEATURES.index("domain_rate")
+    seen = url_filter.Lexicon.fit(urls, y).features(urls)[:, at]
+    held = url_filter.Lexicon.features_out_of_fold(urls, y)[:, at]
+    assert np.corrcoef(seen, y)[0, 1] > 0.9 and abs(np.corrcoef(held, y)[0, 1]) < 0.3
+
+
+def test_lexical_features_of_one_url():
+    url = "https://Ab-c.Example.com/x/y-1.html?a=1&b=2#frag"
+    x = dict(zip(url_filter.FEATURES, url_filter.Lexicon({}, 0.25).features([url])[0].tolist(), strict=True))
+    n = len(url)
+    entropy = -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url))
+    want = {"length": n, "host_length": 16, "path_length": 11, "labels": 3, "depth": 2, "digit_ratio": 3 / n, "entropy": entropy, "parameters": 2, "query_length": 7, "fragment": 4, "hyphens": 2, "last_segment": 8, "top_rate": 0.25, "top_count": 0, "secure": 1}
+    assert all(x[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+
+
+def test_long_and_repeated_urls_are_judged_each(spark):
+    rows = [(k, f"http://s{k % 5}.org/{'p' if k % 2 else 'q'}") for k in range(50)] + [(90, "http://x.net/" + "a" * 30_000), (91, "http://x.net/b"), (91, "http://x.net/b")]
+    rows += [(60 + k, f"http://s{k}.com/de/x") for k in range(20)]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumns({"p": F.lit(1), "rule": F.lit("x")})).collect()
+    assert len(out) == len(rows) and all((r["rule"] is None) == (r["block_probability"] is not None) for r in out)
+    assert len({(r["verdict"], r["block_probability"]) for r in out if r["page_id"] == 91}) == 1
+
+
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(1)
+    text_of = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    rows = [(k, text_of("abcdefg"), "aa") for k in range(3000)] + [(5000 + k, text_of("uvwxyz"), "zz") for k in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=100, least=10)
+    out = model.predict([text_of("uvwxyz") for _ in range(20)] + [text_of("abcdefg")])
+    assert out["lang_pred"].tolist() == ["zz"] * 20 + ["aa"] and model.log_prior[model.langs.index("zz")] < np.log(0.02)
+
+
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(k, f"plain words of text {k}" if k % 2 else f"vile awful slurs {k}") for k in range(200)] + [(4, f"copy {j}") for j in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"y": F.lit(1), "n": F.lit(2)})
+    lab = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(200)], "doc_id long, toxic int")
+    one = toxicity.train(d.drop("y", "n"), lab)
+    assert toxicity.train(d.drop("y"), lab).bucket.tolist() == one.bucket.tolist() and len(one.bucket)
+    assert len(toxicity.detect(d, one).collect()) == 700
+    assert len(toxicity.train(d, lab, max_pairs=0).bucket) == 0
+
+
+def test_slots_of_many_rows_without_id(spark):
+    rows = [(None, f"text {k}") for k in range(3000)] + [(k, "x") for k in range(1000)]
+    placed = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.crc32("text")), "doc_id", (1.0, 1.0, 1.0))
+    out = sharding.with_slots(placed, "shard", "doc_id", 4000, rows_per_task=200, also=("c",)).toPandas()
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert len(out) == 4000
+
+
 def test_trees_follow_their_splits():
     x = np.array([[0.0], [1.0], [2.0], [3.0]] * 20)
     y = (x[:, 0] >= 2).astype(float)
