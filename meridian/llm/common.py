@@ -73,13 +73,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def likely_in(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
-    """The rows of ``df`` whose key is in ``ids``, and a few others: a bitmap of hashed ids, of 2**bits bits whatever
-    their number and so broadcast, drops most rows before a join with ``ids`` shuffles the rest."""
+def mark_likely(df: DataFrame, key: str, ids: DataFrame, id_col: str, name: str, bits: int = 24) -> DataFrame:
+    """``df`` with a column ``name``: false where the key is not in ``ids`` for sure. A bitmap of hashed ids, of 2**bits
+    bits whatever their number, is broadcast."""
     slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
     words = ids.select(slot(id_col).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__h & 63 as int))")).alias("__m"))
-    marked = df.withColumn("__h", slot(key)).join(F.broadcast(words), F.shiftright("__h", 6) == F.col("__w"))
-    return marked.filter("shiftright(__m, cast(__h & 63 as int)) & 1 = 1").drop("__h", "__w", "__m")
+    marked = df.withColumn("__h", slot(key)).join(F.broadcast(words), F.shiftright("__h", 6) == F.col("__w"), "left")
+    return marked.withColumn(name, F.coalesce(F.expr("shiftright(__m, cast(__h & 63 as int)) & 1 = 1"), F.lit(False))).drop("__h", "__w", "__m")
+
+
+def likely_in(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose key is in ``ids``, and a few others: it drops most rows before a join with ``ids``
+    shuffles the rest."""
+    return mark_likely(df, key, ids, id_col, "__likely", bits).filter("__likely").drop("__likely")
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

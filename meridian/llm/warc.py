@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import join_groups, mark_likely, materialize, scratch_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Timestamp of page 0 where a table has no capture times: 2024-01-01T00:00:00Z.
@@ -237,11 +237,16 @@ def archive_pages(pages: DataFrame, folder: str | None = None, ts: Column | None
     when = ts if ts is not None else F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1 << 32))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", when.cast("long").alias("ts"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
     first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = materialize(first.filter("n > 1").select(F.col("digest").alias("d"), "first"), "repeated-payloads")
-    # Repeated payloads are few or many: their digests are broadcast only up to max_broadcast rows of some 80 bytes;
-    # beyond that both sides are shuffled by digest, where adaptive execution splits a payload that is very common.
+    first = materialize(first.filter("n > 1").select("digest", "first", "n"), "repeated-payloads")
+    # Repeated payloads are few or many: their digests are broadcast only up to max_broadcast rows of some 80 bytes.
+    # Beyond that a bitmap keeps all other payloads where they are, very common ones are joined by broadcast, and only
+    # the rest of the repeated ones is shuffled by digest.
     if first.count() <= max_broadcast:
-        first = F.broadcast(first)
+        rows = rows.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:
+        marked = mark_likely(rows, "digest", first, "digest", "__likely")
+        twice = join_groups(marked.filter("__likely"), first, "digest", "n", rows.count(), "left")
+        rows = twice.unionByName(marked.filter("not __likely").withColumn("first", F.lit(None).cast("long"))).drop("__likely")
     refers = F.when(F.col("bytes") >= least, F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
-    captures = rows.join(first, F.col("digest") == F.col("d"), "left").withColumns({"refers_to": refers, "url_key": url_key(F.col("url"))})
+    captures = rows.withColumns({"refers_to": refers, "url_key": url_key(F.col("url"))})
     return read(merge_index(write(captures, folder)), folder)
