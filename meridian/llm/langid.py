@@ -53,10 +53,11 @@ class LanguageModel:
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, max_langs: int = 256, bits: int = BITS, sizes=SIZES, alpha: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = 20_000, max_langs: int = 256, least: int = 50, bits: int = BITS, sizes=SIZES, alpha: float = 0.5) -> LanguageModel:
     """Fit on a sample of about ``max_docs`` of the rows with a non-null lang outside fold 0, drawn by a hash of
-    doc_id; of their languages the ``max_langs`` most frequent are learned. Whole texts count. Without such
-    rows the model knows no language and answers ``und``."""
+    doc_id; of their languages the ``max_langs`` most frequent are learned. A rare language is drawn more often, so that
+    about ``least`` of its documents (all, if it has fewer) are read; priors are the true shares. Whole texts count.
+    Without such rows the model knows no language and answers ``und``."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in seen)
@@ -78,7 +79,8 @@ def train(docs: DataFrame, max_docs: int = 20_000, max_langs: int = 256, bits: i
         lang, bucket = np.nonzero(sums[:, :width])
         yield pd.DataFrame({"k": lang.astype("int32"), "b": bucket.astype("int32"), "n": sums[lang, bucket]})
 
-    sample = rows.filter(unit_hash("doc_id", seed=3) < max_docs / max(total, 1)).select("lang", "text")
+    chance = F.create_map(*(F.lit(x) for r in seen for x in (r["lang"], max(max_docs / total, least / r["count"]))))
+    sample = rows.filter(unit_hash("doc_id", seed=3) < F.try_element_at(chance, F.col("lang"))).select("lang", "text")
     found = sample.mapInPandas(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(langs), width), alpha)
     counts[found["k"], found["b"]] += found["n"]
