@@ -6,6 +6,7 @@ features, and applied on the executors to every URL that no rule decides."""
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -96,6 +97,17 @@ class Lexicon:
         prior = float(y.mean()) if len(y) else 0.0
         return cls({s: (math.log1p(k), (bad[s] + smooth * prior) / (k + smooth)) for s, k in n.items()}, prior)
 
+    @classmethod
+    def features_out_of_fold(cls, urls: list[str | None], y: np.ndarray, folds: int = 5) -> np.ndarray:
+        """Features of labelled URLs, each from a lexicon that knows no label of its own fold: what the trees are fitted on
+        must not tell them the answer. Equal URLs share a fold."""
+        fold = np.array([zlib.crc32((u or "").encode("utf-8", "surrogatepass")) % folds for u in urls], dtype=int)
+        out = np.zeros((len(urls), len(FEATURES)), dtype=np.float32)
+        for k in range(folds):
+            rest, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            out[mine] = cls.fit([urls[i] for i in rest], y[rest]).features([urls[i] for i in mine])
+        return out
+
     def features(self, urls: list[str | None]) -> np.ndarray:
         out = np.zeros((len(urls), len(FEATURES)), dtype=np.float32)
         none = (0.0, self.prior)
@@ -187,7 +199,7 @@ def train(labelled: DataFrame, max_urls: int = 20_000, max_length: int = 10_000)
     lexicon = Lexicon.fit(urls, y)
     if len(urls) < 2:
         return UrlModel(lexicon, Trees(np.zeros((0, 0), int), np.zeros((0, 0)), np.zeros((0, 1)), -1.0))
-    return UrlModel(lexicon, boost(lexicon.features(urls), y))
+    return UrlModel(lexicon, boost(Lexicon.features_out_of_fold(urls, y), y))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, model: UrlModel | None = None) -> DataFrame:
@@ -203,9 +215,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, model: UrlModel | Non
     shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded: 4 suffixes of max_urls URLs, and the trees
 
     @F.pandas_udf("double")
-    def probability(urls: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.block_probability(urls.tolist()))
-
-    rows = rows.withColumn("p", probability(F.col("url")))
+    def probability(urls: pd.Series, ruled: pd.Series) -> pd.Series:
+        """Of the URLs that no rule decides."""
+        out = np.full(len(urls), np.nan)
+        todo = np.flatnonzero(~ruled.to_numpy(dtype=bool))
+        out[todo] = shared.value.block_probability(urls.iloc[todo].tolist())
+        return pd.Series(out)
+
+    rows = rows.withColumn("p", probability(F.col("url"), F.col("rule").isNotNull()))
     by_model = F.when(F.col("p") >= 0.5, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.col("p")).alias("block_probability"))
