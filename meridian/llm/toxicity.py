@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, materialize, unit_hash
@@ -129,10 +129,11 @@ def noisy_or_fit(doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, n_featu
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 1024, bits: int = BITS, sizes=SIZES) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 1024, max_pairs: int = 8_000_000, bits: int = BITS, sizes=SIZES) -> ToxicityModel:
     """Fit on a sample of at most ``max_docs`` labelled documents outside fold 0, half of it toxic ones if there are
-    so many, drawn by a hash of doc_id; weights restore the classes' shares. Of repeated labels the highest counts,
-    null labels none. Without both classes the model answers with the share of toxic labels."""
+    so many, drawn by a hash of doc_id, and of these on as many, in the order of the hash, as have ``max_pairs`` pairs of
+    a sentence and a feature together; weights restore the classes' shares. Of repeated labels the highest counts, null
+    labels none; of repeated ids one text. Without both classes the model answers with the share of toxic labels."""
     spark = docs.sparkSession
     rows = labels.filter((fold() != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
     ids = rows.filter(at < chance).orderBy(at / chance, "doc_id").limit(max_docs)
     ids = ids.withColumnRenamed("doc_id", "__id")
     # The sample's ids are at most max_docs, so they may be broadcast: the texts of all others stay where they are.
-    sample = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sample = materialize(sample, "toxicity-sample")
     drawn = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not drawn.get(1) or not drawn.get(0):
@@ -190,7 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_featur
                 rows.append((doc_id, y, int(s.max(initial=0)) + 1, s.astype("<i4").tobytes(), (pair & (width - 1)).astype("<i4").tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "y", "n", "s", "f"])
 
-    fit = sample.mapInPandas(bags, "doc_id long, y int, n int, s binary, f binary").orderBy("doc_id").toPandas()
+    held = materialize(sample.mapInPandas(bags, "doc_id long, y int, n int, s binary, f binary"), "toxicity-bags")
+    # Of at most max_docs rows: how many pairs come before, in the order of the hash.
+    before = F.sum(F.length("s") / 4 + 1).over(Window.orderBy(unit_hash("doc_id", seed=6), "doc_id"))
+    few = held.select("doc_id", before.alias("upto")).filter(F.col("upto") <= max_pairs).select("doc_id")
+    fit = held.join(F.broadcast(few), "doc_id").orderBy("doc_id").toPandas()
+    if not len(fit):
+        return flat
     base = np.concatenate(([0], np.cumsum(fit["n"])))
     sent = np.concatenate([np.frombuffer(s, "<i4") + np.int32(base[k]) for k, s in enumerate(fit["s"])])
     feature = np.concatenate([np.frombuffer(f, "<i4") for f in fit["f"]])
