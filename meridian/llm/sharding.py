@@ -31,16 +31,17 @@ def assign(docs: DataFrame, key: str, weights: Sequence[float], names: tuple[str
     return out.withColumns({names[0]: shard, names[1]: F.when(F.col("__extra") > F.col("__best.s"), F.lit(n)).otherwise(shard)}).drop("__best", "__extra")
 
 
-def with_slots(docs: DataFrame, shard: str, key: str, rows: int, slot: str = "slot", rows_per_task: int = 200_000) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap. A shard is cut into pieces by a hash of the key so that a
-    task numbers about ``rows_per_task`` rows, of ``rows`` in all; a small table of counts says where each piece begins."""
+def with_slots(docs: DataFrame, shard: str, key: str, rows: int, slot: str = "slot", rows_per_task: int = 200_000, also: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each shard from 0 without a gap. A shard is cut into pieces by a hash of the key and of the
+    columns ``also``, so that a task numbers about ``rows_per_task`` rows, of ``rows`` in all, even where many rows have
+    one key or none; a small table of counts says where each piece begins."""
     pieces = max(1, -(-rows // rows_per_task))
-    piece = F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(pieces)).cast("int")
+    piece = F.pmod(F.xxhash64(F.col(key), F.lit("slot"), *also), F.lit(pieces)).cast("int")
     cut = docs.withColumn("__piece", piece)
     before = Window.partitionBy(shard).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(shard, "__piece").agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.select(F.col(shard).alias("__s"), F.col("__piece").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    rank = F.row_number().over(Window.partitionBy(shard, "__piece").orderBy(key))
+    rank = F.row_number().over(Window.partitionBy(shard, "__piece").orderBy(key, *also))
     numbered = cut.withColumn("__r", rank)
     joined = numbered.join(counts, (F.col(shard) == F.col("__s")) & (F.col("__piece") == F.col("__p")))
     return joined.withColumn(slot, F.col("__from") + F.col("__r") - 1).drop("__piece", "__s", "__p", "__from", "__r")
@@ -52,5 +53,5 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 40) ->
     rows = docs.select("doc_id").count()
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = with_slots(assign(slim, "doc_id", weights), "shard", "doc_id", rows)
+    placed = with_slots(assign(slim, "doc_id", weights), "shard", "doc_id", rows, also=("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), F.col("grown_shard").cast("int"))
