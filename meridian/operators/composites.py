@@ -44,17 +44,17 @@ def period_label(period: str, time: Column) -> Column:
     return F.date_format(time, "MM_yyyy" if period == "monthly" else "yyyy")
 
 
-def composites(pixels: DataFrame, bands: Sequence[str], stats: str | Sequence[str], time: str = "time") -> DataFrame:
+def composites(pixels: DataFrame, bands: Sequence[str], stats: str | Sequence[str], time: str = "time", by: Sequence[str] = ()) -> DataFrame:
     """(layer, row, col, bands): layer is ``mean_timeseries``, ``max_04_2021``, ``min_2021``. Each period is one
-    aggregation with all its operations, unfolded to layers afterwards."""
+    aggregation with all its operations, unfolded to layers afterwards. ``by``: keys of areas, which come first."""
     by_period: dict[str, list[str]] = {}
     for r in parse_requests(stats):
         by_period.setdefault(r.period, []).append(r.op)
     out = None
     for period, ops in by_period.items():
-        wide = reduce(pixels.withColumn("__p", period_label(period, F.col(time))), ["__p", "row", "col"], bands, ops)
+        wide = reduce(pixels.withColumn("__p", period_label(period, F.col(time))), [*by, "__p", "row", "col"], bands, ops)
         layers = F.explode(F.array(*(F.struct(F.lit(op).alias("op"), *(F.col(f"{b}_{op}").alias(b) for b in bands)) for op in ops)))
-        long = wide.select("__p", "row", "col", layers.alias("s")).select(F.concat_ws("_", "s.op", "__p").alias("layer"), "row", "col", *(F.col(f"s.{b}").alias(b) for b in bands))
+        long = wide.select(*by, "__p", "row", "col", layers.alias("s")).select(*by, F.concat_ws("_", "s.op", "__p").alias("layer"), "row", "col", *(F.col(f"s.{b}").alias(b) for b in bands))
         out = long if out is None else out.unionByName(long)
     return out
 
@@ -86,7 +86,7 @@ class Custom:
         return self.name or f"{self.op}_{re.sub('-', '', self.start)}_{re.sub('-', '', self.end)}"
 
 
-def custom_composite(pixels: DataFrame, bands: Sequence[str], spec: Custom, taken: Sequence[str] = (), time: str = "time") -> DataFrame:
+def custom_composite(pixels: DataFrame, bands: Sequence[str], spec: Custom, taken: Sequence[str] = (), time: str = "time", by: Sequence[str] = ()) -> DataFrame:
     """(layer, row, col, bands, n_dates). Years without a scene give no layer; a season is found by a projection to its
     start year, without a join."""
     if spec.base in taken:
@@ -99,7 +99,7 @@ def custom_composite(pixels: DataFrame, bands: Sequence[str], spec: Custom, take
     else:
         rows, layer = pixels.filter(in_window(t, spec.windows[0])), F.lit(spec.base)
     rows = rows.withColumn("layer", layer)
-    return rows.groupBy("layer", "row", "col").agg(*(REDUCERS[spec.op](b).alias(b) for b in bands), F.count_distinct(F.to_date(t)).alias("n_dates"))
+    return rows.groupBy(*by, "layer", "row", "col").agg(*(REDUCERS[spec.op](b).alias(b) for b in bands), F.count_distinct(F.to_date(t)).alias("n_dates"))
 
 
 def solar_day_mosaic(pixels: DataFrame, bands: Sequence[str], order: Column, keys: Sequence[str] = ("day", "row", "col")) -> DataFrame:

@@ -50,9 +50,10 @@ def by_coverage(stats: DataFrame, least: float | None = 0.9) -> DataFrame:
     return stats if least is None else stats.filter(F.col("scene_coverage") >= least)
 
 
-def keep_scenes(pixels: DataFrame, stats: DataFrame, key: str = "time") -> DataFrame:
+def keep_scenes(pixels: DataFrame, stats: DataFrame, key: str | Sequence[str] = "time") -> DataFrame:
     """Pixels of the scenes that are left; the table of scenes is small and joined as such by its size."""
-    return pixels.join(stats.select(key), key, "left_semi")
+    keys = [key] if isinstance(key, str) else list(key)
+    return pixels.join(stats.select(*keys), keys, "left_semi")
 
 
 def crop(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:

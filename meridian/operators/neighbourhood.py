@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import Grid
@@ -61,18 +61,25 @@ def dilate(mask: DataFrame, radius: int, shape: tuple[int, int] | None = None) -
     return out.filter(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1)) if shape else out
 
 
-def majority(mask: DataFrame, radius: int, shape: tuple[int, int]) -> DataFrame:
-    """Pixels whose disk is set in more than half; beyond the border the image is mirrored with its edge pixel repeated
-    (row -1 is row 0)."""
+def disk_mean_above(values: DataFrame, radius: int, shape: tuple[int, int], value: Column, limit: float) -> DataFrame:
+    """Pixels (time, row, col) over whose disk the mean of ``value`` exceeds ``limit``; pixels that are not there count 0.
+    Beyond the border the image is mirrored with its edge pixel repeated (row -1 is row 0). Only pixels above 0 are
+    copied to their disk, and copies are summed before they move."""
     height, width = shape
     offs = disk_offsets(radius)
     off = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offs))).alias("o")
-    # Each set pixel stands in for its mirror images near a border.
+    # Each pixel stands in for its mirror images near a border.
     mirrors = lambda v, n: F.array_distinct(F.array(v, F.when(v < radius, -1 - v).otherwise(v), F.when(v >= n - radius, 2 * n - 1 - v).otherwise(v)))
-    spread = mask.select("time", F.explode(mirrors(F.col("row"), height)).alias("row"), "col").select("time", "row", F.explode(mirrors(F.col("col"), width)).alias("col"))
-    votes = spread.select("time", "row", "col", off).select("time", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+    some = values.select(*KEYS, value.alias("v")).filter("v > 0")
+    spread = some.select("time", F.explode(mirrors(F.col("row"), height)).alias("row"), "col", "v").select("time", "row", F.explode(mirrors(F.col("col"), width)).alias("col"), "v")
+    votes = spread.select("time", "row", "col", "v", off).select("time", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "v")
     votes = votes.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    return votes.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > len(offs) / 2).select(*KEYS)
+    return votes.groupBy(*KEYS).agg(F.sum("v").alias("n")).filter(F.col("n") > limit * len(offs)).select(*KEYS)
+
+
+def majority(mask: DataFrame, radius: int, shape: tuple[int, int]) -> DataFrame:
+    """Pixels whose disk is set in more than half; borders as in ``disk_mean_above``."""
+    return disk_mean_above(mask, radius, shape, F.lit(1), 0.5)
 
 
 def smooth_and_dilate(mask: DataFrame, average_over: int, dilation: int, shape: tuple[int, int]) -> DataFrame:
@@ -80,6 +87,37 @@ def smooth_and_dilate(mask: DataFrame, average_over: int, dilation: int, shape:
     return dilate(out, dilation, shape) if dilation else out
 
 
+def probability_masks(prob: DataFrame, thresholds: Sequence[float], shape: tuple[int, int], average_over: int = 4, dilation: int = 2) -> DataFrame:
+    """``prob`` (KEYS, cloud_prob in percent, mask_method) with cloud_mask_<N> for each threshold: the probability is
+    averaged over a disk, compared, and what is above is grown. Scenes whose probability was filled from classes
+    (mask_method ``scl``) are taken as they are, cloud at 100."""
+    if bad := [t for t in thresholds if not 0 < t <= 100]:
+        raise ValueError(f"thresholds are percent: {bad}")
+    filled = F.col("mask_method") == "scl" if "mask_method" in prob.columns else F.lit(False)
+    own = prob.filter(~F.coalesce(filled, F.lit(False)))
+    out = prob
+    for t in thresholds:
+        above = disk_mean_above(own, average_over, shape, F.col("cloud_prob"), t) if average_over else own.filter(F.col("cloud_prob") > t).select(*KEYS)
+        above = (dilate(above, dilation, shape) if dilation else above).withColumn("__on", F.lit(True))
+        hit = F.when(F.coalesce(filled, F.lit(False)), F.col("cloud_prob") >= 100).otherwise(F.coalesce("__on", F.lit(False)))
+        out = out.join(above, list(KEYS), "left").withColumn(f"cloud_mask_{t:g}", F.coalesce(hit, F.lit(False)).cast("tinyint")).drop("__on")
+    return out
+
+
+def cloud_pixels(mask: DataFrame, threshold: float, shape: tuple[int, int], average_over: int = 4, dilation: int = 2) -> DataFrame:
+    """Cloud pixels (KEYS) of a mask table: the layer made for the threshold, else one made of ``cloud_prob``, else the
+    first mask layer there is."""
+    exact = f"cloud_mask_{threshold:g}"
+    layers = [c for c in mask.columns if c.startswith("cloud_mask")]
+    if exact not in mask.columns and "cloud_prob" in mask.columns:
+        mask = probability_masks(mask.drop(*layers), [threshold], shape, average_over, dilation)
+    elif exact not in mask.columns:
+        if not layers:
+            raise ValueError(f"there is no cloud_mask layer and no cloud_prob among {', '.join(mask.columns)}")
+        exact = layers[0]
+    return mask.filter(F.col(exact) > 0).select(*KEYS)
+
+
 def detect_shadows(pixels: DataFrame, clouds: DataFrame, grid: Grid, distance_m: float = 1000.0, step_m: float = 100.0, threshold: float = 0.18, average_over: int = 4, dilation: int = 2, nir: str = "nir", scl: str | None = "scl") -> DataFrame:
     """Shadow pixels: dark, within reach of a cloud, smoothed, grown, and not cloud. ``clouds`` has sun_azimuth."""
     shape = (grid.height, grid.width)
@@ -88,6 +126,24 @@ def detect_shadows(pixels: DataFrame, clouds: DataFrame, grid: Grid, distance_m:
     return smooth_and_dilate(dark, average_over, dilation, shape).join(clouds.select(*KEYS), list(KEYS), "left_anti")
 
 
+def with_azimuth(clouds: DataFrame, azimuths: DataFrame) -> DataFrame:
+    """Cloud pixels with the sun_azimuth of their day; ``azimuths`` is (day, sun_azimuth). A day without one is an error,
+    never a guess."""
+    joined = clouds.withColumn("day", F.to_date("time")).join(azimuths.select("day", "sun_azimuth"), "day", "left").drop("day")
+    return joined.withColumn("sun_azimuth", F.coalesce("sun_azimuth", F.raise_error(F.lit("a day has no sun azimuth")).cast("double")))
+
+
+def shadow_layers(pixels: DataFrame, mask: DataFrame, azimuths: DataFrame, grid: Grid, threshold: float = 45, distance_m: float = 1000.0, step_m: float = 100.0, dark: float = 0.18, average_over: int = 4, dilation: int = 2, nir: str = "nir", scl: str | None = "scl") -> DataFrame:
+    """Every pixel's cloud_mask, shadow_mask and cloudshadow_mask (KEYS, 0 or 1): clouds by ``cloud_pixels``, shadows by
+    ``detect_shadows``."""
+    clouds = cloud_pixels(mask, threshold, (grid.height, grid.width), average_over, dilation)
+    shadows = detect_shadows(pixels, with_azimuth(clouds, azimuths), grid, distance_m, step_m, dark, average_over, dilation, nir, scl)
+    both = clouds.withColumns({"c": F.lit(1), "s": F.lit(0)}).unionByName(shadows.withColumns({"c": F.lit(0), "s": F.lit(1)}))
+    marks = both.groupBy(*KEYS).agg(F.max("c").alias("c"), F.max("s").alias("s"))
+    c, s = (F.coalesce(x, F.lit(0)).cast("tinyint") for x in ("c", "s"))
+    return pixels.select(*KEYS).join(marks, list(KEYS), "left").select(*KEYS, c.alias("cloud_mask"), s.alias("shadow_mask"), F.greatest(c, s).alias("cloudshadow_mask"))
+
+
 # Dense kernels on tiles ---------------------------------------------------------------------------------------------
 
 

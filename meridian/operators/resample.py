@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_categorical
-from .grid import Grid
+from .grid import Grid, between
 from .neighbourhood import map_tiles
 
 
@@ -33,26 +33,59 @@ def reproject_nearest(pixels: DataFrame, source: Grid, target: Grid, inverse: Ca
     return joined.drop("row", "col").withColumnsRenamed({"__row": "row", "__col": "col"}).select(*pixels.columns)
 
 
-def reproject_bilinear(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], inverse: Callable[[Column, Column], tuple[Column, Column]] | None = None, key: str = "time") -> DataFrame:
-    """Weights of the four source pixels around each target centre as rows, joined and summed; missing neighbours do not
-    count. Class bands take the nearest instead."""
+def _taps(t: Column, method: str) -> list[tuple[int, Column]]:
+    """Offsets and weights of the source pixels around a point ``t`` (0 to 1) past a pixel centre. Cubic is Keys' kernel
+    with a = -0.5."""
+    if method == "bilinear":
+        return [(0, 1 - t), (1, t)]
+    t2, t3 = t * t, t * t * t
+    return [(-1, -0.5 * t + t2 - 0.5 * t3), (0, 1 - 2.5 * t2 + 1.5 * t3), (1, 0.5 * t + 2 * t2 - 1.5 * t3), (2, -0.5 * t2 + 0.5 * t3)]
+
+
+def reproject_weighted(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], inverse: Callable[[Column, Column], tuple[Column, Column]] | None = None, key: str | Sequence[str] = "time", method: str = "bilinear") -> DataFrame:
+    """``bilinear`` or ``cubic``: weights of the source pixels around each target centre as rows, joined and summed.
+    Missing neighbours do not count; where less than half of the weight is there (cubic) the pixel is missing. Class
+    bands take the nearest instead."""
+    keys = [key] if isinstance(key, str) else list(key)
     cells = target_cells(pixels.sparkSession, target)
     x, y = target.x(F.col("col")), target.y(F.col("row"))
     if inverse:
         x, y = inverse(x, y)
-    u, v = (x - source.c) / source.a - 0.5, (y - source.f) / source.e - 0.5
-    four = F.array(*(F.struct((F.floor(v) + dr).cast("int").alias("r"), (F.floor(u) + dc).cast("int").alias("c"), (F.abs(1 - dr - (v - F.floor(v))) * F.abs(1 - dc - (u - F.floor(u)))).alias("w")) for dr in (0, 1) for dc in (0, 1)))
-    at = cells.select(F.col("row").alias("__row"), F.col("col").alias("__col"), F.explode(four).alias("n")).select("__row", "__col", F.col("n.r").alias("row"), F.col("n.c").alias("col"), F.col("n.w").alias("w")).filter("w > 0")
+    at = cells.select(F.col("row").alias("__row"), F.col("col").alias("__col"), ((x - source.c) / source.a - 0.5).alias("u"), ((y - source.f) / source.e - 0.5).alias("v"))
+    at = at.withColumns({"c0": F.floor("u").cast("int"), "r0": F.floor("v").cast("int")}).withColumns({"tc": F.col("u") - F.col("c0"), "tr": F.col("v") - F.col("r0")})
+    near = lambda d, t: F.abs(F.lit(float(d)) - t)
+    every = F.array(*(
+        F.struct((F.col("r0") + dr).alias("row"), (F.col("c0") + dc).alias("col"), (wr * wc).alias("w"), (near(dr, F.col("tr")) + near(dc, F.col("tc"))).alias("d"))
+        for dr, wr in _taps(F.col("tr"), method) for dc, wc in _taps(F.col("tc"), method)
+    ))
+    at = at.select("__row", "__col", F.inline(every)).filter("w <> 0")
     agg = []
     for b in bands:
+        there = F.col(b).isNotNull()
         if is_categorical(b):
-            agg.append(F.max_by(b, F.when(F.col(b).isNotNull(), F.struct("w", -F.col("row"), -F.col("col")))).alias(b))
+            agg.append(F.min_by(b, F.when(there, F.struct("d", "row", "col"))).alias(b))
         else:
-            agg.append((F.sum(F.col(b) * F.col("w")) / F.nullif(F.sum(F.when(F.col(b).isNotNull(), F.col("w"))), F.lit(0.0))).alias(b))
-    out = pixels.join(at, ["row", "col"]).groupBy(key, "__row", "__col").agg(*agg)
+            whole = F.sum(F.when(there, F.col("w")))
+            enough = whole > (0.5 if method == "cubic" else 0)
+            agg.append(F.when(enough, F.sum(F.col(b) * F.col("w")) / whole).alias(b))
+    out = pixels.join(at, ["row", "col"]).groupBy(*keys, "__row", "__col").agg(*agg)
     return out.withColumnsRenamed({"__row": "row", "__col": "col"})
 
 
+def reproject_bilinear(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], inverse: Callable[[Column, Column], tuple[Column, Column]] | None = None, key: str = "time") -> DataFrame:
+    return reproject_weighted(pixels, source, target, bands, inverse, key, "bilinear")
+
+
+def reproject(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], method: str = "nearest", key: str | Sequence[str] = "time") -> DataFrame:
+    """Onto a grid of the same system or of another UTM zone; class bands always take the nearest pixel."""
+    inverse = between(target.crs, source.crs)
+    if method == "nearest":
+        return reproject_nearest(pixels, source, target, inverse)
+    if method not in ("bilinear", "cubic"):
+        raise ValueError("resampling is nearest, bilinear or cubic")
+    return reproject_weighted(pixels, source, target, bands, inverse, key, method)
+
+
 def shift_whole(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
     return pixels.withColumns({"row": F.col("row") + rows, "col": F.col("col") + cols})
 
@@ -92,24 +125,25 @@ def warp(pixels: DataFrame, bands: Sequence[str], dr: float, dc: float, tile: in
 
 
 def fill_nearest(a: np.ndarray) -> np.ndarray:
-    """Missing values take the nearest value by rings of growing distance (squares, then the nearest in them)."""
-    out = a.copy()
-    missing = np.isnan(out)
+    """Missing values take the nearest value, of equally near ones that of the smallest column. The nearest of each column
+    is found first, so a row costs its width squared instead of missing times present pixels."""
+    missing = np.isnan(a)
     if missing.all() or not missing.any():
-        return out
-    good = np.argwhere(~missing)
-    bad = np.argwhere(missing)
-    for k in range(0, len(bad), 2048):
-        part = bad[k : k + 2048]
-        best = np.full(len(part), np.inf)
-        pick = np.zeros(len(part), dtype=int)
-        for j in range(0, len(good), 4096):
-            d = ((part[:, None, :] - good[None, j : j + 4096, :]) ** 2).sum(axis=2)
-            i = d.argmin(axis=1)
-            v = d[np.arange(len(part)), i]
-            closer = v < best
-            best[closer], pick[closer] = v[closer], i[closer] + j
-        out[part[:, 0], part[:, 1]] = a[good[pick, 0], good[pick, 1]]
+        return a.copy()
+    h, w = a.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(missing, -1, rows), axis=0)
+    below = np.minimum.accumulate(np.where(missing, 2 * h, rows)[::-1], axis=0)[::-1]
+    up = np.where(above < 0, np.inf, rows - above)
+    down = np.where(below >= 2 * h, np.inf, below - rows)
+    pick = np.where(up <= down, above, below)
+    step = np.minimum(up, down) ** 2
+    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
+    out = a.copy()
+    for r in np.flatnonzero(missing.any(axis=1)):
+        cols = np.flatnonzero(missing[r])
+        best = np.argmin(across[cols] + step[r][None, :], axis=1)
+        out[r, cols] = a[pick[r, best], best]
     return out
 
 

@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.expr import percent, rounded, safe_div
 
 
-def scene_statistics(pixels: DataFrame, cloud: Column, imaged: Column, aoi_pixels: int | Column, key: str = "time") -> DataFrame:
-    """cloud_percentage of what was imaged and scene_coverage of the AOI, in one aggregation of the class band only."""
+def scene_statistics(pixels: DataFrame, cloud: Column, imaged: Column, aoi_pixels: int | Column, key: str | Sequence[str] = "time") -> DataFrame:
+    """cloud_percentage of what was imaged and scene_coverage of the AOI, in one aggregation of the class band only. Keys
+    besides the time tell areas apart."""
     n, c = F.count_if(imaged), F.count_if(imaged & cloud)
     whole = F.lit(aoi_pixels) if isinstance(aoi_pixels, int) else aoi_pixels
-    return pixels.groupBy(key).agg(percent(c, n).alias("cloud_percentage"), F.coalesce(safe_div(n.cast("double"), whole), F.lit(0.0)).alias("scene_coverage"), n.alias("n_imaged"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return pixels.groupBy(*keys).agg(percent(c, n).alias("cloud_percentage"), F.coalesce(safe_div(n.cast("double"), whole), F.lit(0.0)).alias("scene_coverage"), n.alias("n_imaged"))
+
+
+def masked_percentage(mask: DataFrame, layer: str, key: str = "time") -> DataFrame:
+    """Per scene the share in percent, not rounded, of pixels that a mask layer hides."""
+    return mask.groupBy(key).agg((F.avg((F.col(layer) != 0).cast("double")) * 100).alias("masked_percentage"))
 
 
 def cloud_percentage_from_missing(pixels: DataFrame, bands: Sequence[str], key: str = "time") -> DataFrame:
