@@ -51,6 +51,11 @@ def missing_against(counts: DataFrame, best: str, other: str, day: str = "day")
     return counts.filter((F.col(f"`{best}`") > 0) & (F.coalesce(F.col(f"`{other}`"), F.lit(0)) == 0)).select(day)
 
 
+def first_items(scenes: DataFrame, most: int = 200) -> DataFrame:
+    """At most so many scenes, in order of time and id: enough to describe a mission that does not change."""
+    return scenes.orderBy("datetime", "item_id").limit(most)
+
+
 def newest_baseline(scenes: DataFrame, key: Sequence[str], baseline: str = "baseline", tie: str = "item_id") -> DataFrame:
     """Of each granule the item of the highest baseline, ties to the smallest id."""
     w = Window.partitionBy(*key).orderBy(F.desc_nulls_last(baseline), tie)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce as fold
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import is_categorical
 from ..functions.indices import INDICES, with_indices
 from ..functions.radiometry import scale_bands
 from ..functions.registry import mission
+from ..functions.scene import SCENE_FIELDS
 from ..functions.temporal import filter_dates
-from ..operators import composites, filters, masks, statistics, update
-from ..operators.grid import Grid, require_same_grid
-from ..operators.resample import reproject_bilinear, reproject_nearest
+from ..operators import composites, filters, joins, masks, neighbourhood, statistics, update
+from ..operators.grid import Grid, between, rasterize, require_same_grid, snap_bounds
+from ..operators.resample import reproject, reproject_nearest, reproject_weighted
+from ..operators.scenes import by_footprint
 from ..sources import store
 from .request import CubeRequest
 
@@ -89,8 +95,10 @@ class Cube:
         """Per-scene columns are carried, not computed again."""
         if resampling == "nearest":
             out = reproject_nearest(self.pixels, self.grid, target, inverse)
+        elif inverse:
+            out = reproject_weighted(self.pixels, self.grid, target, self.bands, inverse, method=resampling)
         else:
-            out = reproject_bilinear(self.pixels, self.grid, target, self.bands, inverse)
+            out = reproject(self.pixels, self.grid, target, self.bands, resampling)
         return self._with(out, grid=target)
 
     def composites(self, *stats: str) -> DataFrame:
@@ -113,53 +121,211 @@ class Cube:
     @classmethod
     def open(cls, spark, path: str) -> Cube:
         pixels, grid, attrs, stats = store.open_cube(spark, path)
-        bands = tuple(attrs.get("bands") or [c for c in pixels.columns if c not in ("time", "row", "col", "day")])
+        bands = tuple(attrs.get("bands") or [c for c in pixels.columns if c not in ("time", "row", "col", "day", "month")])
         return cls(pixels, bands, grid, stats, attrs)
 
 
-def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None) -> tuple[Cube, DataFrame | None]:
-    """A cube of raw pixels (time, row, col, bands, the class band) and its composites.
-
-    The order is fixed: dates, class mask, scaling, indices, statistics, coverage, cloud filter, composites last. Only
-    the statistics aggregation, the day mosaic (where ``order`` is given) and the composites shuffle."""
-    r = request.checked()
-    m = mission(r.mission)
-    rows = filter_dates(pixels, r.windows)
+def _of_request(rows: DataFrame, r: CubeRequest, scenes: DataFrame | None) -> DataFrame:
+    """Pixels of the dates and scenes asked for. What the catalogue tells is taken from ``scenes``: datetime, and as
+    asked cloud_cover, geometry and solar_day."""
+    rows = filter_dates(rows, r.windows)
     if r.dates:
         wanted = rows.sparkSession.createDataFrame([(d,) for d in r.dates], "d string").select(F.to_timestamp_ntz("d").alias("time"))
         rows = filters.require_rows(filters.keep_dates(rows, wanted), "no scene is left of the dates asked for")
+    if r.max_cc is not None or r.min_footprint_coverage is not None:
+        kept = filters.cloud_cover(scenes, r.max_cc)
+        if r.min_footprint_coverage is not None:
+            x, y = zip(*(p for ring in r.rings for p in ring), strict=True)
+            kept = by_footprint(kept, (min(x), min(y), max(x), max(y)), r.min_footprint_coverage)
+        rows = filters.keep_dates(rows, kept.select(F.col("datetime").alias("time")))
+    return rows
+
+
+def _with_baseline(rows: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Each time's processing baseline: that of the scene nearest in time."""
+    known = scenes.filter("baseline is not null").select(F.col("datetime").alias("time"), "baseline")
+    times = joins.asof_nearest(rows.select("time").distinct(), known, "baseline")
+    return rows.join(times.withColumn("baseline", F.coalesce("baseline", F.raise_error(F.lit("no scene has a baseline")).cast("double"))), "time")
+
+
+def _needs_scenes(r: CubeRequest, columns: Sequence[str]) -> list[str]:
+    asked = {
+        "max_cc": r.max_cc is not None, "min_footprint_coverage": r.min_footprint_coverage is not None, "scene_metadata": bool(r.scene_metadata),
+        "shadow_masking": r.shadow_masking, "the baselines of sentinel_2_l1c": r.mission == "sentinel_2_l1c" and "baseline" not in columns,
+    }
+    return [name for name, wanted in asked.items() if wanted]
+
+
+def _target(r: CubeRequest, grid: Grid) -> Grid | None:
+    """The grid asked for, if it is another than the pixels': the same extent, snapped outward to whole pixels."""
+    crs, res = r.crs or grid.crs, r.resolution or abs(grid.a)
+    if (crs, res) == (grid.crs, abs(grid.a)):
+        return None
+    move, bounds = between(grid.crs, crs), grid.bounds
+    if move:
+        spark = SparkSession.active()
+        left, bottom, right, top = bounds
+        t = [k / 50 for k in range(51)]
+        edge = [(left + k * (right - left), y) for k in t for y in (bottom, top)] + [(x, bottom + k * (top - bottom)) for k in t for x in (left, right)]
+        x, y = move(F.col("x"), F.col("y"))
+        bounds = tuple(spark.createDataFrame(edge, "x double, y double").agg(F.min(x), F.min(y), F.max(x), F.max(y)).first())
+    return Grid.covering(crs, snap_bounds(bounds, res), res)
+
+
+def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scenes: DataFrame | None = None) -> tuple[Cube | None, DataFrame | None]:
+    """A cube of raw pixels (time, row, col, bands, the class band) and its composites. Every field of the request is
+    heeded or refused: what the catalogue alone knows (cloud cover, footprints, sun azimuths, baselines, metadata) needs
+    ``scenes``, a table of the scenes with datetime and those columns.
+
+    The order is fixed: scenes and dates, day mosaic (where ``order`` is given), grid, polygon's extent, class mask,
+    scaling, shadows, indices, statistics, coverage, cloud filter, clip, update, composites, files. Without
+    ``keep_timeseries`` there is no cube, only composites. Statistics, the mosaic, shadows and composites shuffle; the
+    rest are projections in one stage."""
+    r = request.checked()
+    m = mission(r.mission)
+    if scenes is None and (lacking := _needs_scenes(r, pixels.columns)):
+        raise ValueError(f"{', '.join(lacking)} needs the table of scenes")
+    rows = _of_request(pixels, r, scenes)
+    if r.mission == "sentinel_2_l1c" and "baseline" not in rows.columns:
+        rows = _with_baseline(rows, scenes)
     bands = [b for b in r.bands if b in rows.columns]
     carried = [m.class_band] if m.class_band and m.class_band in rows.columns and m.class_band not in bands else []
+    base = ["baseline"] if r.mission == "sentinel_2_l1c" else []
+    borrowed = ["nir"] if r.shadow_masking and "nir" not in bands else []
+    if r.shadow_masking and not {"nir", m.class_band} <= set(rows.columns):
+        raise ValueError(f"shadow_masking needs nir and {m.class_band}")
+    names = [*bands, *carried, *base, *borrowed]
     if order is not None and r.tile_handling == "mosaic":
-        keys = [F.to_date("time").cast("timestamp_ntz").alias("time")]
-        rows = composites.solar_day_mosaic(rows.withColumn("time", keys[0]), [*bands, *carried], order, ("time", "row", "col"))
-    cube = Cube(rows.select("time", "row", "col", *bands, *carried), tuple([*bands, *carried]), grid, None, {"mission": r.mission, "stac_api": r.source, "spectral_bands": bands, "indices": list(r.indices or ()), "resampling": r.resampling_method, "tile_handling": r.tile_handling, "partial_scene_handling": r.partial_scene_handling, "cloud_status": "not_masked"})
-    if m.class_band in cube.pixels.columns and (r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove" or r.cloud_masking):
-        cube = cube.scene_statistics()
+        day = F.to_date("time").cast("timestamp_ntz").alias("time")
+        rows = composites.solar_day_mosaic(rows.withColumn("time", day), names, order, ("time", "row", "col"))
+    rows = rows.select("time", "row", "col", *names)
+    if target := _target(r, grid):
+        nearest = [*carried, *base]
+        moved = reproject(rows.drop(*base), grid, target, [n for n in names if n not in base], r.resampling_method)
+        rows = moved.join(rows.groupBy("time").agg(*(F.first(b).alias(b) for b in nearest if b in base)), "time") if base else moved
+        grid = target
+    if r.polygon is not None:
+        x, y = zip(*(p for ring in r.rings for p in ring), strict=True)
+        rows = filters.clip_bbox(rows, grid, (min(x), min(y), max(x), max(y)))
+    attrs = {"mission": r.mission, "stac_api": r.source, "spectral_bands": bands, "indices": list(r.indices or ()), "resampling": r.resampling_method, "tile_handling": r.tile_handling, "partial_scene_handling": r.partial_scene_handling, "cloud_status": "not_masked"}
+    cube = Cube(rows, tuple([*bands, *carried, *borrowed]), grid, None, attrs)
+    aoi = rasterize(rows.sparkSession, grid, r.rings) if r.clip_raster else None
+    if m.class_band in cube.pixels.columns and (r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove" or r.cloud_masking or r.scene_metadata):
+        inside = cube
+        if aoi is not None:  # pixels of the area only, both counted and counted against
+            inside = cube._with(cube.pixels.join(aoi.filter("inside").select("row", "col"), ["row", "col"], "left_semi"))
+        cube = replace(cube, stats=inside.scene_statistics(aoi.filter("inside").count() if aoi is not None else None).stats)
+    raw = cube.pixels
+    if r.cloud_mask_output:
+        store.write_cube(masks.scl_mask(raw, r.mission), r.cloud_mask_output, grid, {"mission": r.mission, "bands": ["cloud_mask_scl"]})
     if r.cloud_masking:
         cube = cube.masked(keep_clouds=r.keep_clouds, keep_layer=m.class_band in bands)
     elif carried:
-        cube = replace(cube, pixels=cube.pixels.drop(*carried), bands=tuple(bands))
-    cube = cube.scaled(source=r.source)
+        cube = replace(cube, pixels=cube.pixels.drop(*carried), bands=tuple(b for b in cube.bands if b not in carried))
+    cube = cube.scaled(source=r.source, baseline="baseline" if base else None)
+    if r.shadow_masking:
+        cube = _without_shadows(cube, raw, scenes, r)
+    cube = replace(cube, pixels=cube.pixels.drop(*base, *borrowed), bands=tuple(b for b in cube.bands if b not in borrowed))
     if r.indices:
         cube = cube.indices(*r.indices)
     if r.partial_scene_handling == "remove":
         cube = cube.coverage_filter(r.min_scene_coverage)
     if r.scene_cloud_coverage is not None:
         cube = cube.cloud_filter(r.scene_cloud_coverage)
-    layers = list(r.stats or ()) + ([r.aggregator] if r.aggregator else [])
-    return cube, cube.composites(*layers) if layers else None
+    if aoi is not None:
+        cube = cube.clip(aoi)
+    if r.scene_metadata:
+        cube = _with_metadata(cube, scenes, r)
+    if r.update:
+        old = Cube.open(pixels.sparkSession, r.update)
+        store.require_time_series(old.attrs, old.pixels.columns)
+        cube = old.updated(cube, [b for b in cube.bands if b not in old.bands])
+    layers = _layers(cube, r)
+    if r.output:
+        _export(cube, layers, r)
+    return (cube if r.keep_timeseries else None), layers
+
+
+def _without_shadows(cube: Cube, raw: DataFrame, scenes: DataFrame, r: CubeRequest) -> Cube:
+    """Cloud shadows masked too, found on reflectance before clouds were masked, from the class band's clouds and the
+    sun's azimuth of the day."""
+    azimuths = scenes.groupBy(F.to_date("datetime").alias("day")).agg(F.avg("sun_azimuth").alias("sun_azimuth"))
+    cloud, _ = masks.cloud_and_imaged(F.col(mission(r.mission).class_band), r.mission)
+    clouds = neighbourhood.with_azimuth(raw.filter(cloud).select("time", "row", "col"), azimuths)
+    nir = Cube(raw, ("nir",), cube.grid, None, cube.attrs).scaled(source=r.source).pixels
+    shadows = neighbourhood.detect_shadows(nir, clouds, cube.grid, r.shadow_proj_distance * 1000, 100.0, r.nir_dark_threshold)
+    marked = cube.pixels.join(shadows.withColumn("__shadow", F.lit(True)), ["time", "row", "col"], "left")
+    out = masks.masked(marked, [b for b in cube.bands if not is_categorical(b)], F.coalesce("__shadow", F.lit(False))).drop("__shadow")
+    return replace(cube, pixels=out, attrs={**cube.attrs, "cloud_status": "cloudshadow_masked_scl"})
+
+
+def _with_metadata(cube: Cube, scenes: DataFrame, r: CubeRequest) -> Cube:
+    """Per-scene columns from the catalogue, by UTC day."""
+    if bad := [f for f in r.scene_metadata if f not in SCENE_FIELDS and f not in scenes.columns]:
+        raise ValueError(f"scenes have no {', '.join(bad)}")
+    fields = {f: (F.col(f), SCENE_FIELDS[f][1] if f in SCENE_FIELDS else "first") for f in r.scene_metadata}
+    daily = joins.daily_metadata(scenes, fields, F.to_date("datetime"))
+    stats = cube.stats if cube.stats is not None else cube.pixels.select("time").distinct()
+    return replace(cube, stats=joins.attach_daily(stats, daily))
 
 
-def build_features(request: CubeRequest, pixels: DataFrame, grid: Grid, feature: str = "feature_id") -> DataFrame:
-    """Composites of many areas at once: the feature is one more key of the same aggregation, not a loop."""
+def _layers(cube: Cube, r: CubeRequest, by: Sequence[str] = ()) -> DataFrame | None:
+    """All composites asked for, one under the other: (layer, row, col, bands)."""
+    tokens = [*r.tokens, *([r.aggregator] if r.aggregator else [])]
+    parts = [composites.composites(cube.pixels, cube.bands, tokens, by=by)] if tokens else []
+    for spec in r.custom:
+        parts.append(composites.custom_composite(cube.pixels, cube.bands, spec, by=by).drop("n_dates"))
+    return fold(DataFrame.unionByName, parts) if parts else None
+
+
+def _export(cube: Cube, layers: DataFrame | None, r: CubeRequest) -> None:
+    """Files beside each other: the cube (or only its composites), the request, the statistics, a band list for maps."""
+    how = {"compression": "zstd" if r.compress else "snappy"}
+    if (r.export_format or "parquet") == "csv":
+        table = cube.pixels if r.keep_timeseries else layers
+        table.write.mode("overwrite").option("header", True).csv(r.output)
+    elif r.keep_timeseries:
+        cube.write(r.output, **how)
+        if layers is not None:
+            layers.write.mode("overwrite").option("compression", how["compression"]).parquet(f"{r.output}_composites")
+    else:
+        names = [x["layer"] for x in layers.select("layer").distinct().orderBy("layer").collect()]
+        store.write_cube(layers, r.output, cube.grid, {**cube.attrs, "bands": list(cube.bands), "time_series": False, "layers": names}, **how)
+    if r.export_settings:
+        store.write_settings(r.output, json.loads(r.to_json())["parameters"])
+    if r.statistics_csv:
+        store.write_statistics_csv(cube.statistics(), f"{os.path.splitext(r.output)[0]}_statistics.csv")
+    if r.vrt:
+        dates = [str(x["d"]) for x in cube.pixels.select(F.to_date("time").alias("d")).distinct().orderBy("d").collect()]
+        store.Files(cube.pixels.sparkSession, r.output).write(f"{r.output}.vrt", store.vrt(r.output, cube.grid, dates, store.band_order(cube.bands)))
+    if r.metadata_output and cube.stats is not None:
+        cube.stats.write.mode("overwrite").parquet(r.metadata_output)
+
+
+def build_features(request: CubeRequest, pixels: DataFrame, grid: Grid, feature: str = "feature_id", order=None) -> DataFrame:
+    """Composites of many areas at once, (feature, layer, row, col, bands): the feature is one more key of the same
+    aggregations, not a loop. Dates, day mosaics, masks, coverage and cloud filters hold for each area by itself."""
     r = request.checked()
     m = mission(r.mission)
-    bands = [b for b in r.bands if b in pixels.columns and b != m.class_band]
-    rows = filter_dates(pixels, r.windows)
+    if refused := [n for n in ("polygon", "max_cc", "min_footprint_coverage", "shadow_masking", "scene_metadata", "crs", "update", "output") if getattr(r, n)]:
+        raise ValueError(f"many areas at once do without {', '.join(refused)}")
+    rows = _of_request(pixels, r, None)
+    bands = [b for b in r.bands if b in rows.columns and b != m.class_band]
+    carried = [m.class_band] if m.class_band in rows.columns else []
+    keys = (feature, "time", "row", "col")
+    if order is not None and r.tile_handling == "mosaic":
+        rows = composites.solar_day_mosaic(rows.withColumn("time", F.to_date("time").cast("timestamp_ntz")), [*bands, *carried], order, keys)
+    rows = rows.select(*keys, *bands, *carried)
+    kept = None
+    if r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove":
+        cloud, imaged = masks.cloud_and_imaged(F.col(m.class_band), r.mission)
+        kept = statistics.scene_statistics(rows, cloud, imaged, grid.width * grid.height, (feature, "time"))
+        kept = filters.by_cloud(kept, r.scene_cloud_coverage)
+        kept = filters.by_coverage(kept, r.min_scene_coverage) if r.partial_scene_handling == "remove" else kept
     if r.cloud_masking:
-        rows = masks.class_mask(rows, r.mission, bands)
+        rows = masks.class_mask(rows, r.mission, bands, r.keep_clouds)
+    if kept is not None:
+        rows = filters.keep_scenes(rows, kept, (feature, "time"))
     rows = with_indices(scale_bands(rows, bands, r.mission, r.source), list(r.indices or ()))
-    names = [*bands, *(i.lower() for i in r.indices or ())]
-    ops = sorted({q.op for q in composites.parse_requests(list(r.stats or ["mean"]))})
-    return composites.reduce(rows, [feature, "row", "col"], names, ops)
+    cube = Cube(rows, (*bands, *(i.lower() for i in r.indices or ())), grid)
+    return _layers(cube, r if r.stats or r.aggregator else replace(r, stats=["mean"]), by=(feature,))

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from ..functions.registry import common_band, endpoint, mission, source_name
 from ..functions.temporal import Window, parse_daterange
-from ..operators.composites import parse_requests
+from ..operators.composites import Custom, parse_requests
 from ..operators.grid import validate_crs
 from ..sources.store import validate_format
 
@@ -70,6 +70,29 @@ class CubeRequest:
     def windows(self) -> list[Window]:
         return parse_daterange(self.daterange, mission(self.mission).name)
 
+    @property
+    def tokens(self) -> list[str]:
+        """Composites asked for by name."""
+        return [t for t in self.stats or () if isinstance(t, str)]
+
+    @property
+    def custom(self) -> list[Custom]:
+        """Composites of a window or season of their own: objects with op, start, end and, if wanted, years and name."""
+        return [Custom(**{**c, "years": tuple(c.get("years") or ())}) for c in self.stats or () if isinstance(c, dict)]
+
+    @property
+    def rings(self) -> list[list[tuple[float, float]]]:
+        """The polygon in the coordinates of the grid: a box (left, bottom, right, top), a ring of points, or rings."""
+        p = self.polygon
+        try:
+            if len(p) == 4 and all(isinstance(v, (int, float)) for v in p):
+                left, bottom, right, top = map(float, p)
+                return [[(left, bottom), (right, bottom), (right, top), (left, top)]]
+            rings = [p] if len(p[0]) == 2 and isinstance(p[0][0], (int, float)) else p
+            return [[(float(x), float(y)) for x, y in ring] for ring in rings]
+        except (TypeError, ValueError, KeyError, IndexError) as e:
+            raise ValueError("a polygon is a box, a ring of points or several rings, in the coordinates of the grid") from e
+
     def checked(self) -> CubeRequest:
         """Self, with names resolved; ValueError says what cannot be."""
         m = mission(self.mission)
@@ -110,7 +133,19 @@ class CubeRequest:
         if self.aggregator not in (None, "mean", "median"):
             raise ValueError("aggregator is mean or median")
         if self.stats:
-            parse_requests(self.stats)
+            self.stats = [self.stats] if isinstance(self.stats, (str, dict)) else list(self.stats)
+            parse_requests(self.tokens)
+            names = [c.base for c in self.custom]
+            if len(set(names)) < len(names):
+                raise ValueError(f"two composites are named alike: {', '.join(sorted(names))}")
+        if self.polygon is not None:
+            self.rings  # noqa: B018  raises if it is none
+        if self.clip_raster and self.polygon is None:
+            raise ValueError("clip_raster needs a polygon")
+        if self.min_footprint_coverage is not None and self.polygon is None:
+            raise ValueError("min_footprint_coverage needs a polygon")
+        if self.cloud_mask_output and not self.cloud_masking:
+            raise ValueError("cloud_mask_output goes with cloud_masking")
         if not self.keep_timeseries and not (self.stats or self.aggregator):
             raise ValueError("without the time series there must be a composite")
         if self.update and self.daterange is None and self.dates is None and not self.bands:

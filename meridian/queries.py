@@ -717,7 +717,8 @@ def build_features(spark, sf):
 
     r = CubeRequest(L2A, bands=["red", "nir"], indices=["ndvi"], cloud_masking=True, stats=["mean", "max"])
     out = many(r, V.pixels(spark, sf).withColumn("feature_id", F.col("ord") % 5), GR.Grid("EPSG:32632", 10, -10, 0, 80, 8, 8))
-    return out.select("feature_id", "row", "col", rounded(F.col("nir_mean")).alias("nir_mean"), rounded(F.col("ndvi_max")).alias("ndvi_max"))
+    of = lambda op, band: rounded(F.max(F.when(F.col("layer") == f"{op}_timeseries", F.col(band)))).alias(f"{band}_{op}")
+    return out.groupBy("feature_id", "row", "col").agg(of("mean", "nir"), of("max", "ndvi"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
@@ -735,3 +736,6 @@ def stream_daily_window(spark, sf):
     name = f"days_{uuid.uuid4().hex}"
     days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+from . import queries_tools  # noqa: E402, F401  registers more

@@ -21,15 +21,50 @@ LEGACY = {"Spectral_Temporal_Stack": "Time_Series"}
 FORMATS = (None, "parquet", "csv")
 
 
-def resolve_path(path: str) -> str:
+class Files:
+    """The file system of a path, whatever Hadoop calls it: what is needed to write beside a target and swap."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._io = spark._jvm.org.apache.hadoop.io.IOUtils
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def rename(self, path: str, to: str) -> None:
+        if not self._fs.rename(self._path(path), self._path(to)):
+            raise OSError(f"{path} could not be renamed to {to}")
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def write(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read(self, path: str) -> str:
+        source = self._fs.open(self._path(path))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+
+def resolve_path(path: str, spark: SparkSession | None = None) -> str:
     """The root of a cube from any file in it."""
-    p = Path(path)
-    for q in (p, *p.parents):
-        if (q / "meta.json").exists():
-            return str(q)
-    if p.suffix == ".vrt":
+    spark = spark or SparkSession.getActiveSession()
+    files, at = Files(spark, path), path.rstrip("/")
+    while at and not at.endswith(":"):
+        if files.exists(f"{at}/meta.json"):
+            return at
+        at = at.rpartition("/")[0]
+    if path.endswith(".vrt"):
         raise ValueError("a .vrt is a view for a map program; open the cube")
-    return str(p)
+    return path
 
 
 def validate_format(path: str, fmt: str | None) -> str:
@@ -41,50 +76,66 @@ def validate_format(path: str, fmt: str | None) -> str:
     return fmt or "parquet"
 
 
-def write_cube(pixels: DataFrame, path: str, grid: Grid | None = None, attrs: dict | None = None, stats: DataFrame | None = None, overwrite: bool = True, compression: str = "zstd") -> str:
-    """Write beside the target, then swap: a reader sees the old cube or the new one, and the new one may read the old."""
-    if os.path.exists(path) and not overwrite:
+def write_cube(pixels: DataFrame, path: str, grid: Grid | None = None, attrs: dict | None = None, stats: DataFrame | None = None, overwrite: bool = True, compression: str = "zstd", block_rows: int = 2048) -> str:
+    """Write beside the target, then swap: a reader sees the old cube or the new one, and the new one may read the old.
+    Files are those of a month and a block of ``block_rows`` rows, sorted by day, so that a day is read by the statistics of
+    row groups; a month is never one task where scenes are large."""
+    files = Files(pixels.sparkSession, path)
+    if files.exists(path) and not overwrite:
         raise FileExistsError(path)
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-    by_day = pixels.withColumn("day", F.to_date("time")) if "time" in pixels.columns else pixels
-    writer = by_day.repartition("day") if "day" in by_day.columns else by_day
-    out = writer.write.option("compression", compression)
-    (out.partitionBy("day") if "day" in by_day.columns else out).parquet(f"{tmp}/pixels")
+    timed = "time" in pixels.columns
+    dealt = pixels
+    if timed:
+        block = [F.floor(F.col("row") / block_rows)] if "row" in pixels.columns else []
+        keyed = pixels.withColumns({"day": F.to_date("time"), "month": F.trunc("time", "month")})
+        dealt = keyed.repartition("month", *block).sortWithinPartitions("month", "day", "time")
+    out = dealt.write.option("compression", compression)
+    (out.partitionBy("month") if timed else out).parquet(f"{tmp}/pixels")
     if stats is not None:
         stats.coalesce(1).write.parquet(f"{tmp}/scene_stats")
     meta = {"attrs": attrs or {}, "grid": asdict(grid) if grid else None, "columns": pixels.columns}
-    Path(tmp, "meta.json").write_text(json.dumps(jsonable(meta), indent=2))
-    swap(tmp, path)
+    files.write(f"{tmp}/meta.json", json.dumps(jsonable(meta), indent=2))
+    swap(tmp, path, files)
     return path
 
 
-def swap(new: str, target: str) -> None:
+def swap(new: str, target: str, files: Files) -> None:
     """The target is not touched until the new one is complete."""
     old = f"{target}.old-{uuid.uuid4().hex[:8]}"
-    if os.path.exists(target):
-        os.replace(target, old)
+    had = files.exists(target)
+    if had:
+        files.rename(target, old)
     try:
-        os.replace(new, target)
+        files.rename(new, target)
     except OSError:
-        if os.path.exists(old):
-            os.replace(old, target)
+        if had:
+            files.rename(old, target)
         raise
-    shutil.rmtree(old, ignore_errors=True)
+    if had:
+        files.remove(old)
 
 
 def open_cube(spark: SparkSession, path: str) -> tuple[DataFrame, Grid | None, dict, DataFrame | None]:
     """Pixels, grid, attributes and scene statistics. A filter on ``time`` prunes files by ``day`` only if it names the
     day too; use ``days``."""
-    root = resolve_path(path)
-    meta = json.loads(Path(root, "meta.json").read_text())
+    root, files = resolve_path(path, spark), Files(spark, path)
+    meta = json.loads(files.read(f"{root}/meta.json"))
     pixels = spark.read.parquet(f"{root}/pixels").withColumnsRenamed(LEGACY)
-    stats = spark.read.parquet(f"{root}/scene_stats") if os.path.exists(f"{root}/scene_stats") else None
+    stats = spark.read.parquet(f"{root}/scene_stats") if files.exists(f"{root}/scene_stats") else None
     return pixels, Grid(**meta["grid"]) if meta["grid"] else None, meta["attrs"], stats
 
 
+def require_time_series(attrs: dict, columns: Sequence[str]) -> None:
+    """An update adds dates to a time series; a cube of composites has none."""
+    if attrs.get("time_series") is False or "time" not in columns:
+        raise ValueError(f"there is no time series to update, only {', '.join(attrs.get('layers') or [c for c in columns if c not in ('row', 'col')])}; build it anew over the longer range")
+
+
 def days(pixels: DataFrame, start: str, end: str) -> DataFrame:
-    """Both days included; prunes partitions."""
-    return pixels.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Both days included; prunes partitions by month and row groups by day."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return pixels.filter(F.col("day").between(first, last) & F.col("month").between(F.trunc(first, "month"), last))
 
 
 def stored_parameters(spark: SparkSession, path: str) -> dict:

@@ -93,6 +93,58 @@ def test_asof_without_key(spark):
     assert got == {0: 1.0, 1: 1.0, 2: 2.0}
 
 
+def test_asof_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    day = lambda k: f"2024-{1 + k // 28:02d}-{1 + k % 28:02d}"
+    left = [(k, None if k % 7 == 0 else k % 2, int(rng.integers(0, 330))) for k in range(60)]
+    right = [(None if k % 5 == 0 else k % 2, int(rng.integers(0, 330)), float(k)) for k in range(25)]
+    a = spark.createDataFrame([(i, k, day(t)) for i, k, t in left], "id int, k int, t string").select("id", "k", F.to_timestamp_ntz("t").alias("time"))
+    b = spark.createDataFrame([(k, day(t), v) for k, t, v in right], "k int, t string, v double").select("k", F.to_timestamp_ntz("t").alias("time"), "v")
+    at = lambda k: np.datetime64(day(k))
+    for by, days in (([], None), (["k"], None), (["k"], 20)):
+        got = {r["id"]: r["v"] for r in joins.asof_nearest(a, b if by else b.drop("k"), "v", by, tolerance=f"{days} DAYS" if days else None).collect()}
+        for i, k, t in left:
+            near = sorted((abs((at(t) - at(u)).astype(int)), at(u), -v) for j, u, v in right if not by or j == k)
+            want = -near[0][2] if near and (days is None or near[0][0] <= days) else None
+            assert got[i] == want
+
+
+def test_fill_nearest_is_nearest():
+    rng = np.random.default_rng(0)
+    a = np.where(rng.random((23, 31)) < 0.9, np.nan, rng.random((23, 31)))
+    out, good = resample.fill_nearest(a), np.argwhere(~np.isnan(a))
+    for r, c in np.argwhere(np.isnan(a)):
+        d = ((good - (r, c)) ** 2).sum(axis=1)
+        assert out[r, c] in {a[tuple(g)] for g in good[d == d.min()]}
+    assert np.array_equal(out[~np.isnan(a)], a[~np.isnan(a)]) and np.isnan(resample.fill_nearest(np.full((3, 3), np.nan))).all()
+
+
+def test_cloud_pixels_take_the_layer_made_for_the_threshold(spark):
+    d = px(spark, [("2024-01-01", 0, 0, 90, 0, 1), ("2024-01-01", 0, 1, 0, 1, 0)], "cloud_prob int, cloud_mask_45 int, cloud_mask_70 int")
+    cols = lambda df: {r["col"] for r in df.collect()}
+    assert cols(neighbourhood.cloud_pixels(d, 45, (1, 2))) == {1}
+    assert cols(neighbourhood.cloud_pixels(d.drop("cloud_mask_45"), 45, (1, 2), 0, 0)) == {0}
+    assert cols(neighbourhood.cloud_pixels(d.drop("cloud_prob", "cloud_mask_45"), 45, (1, 2))) == {0}
+    with pytest.raises(ValueError, match="cloud_prob"):
+        neighbourhood.cloud_pixels(d.select("time", "row", "col"), 45, (1, 2))
+    clouds = neighbourhood.cloud_pixels(d, 45, (1, 2))
+    with pytest.raises(Exception, match="azimuth"):
+        neighbourhood.with_azimuth(clouds, spark.createDataFrame([], "day date, sun_azimuth double")).collect()
+
+
+def test_other_zone_and_bounds(spark):
+    there, back = grid.between("EPSG:32632", "EPSG:32633"), grid.between("EPSG:32633", "EPSG:32632")
+    assert grid.between("EPSG:32632", "EPSG:32632") is None
+    x, y = there(F.lit(700000.0), F.lit(5000000.0))
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).select("x", "y", *back(F.col("x"), F.col("y"))).first()
+    assert abs(r[2] - 700000) < 1e-3 and abs(r[3] - 5000000) < 1e-3 and 200000 < r[0] < 300000
+    ring = [(8.0, 45.0), (10.0, 45.0), (10.0, 46.0), (8.0, 46.0)]
+    few, many = grid.bounds_in(spark, ring, "EPSG:32632", 1), grid.bounds_in(spark, ring, "EPSG:32632")
+    assert many[1] < few[1] - 100 and many[3] == few[3] and abs(many[0] - few[0]) < 1
+    with pytest.raises(ValueError, match="UTM"):
+        grid.between("EPSG:3035", "EPSG:32632")
+
+
 def test_required_days(spark):
     a, b = px(spark, [("2024-01-01", 0, 0, 1.0)]), px(spark, [("2024-01-02", 0, 0, 1.0)])
     with pytest.raises(ValueError, match="2024-01-01"):

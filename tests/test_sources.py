@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meridian import views as V
 from meridian.operators.grid import Grid
-from meridian.plans.cube import Cube, build
+from meridian.plans.cube import Cube, build, build_features
 from meridian.plans.request import CubeRequest
 from meridian.sources import stac, store, vector
 from meridian.streaming import scenes as stream
@@ -114,6 +114,43 @@ def test_build_keeps_the_order_of_steps(spark, sf):
     assert cube.tiled(4).select("trow", "tcol").distinct().count() == 4
 
 
+@pytest.mark.parametrize("what, why", [({"max_cc": 20}, "max_cc"), ({"shadow_masking": True, "cloud_masking": True}, "shadow_masking"), ({"scene_metadata": ["sun_azimuth"]}, "scene_metadata"), ({"mission": "s2_l1c"}, "sentinel_2_l1c"), ({"min_footprint_coverage": 0.5, "polygon": [0, 0, 1, 1]}, "min_footprint")])
+def test_build_needs_the_scenes_for_what_the_catalogue_knows(spark, sf, what, why):
+    r = CubeRequest(**{"mission": "s2", "bands": ["nir"], **what})
+    with pytest.raises(ValueError, match=why):
+        build(r, V.pixels(spark, sf), Grid("EPSG:32632", 10, -10, 0, 80, 8, 8))
+
+
+@pytest.mark.parametrize("bad", [{"polygon": "x"}, {"clip_raster": True}, {"min_footprint_coverage": 0.5}, {"cloud_mask_output": "x"}, {"stats": [{"op": "mean", "start": "2024-01-01", "end": "02-01"}]}, {"stats": [{"op": "mean", "start": "01-01", "end": "02-01", "years": [2024]}] * 2}])
+def test_more_requests_are_refused(bad):
+    with pytest.raises(ValueError):
+        CubeRequest(**{"mission": "s2", **bad}).checked()
+
+
+def test_many_areas_refuse_what_they_cannot_do(spark, sf):
+    with pytest.raises(ValueError, match="shadow_masking"):
+        build_features(CubeRequest("s2", bands=["nir"], cloud_masking=True, shadow_masking=True), V.pixels(spark, sf), Grid("EPSG:32632", 10, -10, 0, 80, 8, 8))
+
+
+def test_build_writes_what_is_asked(spark, sf, tmp_path):
+    g = Grid("EPSG:32632", 10, -10, 0, 80, 8, 8)
+    out = str(tmp_path / "cube")
+    ask = {"mission": "s2", "bands": ["red", "nir"], "cloud_masking": True, "daterange": ["1996-01-01", "1996-06-30"], "stats": ["mean"], "output": out, "export_settings": True, "statistics_csv": True, "vrt": True, "cloud_mask_output": str(tmp_path / "mask"), "metadata_output": str(tmp_path / "meta")}
+    cube, layers = build(CubeRequest(**ask), V.pixels(spark, sf), g, F.col("ord"))
+    back = Cube.open(spark, out)
+    assert back.pixels.count() == cube.pixels.count() and back.stats.count() == cube.stats.count()
+    assert spark.read.parquet(f"{out}_composites").count() == layers.count()
+    assert store.read_settings(f"{out}_settings.json")["bands"] == ["red", "nir"]
+    assert (tmp_path / "cube_statistics.csv").read_text().startswith("period,label,band") and "<VRTDataset" in (tmp_path / "cube.vrt").read_text()
+    mask = Cube.open(spark, str(tmp_path / "mask"))
+    assert mask.bands == ("cloud_mask_scl",) and {r[0] for r in mask.pixels.select("cloud_mask_scl").distinct().collect()} == {0, 1}
+    assert spark.read.parquet(str(tmp_path / "meta")).count() == cube.stats.count()
+    none, only = build(CubeRequest(**{**ask, "keep_timeseries": False, "output": f"{out}2", "vrt": False, "statistics_csv": False}), V.pixels(spark, sf), g, F.col("ord"))
+    assert none is None and only.count() == layers.count()
+    with pytest.raises(ValueError, match="no time series"):
+        build(CubeRequest("s2", bands=["nir"], update=f"{out}2"), V.pixels(spark, sf), g, F.col("ord"))
+
+
 def test_stream_appends_days_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "t string, v int").select(F.to_timestamp_ntz("t").alias("time"), "v")
