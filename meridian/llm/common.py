@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,11 @@ def mark_likely(df: DataFrame, key: str, ids: DataFrame, id_col: str, name: str,
     return marked.withColumn(name, F.coalesce(F.expr("shiftright(__m, cast(__h & 63 as int)) & 1 = 1"), F.lit(False))).drop("__h", "__w", "__m")
 
 
+def release_memory() -> None:
+    """Give back what Arrow holds for reuse: a Python worker stays for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def likely_in(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
     """The rows of ``df`` whose key is in ``ids``, and a few others: it drops most rows before a join with ``ids``
     shuffles the rest."""

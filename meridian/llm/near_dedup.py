@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_ids, likely_in, materialize
+from .common import join_groups, keep_ids, likely_in, materialize, release_memory
 from .components import UnionFind, connected_components
 
 
@@ -50,7 +50,7 @@ class Forest:
 
 
 class _WordHash(dict):
-    """Hash of each word seen; emptied when full, which only costs time."""
+    """Hash of each word seen; emptied when full, which only costs time, and after a task, since its worker stays."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 300_000:
@@ -125,6 +125,8 @@ def sign(docs: DataFrame, f: Forest) -> DataFrame:
                 cls.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if known else None)
                 sig.append(signature(s, a, b).astype(">u4").tobytes() if known else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+        _HASH.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls string, sig binary")
 
@@ -243,6 +245,8 @@ def _verify_blocks(f: Forest):
                     sets.append(s)
         if reps:
             yield flush()
+        _HASH.clear()
+        release_memory()
 
     return run
 
@@ -298,6 +302,8 @@ def _between_blocks(f: Forest):
                             links.append((g, grp))
                             held.groups = np.array([linked.find(x) for x in held.groups.tolist()])
             yield pd.DataFrame(links, columns=["ga", "gb"], dtype="int64")
+        _HASH.clear()
+        release_memory()
 
     return run
 

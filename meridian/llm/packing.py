@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import materialize, release_memory, unit_hash
 
 #: White space as the vocabulary's pattern has it, which is Python's but for \\x1c-\\x1f.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -34,17 +34,22 @@ class _Unsafe(Exception):
 
 
 class _Spaced(dict):
-    """Ids of parts that follow one space; parts that are empty or have a blank at either end are no parts of that kind."""
+    """Ids of parts that follow one space; parts that are empty or have a blank at either end are no parts of that kind.
+    A part is kept when it is met again, so that words of one text only take no room."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, encode, limit: int, bits: int = 22):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.met, self.mask = bytearray(1 << bits), (1 << bits) - 1
 
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace() or part[-1].isspace():
             raise _Unsafe
         out = self.encode(" " + part)
-        if len(self) < self.limit:
+        at = hash(part) & self.mask
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(self) < self.limit:
             self[part] = out
         return out
 
@@ -57,7 +62,7 @@ class Encoder(dict):
     them, else by a pattern. Parts met early are kept, up to a bound; the others are encoded by a library that reads the
     same vocabulary as ranks. A text that spells the special token goes to the tokenizer whole."""
 
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         super().__init__()
@@ -115,6 +120,12 @@ def encoder(json_path: str, ranks_path: str, pattern: str) -> Encoder:
     return _ENCODERS.setdefault(key, _ENCODERS.get(key) or Encoder(*key))
 
 
+def forget_encoders() -> None:
+    """A worker that tokenized has no use for its vocabulary and kept parts in the stages after."""
+    _ENCODERS.clear()
+    release_memory()
+
+
 @dataclass(frozen=True)
 class Packing:
     json_path: str
@@ -257,6 +268,7 @@ def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
     shared = tokenized.sparkSession.sparkContext.broadcast((idf, LexicalTree(x, leaves)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         directions, (weights, tree) = _directions(), shared.value
         for batch in batches:
             if batch.num_rows:
@@ -277,7 +289,7 @@ class InvertedIndex:
     the documents hold are rows of a matrix instead, as far as ``cells`` go: their postings are added without looking up
     documents."""
 
-    def __init__(self, bags: list[bytes], p: Packing, cells: int = 8_000_000):
+    def __init__(self, bags: list[bytes], p: Packing, cells: int = 4_000_000):
         halves = [np.frombuffer(b, "<u4").reshape(2, -1) for b in bags]
         size = np.array([h.shape[1] for h in halves])
         term = np.concatenate([h[0] for h in halves]).astype(np.int64)
@@ -290,7 +302,7 @@ class InvertedIndex:
         weight = idf[inverse] * tf * (p.k1 + 1) / (tf + norm[doc])
         self.size = len(bags)
         by_term = np.argsort(inverse, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
+        self.doc, self.weight = doc[by_term].astype(np.int32), weight[by_term].astype(np.float32)
         self.start = np.concatenate(([0], np.cumsum(df)))
         common = np.flatnonzero(df * 16 > len(bags))
         common = common[np.argsort(-df[common], kind="stable")][: cells // max(1, len(bags))]
@@ -378,6 +390,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     parts = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         held: list[tuple] = []
         now = None
 
