@@ -71,9 +71,9 @@ def one_era_per_day(scenes: DataFrame, coverage: DataFrame, day: str = "day", ba
     return scenes.join(choice, day).filter(era == F.col("__new")).drop("__new")
 
 
-def boxes_union_share(footprints: DataFrame, aoi: Sequence[float], key: Sequence[str], cells: int = 1000) -> DataFrame:
-    """Share of an AOI box that a group's footprint boxes (x0, y0, x1, y1) cover together, counted in ``cells`` strips
-    per axis; area is taken in an equal-area projection, which for boxes is longitude by sine of latitude."""
+def boxes_union_share(footprints: DataFrame, aoi: Sequence[float], key: Sequence[str]) -> DataFrame:
+    """Share of an AOI box that a group's footprint boxes (x0, y0, x1, y1) cover together, exact: the boxes' edges cut the
+    AOI into cells; area is taken in an equal-area projection, which for boxes is longitude by sine of latitude."""
     left, bottom, right, top = aoi
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -230,13 +230,16 @@ def feature_summary(spark, sf):
     return SC.feature_summary(shares).select("feature_id", "dates", rounded(F.col("average")).alias("average"), rounded(F.col("best")).alias("best"), "grazing")
 
 
-@query()
+@query("""WITH b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS solar_day, o_orderkey % 13 AS x, o_orderkey % 7 AS y FROM orders),
+    hit AS (SELECT DISTINCT solar_day, i, j FROM b JOIN range(10) c(i) ON i >= x AND i < x + 5 JOIN range(10) r(j) ON j >= y AND j < y + 5),
+    sh AS (SELECT solar_day, sum(0.1 * (sin(radians((j + 1) / 10.0)) - sin(radians(j / 10.0)))) / sin(radians(1.0)) AS share FROM hit GROUP BY 1)
+    SELECT solar_day, round(coalesce(share, 0) + 1e-9, 6) AS share, round(coalesce(share, 0) + 1e-9, 6) >= 0.5 AS kept FROM (SELECT DISTINCT solar_day FROM b) LEFT JOIN sh USING (solar_day)""")
 def footprint_prefilter(spark, sf):
-    """Boxes by scene over an AOI: days whose footprints cover half of it (tested against a raster of cells)."""
+    """Boxes by scene over an AOI of one degree: days whose footprints cover half of it, held against cells of a tenth."""
     s = V.scenes(spark, sf).select("item_id", F.to_date("datetime").alias("solar_day"), ((F.col("item_id") % 13) / 10.0).alias("x0"), ((F.col("item_id") % 7) / 10.0).alias("y0"))
     boxes = s.withColumns({"x1": F.col("x0") + 0.5, "y1": F.col("y0") + 0.5})
-    share = SC.boxes_union_share(boxes, (0.0, 0.0, 1.0, 1.0), ["solar_day"])
-    return share.select("solar_day", rounded(F.col("share")).alias("share"), (F.col("share") >= 0.5).alias("kept"))
+    share = SC.boxes_union_share(boxes, (0.0, 0.0, 1.0, 1.0), ["solar_day"]).withColumn("share", rounded(F.col("share")))
+    return share.select("solar_day", "share", (F.col("share") >= 0.5).alias("kept"))
 
 
 # Time ---------------------------------------------------------------------------------------------------------------
@@ -254,15 +257,17 @@ def season_cross_year(spark, sf):
     return V.pixels(spark, sf).withColumn("season", y).filter("season is not null").groupBy("season").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("nir")).alias("nir"))
 
 
-@query(f"""WITH {V.PX} SELECT count(*) AS n, count(DISTINCT {TYPED}) AS days FROM px WHERE {TYPED} IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 10 = 0)""")
+@query(f"""WITH {V.PX} SELECT count(*) AS n, count(DISTINCT {TYPED}) AS days FROM px WHERE {TYPED} IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_custkey % 101 <= 10)""")
 def dates_keep_semi(spark, sf):
-    d = V.scenes(spark, sf).filter("item_id % 10 = 0").select(F.col("datetime").alias("time"))
+    """Pixels of the days for which the catalogue has a clear scene."""
+    d = V.scenes(spark, sf).filter("cloud_cover <= 10").select(F.col("datetime").alias("time"))
     return FI.keep_dates(V.pixels(spark, sf), d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("time")).alias("days"))
 
 
-@query(f"""WITH {V.PX} SELECT DISTINCT {TYPED} AS day FROM px WHERE {TYPED} NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 4 = 0)""")
+@query(f"""WITH {V.PX} SELECT DISTINCT {TYPED} AS day FROM px WHERE {TYPED} NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_custkey % 101 <= 25)""")
 def missing_dates_anti(spark, sf):
-    return FI.missing_dates(V.pixels(spark, sf), V.scenes(spark, sf).filter("item_id % 4 = 0").select(F.col("datetime").alias("time")))
+    """Days of the cube for which the catalogue has no scene of at most 25 % cloud."""
+    return FI.missing_dates(V.pixels(spark, sf), V.scenes(spark, sf).filter("cloud_cover <= 25").select(F.col("datetime").alias("time")))
 
 
 _OPS = {"mean": "avg", "median": "median", "min": "min", "max": "max", "std": "stddev_pop"}
@@ -400,15 +405,15 @@ def running_max_missing_frames(spark, sf):
 
 # Joins and updates --------------------------------------------------------------------------------------------------
 
-_RANK = """a AS (SELECT ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM events WHERE event_id % 2 = 0)),
-    b AS (SELECT ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM events WHERE event_id % 3 = 0))"""
+_RANK = """a AS (SELECT ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM events WHERE event_type IN ('view', 'click'))),
+    b AS (SELECT ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM events WHERE event_type NOT IN ('view', 'click')))"""
 
 
 @query(f"WITH {_RANK} SELECT coalesce(a.day, b.day) AS day, CAST(coalesce(a.k, b.k) AS INT) AS k, a.ts AS left_time, b.ts AS right_time FROM a FULL JOIN b ON a.day = b.day AND a.k = b.k")
 def rank_aligned_join(spark, sf):
-    e = V.table(spark, sf, "events")
-    side = lambda n: e.filter(F.col("event_id") % n == 0).select(F.col("ts").alias("time")).distinct()
-    return J.rank_aligned(side(2), side(3))
+    """Views and clicks against all other events of their day, in the order of time."""
+    seen = V.table(spark, sf, "events").select(F.col("ts").alias("time"), F.col("event_type").isin("view", "click").alias("left"))
+    return J.rank_aligned(seen.filter("left").select("time").distinct(), seen.filter("not left").select("time").distinct())
 
 
 @query("""WITH l AS (SELECT event_id, user_id % 5 AS k, ts FROM events WHERE event_id % 2 = 0), r AS (SELECT user_id % 5 AS k, ts, max(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
@@ -670,23 +675,38 @@ def patch_positions(spark, sf):
     return spark.createDataFrame([(p,) for p in RS.patch_positions(400)], "start int")
 
 
-@query()
+def _moved_scenes(spark, sf):
+    """One scene of 64 x 64 noise pixels a nation, each moved by rows and columns of its own."""
+    scene = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(64 * 64 - 1))).alias("p"))
+    at = scene.select("k", (F.col("p") / 64).cast("int").alias("row"), (F.col("p") % 64).alias("col"), ((F.col("k") + 2) % 5 - 2).alias("dy"), ((2 * F.col("k") + 3) % 7 - 3).alias("dx"))
+    noise = F.pmod(F.xxhash64(F.pmod(F.col("row") - F.col("dy"), F.lit(64)), F.pmod(F.col("col") - F.col("dx"), F.lit(64))), F.lit(1000)) / 1000.0
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")).cast("timestamp_ntz")
+    return at.select(F.lit("c").alias("cube_id"), day.alias("time"), "row", "col", noise.alias("red"))
+
+
+def _whole_shifts(found):
+    return found.select("cube_id", F.to_date("time").alias("day"), F.round("shift_row").cast("int").alias("shift_row"), F.round("shift_col").cast("int").alias("shift_col"), "kept")
+
+
+_MOVED = "SELECT 'c' AS cube_id, CAST(DATE '2024-01-01' + CAST(n_nationkey AS INT) AS DATE) AS day, CAST((n_nationkey + 2) % 5 - 2 AS INT) AS shift_row, CAST((2 * n_nationkey + 3) % 7 - 3 AS INT) AS shift_col, TRUE AS kept FROM nation"
+
+
+@query(_MOVED)
 def phase_shift_consensus(spark, sf):
-    """Shifts of synthetic scenes of one cube, estimated by phase correlation (tested against the shifts applied)."""
-    import numpy as np
+    """Shifts against a running reference that starts from the first day; the SQL states how far each scene was moved."""
+    return _whole_shifts(G.estimate_shifts(_moved_scenes(spark, sf), "red", size=32, composite_days=0))
+
 
-    rng = np.random.default_rng(1)
-    base = rng.random((64, 64))
-    days = [(0, 0), (0, 0), (0, 0), (2, -1), (-3, 2)]
-    rows = [("c", f"2024-01-0{k + 1}", int(r), int(c), float(np.roll(base, s, (0, 1))[r, c])) for k, s in enumerate(days) for r in range(64) for c in range(64)]
-    px = spark.createDataFrame(rows, "cube_id string, time string, row int, col int, red double").withColumn("time", F.to_timestamp_ntz("time"))
-    return G.estimate_shifts(px, "red", size=32)
+@query(f"WITH m AS ({_MOVED}), a AS (SELECT shift_row AS y, shift_col AS x FROM m WHERE day = DATE '2024-01-13') SELECT cube_id, day, CAST(shift_row - y AS INT) AS shift_row, CAST(shift_col - x AS INT) AS shift_col, kept FROM m, a")
+def phase_shift_anchor(spark, sf):
+    """Shifts from an anchor in the middle, forward and backward."""
+    return _whole_shifts(G.estimate_shifts(_moved_scenes(spark, sf), "red", size=32, mode="anchor", anchor="2024-01-13"))
 
 
 @query()
 def super_resolution(spark, sf):
     """Half the pixel size with the default model (tested against the same interpolation of the whole image)."""
-    cube = V.cube(spark, sf).filter(F.year("time") == 1996).select("time", "row", "col", "nir")
+    cube = V.cube(spark, sf).select("time", "row", "col", "nir")
     return RS.super_resolve(cube, ["nir"], 2, tile=32)
 
 
