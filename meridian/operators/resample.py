@@ -196,12 +196,19 @@ def super_resolve(pixels: DataFrame, bands: Sequence[str], factor: int = 4, mode
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc, size = int(pdf["trow"].iloc[0]), int(pdf["tcol"].iloc[0]), tile + 2 * halo
         r, c = pdf["row"].to_numpy() - tr * tile + halo, pdf["col"].to_numpy() - tc * tile + halo
-        x = np.full((len(bands), size, size), np.nan)
+        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
+        if not own.any():
+            return pdf[[key, "row", "col", *bands]].iloc[:0]  # only the halo of other tiles
+        # Of a tile that the scene fills in part, only that part and a margin of missing pixels go to the model.
+        r0, c0 = max(0, r.min() - nan_buffer - 1), max(0, c.min() - nan_buffer - 1)
+        shape = (min(size, r.max() + nan_buffer + 2) - r0, min(size, c.max() + nan_buffer + 2) - c0)
+        r, c = r - r0, c - c0
+        inner = np.zeros(shape, dtype=bool)
+        inner[r[own], c[own]] = True
+        x = np.full((len(bands), *shape), np.nan)
         for k, b in enumerate(bands):
             x[k, r, c] = pdf[b].to_numpy(dtype=float)
         hole = np.isnan(x).any(axis=0)
-        there = np.zeros((size, size), dtype=bool)
-        there[r, c] = True
         for _ in range(nan_buffer):
             grown = hole.copy()
             grown[1:] |= hole[:-1]
@@ -209,15 +216,13 @@ def super_resolve(pixels: DataFrame, bands: Sequence[str], factor: int = 4, mode
             grown[:, 1:] |= hole[:, :-1]
             grown[:, :-1] |= hole[:, 1:]
             hole = grown
-        y = model(np.stack([fill_nearest(b) for b in x])) if not np.isnan(x).all() else np.full((len(bands), size * factor, size * factor), np.nan)
+        y = model(np.stack([fill_nearest(b) for b in x])) if not np.isnan(x).all() else np.full((len(bands), shape[0] * factor, shape[1] * factor), np.nan)
         y[:, np.kron(hole, np.ones((factor, factor), dtype=bool))] = np.nan
-        inner = np.zeros((size, size), dtype=bool)
-        inner[halo : halo + tile, halo : halo + tile] = True
-        rr, cc = np.nonzero(np.kron(inner & there, np.ones((factor, factor), dtype=bool)))
-        out = {key: np.repeat(pdf[key].to_numpy()[:1], len(rr)), "row": (rr + (tr * tile - halo) * factor).astype("int32"), "col": (cc + (tc * tile - halo) * factor).astype("int32")}
+        rr, cc = np.nonzero(np.kron(inner, np.ones((factor, factor), dtype=bool)))
+        out = {key: np.repeat(pdf[key].to_numpy()[:1], len(rr)), "row": (rr + (tr * tile - halo + r0) * factor).astype("int32"), "col": (cc + (tc * tile - halo + c0) * factor).astype("int32")}
         for k, b in enumerate(bands):
             v = y[k, rr, cc]
-            out[b] = pd.array(np.where(np.isnan(v), None, v), dtype="Float64")
+            out[b] = pd.arrays.FloatingArray(v, np.isnan(v))
         return pd.DataFrame(out)
 
     kinds = f"{key} {pixels.schema[key].dataType.simpleString()}, row int, col int, " + ", ".join(f"{b} double" for b in bands)

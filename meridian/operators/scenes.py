@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,25 @@ def one_era_per_day(scenes: DataFrame, coverage: DataFrame, day: str = "day", ba
 
 
 def boxes_union_share(footprints: DataFrame, aoi: Sequence[float], key: Sequence[str]) -> DataFrame:
-    """Share of an AOI box that a group's footprint boxes (x0, y0, x1, y1) cover together, exact: the boxes' edges cut the
-    AOI into cells; area is taken in an equal-area projection, which for boxes is longitude by sine of latitude."""
+    """Share of an AOI box that a group's footprint boxes (x0, y0, x1, y1) cover together, exact, in column
+    expressions only; area is taken in an equal-area projection, which for boxes is longitude by sine of latitude."""
     left, bottom, right, top = aoi
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = lambda v: np.sin(np.radians(v))
-        xs = np.unique(np.clip(np.concatenate(([left, right], pdf["x0"], pdf["x1"])), left, right))
-        ys = np.unique(np.clip(np.concatenate(([bottom, top], pdf["y0"], pdf["y1"])), bottom, top))
-        hit = np.zeros((len(xs) - 1, len(ys) - 1), dtype=bool)
-        for x0, y0, x1, y1 in zip(pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"], strict=True):
-            hit[np.searchsorted(xs, max(x0, left)) : np.searchsorted(xs, min(x1, right)), np.searchsorted(ys, max(y0, bottom)) : np.searchsorted(ys, min(y1, top))] = True
-        area = np.outer(np.diff(xs), np.diff(s(ys)))
-        whole = (right - left) * (s(top) - s(bottom))
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in key}, "share": min(1.0, float(area[hit].sum() / whole))}])
-
-    kinds = ", ".join(f"{k} {footprints.schema[k].dataType.simpleString()}" for k in key)
-    # Boxes that add nothing new go first, so a group holds its distinct footprints only.
-    slim = footprints.select(*key, "x0", "y0", "x1", "y1").distinct()
-    return slim.groupBy(*key).applyInPandas(share, f"{kinds}, share double")
+    within = lambda c, low, high: F.least(F.greatest(F.col(c), F.lit(float(low))), F.lit(float(high)))
+    sine = lambda c: F.sin(F.radians(c))
+    boxes = footprints.select(
+        *key, within("x0", left, right).alias("x0"), within("x1", left, right).alias("x1"), sine(within("y0", bottom, top)).alias("y0"), sine(within("y1", bottom, top)).alias("y1")
+    ).distinct()
+    # The boxes' sides cut the AOI into strips; in a strip the intervals of the boxes over it are joined by a running end.
+    sides = boxes.select(*key, F.explode(F.array("x0", "x1")).alias("left")).distinct()
+    strips = sides.withColumn("right", F.lead("left").over(Window.partitionBy(*key).orderBy("left"))).filter("right is not null").alias("s")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    over = strips.join(boxes.alias("b"), reduce(and_, [*same, F.col("x0") <= F.col("left"), F.col("x1") >= F.col("right"), F.col("y0") < F.col("y1")]))
+    over = over.select(*(f"s.{k}" for k in key), "left", "right", "y0", "y1")
+    end = F.max("y1").over(Window.partitionBy(*key, "left").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("y1") - F.greatest("y0", end), F.lit(0.0))
+    area = over.select(*key, ((F.col("right") - F.col("left")) * new).alias("area")).unionByName(boxes.select(*key, F.lit(0.0).alias("area")))
+    whole = (right - left) * (np.sin(np.radians(top)) - np.sin(np.radians(bottom)))
+    return area.groupBy(*key).agg(F.least(F.lit(1.0), F.sum("area") / F.lit(float(whole))).alias("share"))
 
 
 def ring_box(ring: Column) -> list[Column]:
