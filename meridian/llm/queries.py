@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_transducer, exact_dedup, langid, near_dedup, packing, sentencepiece_lattice, sharding, toxicity, url_filter, warc
+from . import ann, bpe_transducer, exact_dedup, langid, near_dedup, packing, periodic_runs, sentencepiece_lattice, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 
@@ -66,6 +66,11 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.Forest(words=4))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return periodic_runs.runs_digest(_read(spark, sf_dir, "documents"))
+
+
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vantage_point, op2_warc, op3_language_id, op4_url_filter, op5_sentencepiece, op6_toxicity, op7_rendezvous, op8_exact_dedup, op9_lexical_packing, op10_lsh_forest,
-        op12_bpe_transducer,
+        op11_periodic_runs, op12_bpe_transducer,
     )
 }
 
