@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_transducer, exact_dedup, langid, near_dedup, packing, periodic_runs, sentencepiece_lattice, sharding, toxicity, url_filter, warc
+from . import ann, bpe_transducer, exact_dedup, hard_negatives, langid, near_dedup, packing, periodic_runs, sentencepiece_lattice, sharding, toxicity, url_filter, warc
 from .common import small_batches
 
 
@@ -78,11 +78,16 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vantage_point, op2_warc, op3_language_id, op4_url_filter, op5_sentencepiece, op6_toxicity, op7_rendezvous, op8_exact_dedup, op9_lexical_packing, op10_lsh_forest,
-        op11_periodic_runs, op12_bpe_transducer,
+        op11_periodic_runs, op12_bpe_transducer, op13_hard_negatives,
     )
 }
 
@@ -105,4 +110,23 @@ ORACLE: dict[str, str] = {
                    count(*) OVER (PARTITION BY d) AS group_size
             FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, d AS text_sha256 FROM k""",
+    "op13_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, list_dot_product(a.v, r.v)::BIGINT AS score
+            FROM r AS a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+            FROM p JOIN s USING (anchor_id)
+            WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
