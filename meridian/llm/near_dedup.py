@@ -112,7 +112,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sign(docs: DataFrame, f: Forest) -> DataFrame:
-    """doc_id, n_shingles, cls (hex digest of the set; null without shingles or id) and sig."""
+    """doc_id, n_shingles, cls (hex digest of the set; null without shingles or id), sig, and crc, a hash of the text that
+    tells the rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(f)
@@ -124,11 +125,11 @@ def sign(docs: DataFrame, f: Forest) -> DataFrame:
                 known = len(s) and doc_id is not None
                 cls.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if known else None)
                 sig.append(signature(s, a, b).astype(">u4").tobytes() if known else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "cls", "sig", "crc"])
         _HASH.clear()
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls string, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, cls string, sig binary, crc long")
 
 
 def _pairs(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, f: Forest, new: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,25 +224,26 @@ def _link(sets: list[np.ndarray], f: Forest, a: np.ndarray, b: np.ndarray) -> Un
 def _verify_blocks(f: Forest):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(f)
-        key, reps, sets = None, [], []
+        key, reps, names, sets = None, [], [], []
 
         def flush() -> pd.DataFrame:
             links = _link(sets, f, a, b) if sets else UnionFind()
             groups: dict[int, int] = {}
             for k, rep in enumerate(reps):
                 groups[links.find(k)] = min(rep, groups.get(links.find(k), rep))
-            return pd.DataFrame({"rep": np.array(reps, np.int64), "grp": np.array([groups[links.find(k)] for k in range(len(reps))], np.int64)})
+            return pd.DataFrame({"cls": names, "grp": np.array([groups[links.find(k)] for k in range(len(reps))], np.int64)})
 
         for pdf in batches:
             for comp, block, rep, cls, text in zip(pdf["component"].tolist(), pdf["block"].tolist(), pdf["rep"].tolist(), pdf["cls"], pdf["text"], strict=True):
                 if (comp, block) != key:
                     if reps:
                         yield flush()
-                    key, reps, sets = (comp, block), [], []
+                    key, reps, names, sets = (comp, block), [], [], []
                 s = shingles(text, f.words)
-                # A repeated id with another text is not the class's; a repeated row is taken once.
-                if (not reps or reps[-1] != rep) and xxhash.xxh3_128_hexdigest(s.tobytes()) == cls:
+                # A repeated row is taken once; an id may stand for several classes.
+                if (not names or names[-1] != cls) and xxhash.xxh3_128_hexdigest(s.tobytes()) == cls:
                     reps.append(rep)
+                    names.append(cls)
                     sets.append(s)
         if reps:
             yield flush()
@@ -318,48 +320,69 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     signed = materialize(sign(docs, f), "signatures")
     rows = signed.count()
     known = signed.filter("cls is not null")
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
+    classes = known.groupBy("cls").agg(F.min(F.struct("doc_id", "crc")).alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select("cls", "rep.crc", F.col("rep.doc_id").alias("rep"), "sig", "n", "copies"), "classes")
     comp = materialize(connected_components(candidates(classes, f, rows)), "components")
 
-    members = classes.join(comp, classes["rep"] == comp["node"]).select("rep", "cls", "n", "component")
+    members = classes.join(comp, classes["rep"] == comp["node"]).select("rep", "crc", "cls", "n", "component")
     per = members.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("k") / f.block_classes, F.col("s") / f.block_shingles)).cast("int")
     per = per.select("component", "k", F.greatest(blocks, F.lit(1)).alias("blocks"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
-    members = join_groups(members, per, "component", "k", rows).select("rep", "cls", "component", "blocks", block)
+    members = join_groups(members, per, "component", "k", rows).select("rep", "crc", "cls", "component", "blocks", block)
     members = materialize(members, "members")
 
-    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", members, "rep").join(members, F.col("__id") == F.col("rep")).select("component", "block", "rep", "cls", "text")
+    texts = _texts_of(docs, members).select("component", "block", "rep", "cls", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = texts.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "rep")
-    groups = materialize(together.mapInPandas(_verify_blocks(f), "rep long, grp long"), "groups")
+    together = texts.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "rep", "cls")
+    groups = materialize(together.mapInPandas(_verify_blocks(f), "cls string, grp long"), "groups")
 
     cut = members.filter("blocks > 1")
     if not cut.isEmpty():
         groups = _compare_blocks(docs, cut, groups, f)
 
     # Rows of a class of their own that is linked with nothing keep their id; all others are told by their class.
-    of_class = classes.join(groups.withColumnRenamed("rep", "node"), F.col("rep") == F.col("node"), "left").filter("copies > 1 or grp is not null")
-    of_class = of_class.select("cls", "copies", F.coalesce("grp", "rep").alias("component_id"))
+    of_class = classes.join(groups, "cls", "left").select("cls", "copies", "grp", F.coalesce("grp", "rep").alias("component_id"))
+    merged = _classes_of_one_id(known, of_class, rows)
+    if merged is not None:
+        of_class = of_class.join(merged, F.col("component_id") == F.col("node"), "left")
+        of_class = of_class.select("cls", "copies", F.coalesce("component", "grp").alias("grp"), F.coalesce("component", "component_id").alias("component_id"))
+    of_class = of_class.filter("copies > 1 or grp is not null").drop("grp")
     told = join_groups(known.select("doc_id", "n_shingles", "cls"), of_class, "cls", "copies", rows, "left")
     out = told.select("doc_id", "n_shingles", "component_id").unionByName(signed.filter("cls is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the text of each one's row; the hash of the text keeps other rows of its id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__crc"), "text")
+    return likely_in(rows, "__id", members, "rep").join(members, (F.col("__id") == F.col("rep")) & (F.col("__crc") == F.col("crc")))
+
+
+def _classes_of_one_id(known: DataFrame, of_class: DataFrame, rows: int) -> DataFrame | None:
+    """(node, component) of what ids with several texts join, over component_id; None where no id has several."""
+    several = known.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select(F.col("doc_id").alias("of"))
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return None
+    told = likely_in(known.select(F.col("doc_id").alias("of"), "cls"), "of", several, "of").join(several, "of", "left_semi").distinct()
+    told = materialize(told.join(of_class.select("cls", "component_id"), "cls").select("of", "component_id"), "several")
+    low = told.groupBy("of").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return connected_components(join_groups(told, low, "of", "n", rows), "component_id", "least")
+
+
 def _compare_blocks(docs: DataFrame, cut: DataFrame, groups: DataFrame, f: Forest) -> DataFrame:
     """``groups`` merged over all similar pairs between the blocks of cut components."""
-    rows = cut.join(groups, "rep")
+    rows = cut.join(groups, "cls")
     apart = rows.groupBy("component").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).filter("g <> h").select("component")
     rows = rows.join(apart, "component")
-    texts = likely_in(docs.select(F.col("doc_id").alias("__id"), "text"), "__id", rows, "rep").join(rows, F.col("__id") == F.col("rep"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")  # a component's blocks, squared
+    texts = _texts_of(docs, rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")  # a component's blocks, squared
     tasks = texts.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cls", "grp", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = tasks.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "block", "rep")
     merged = connected_components(together.mapInPandas(_between_blocks(f), "ga long, gb long"), "ga", "gb")
-    groups = groups.join(merged, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
+    groups = groups.join(merged, F.col("grp") == F.col("node"), "left").select("cls", F.coalesce("component", "grp").alias("grp"))
     return materialize(groups, "groups")
 
 

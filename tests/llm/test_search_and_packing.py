@@ -358,6 +358,24 @@ def test_near_dedup_loses_no_pair_in_a_component_beyond_a_block(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
+@pytest.mark.parametrize("block", [1000, 1])
+def test_near_dedup_joins_the_texts_of_one_id(spark, block):
+    rng = np.random.default_rng(4)
+    a, b, c = ([f"{x}{k}" for k in rng.integers(0, 10**6, 60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    f = near_dedup.Forest(words=4, block_classes=block)
+    for x, y in ((a, b), (b, a)):
+        rows = [(1, " ".join(x)), (1, " ".join(y)), (2, near(y)), (3, near(x)), (4, " ".join(c)), (5, None)]
+        out = near_dedup.near_duplicates(docs(spark, rows), f).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+        assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs(spark, rows), f).collect()) == [1, 1, 4, 5]
+    # An id that is the smallest of neither class joins both; another stands for very many texts.
+    many = [(9, " ".join([*c[:50], f"v{k}", *c[51:]])) for k in range(40)] + [(9, " ".join(f"u{k}x{j}" for j in range(30))) for k in range(40)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (7, " ".join(a)), (7, " ".join(b)), (8, near(a)), *many, (10, " ".join(f"u3x{j}" for j in range(30)))]
+    out = near_dedup.near_duplicates(docs(spark, rows), f).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 1), (7, 1), (8, 1), (9, 9), (10, 9)} and len(out) == len(rows)
+
+
 def test_depth_follows_the_region():
     f = near_dedup.Forest(min_depth=1, max_depth=3, depth=4, region=2)
     key = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 2, 1], [1, 2, 1, 1], [2, 1, 1, 1], [2, 2, 1, 1], [3, 1, 1, 1]], np.uint32)
