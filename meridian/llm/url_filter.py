@@ -190,11 +190,13 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, max_urls: int = 20_000, max_length: int = 10_000) -> UrlModel:
-    """Fit on about ``max_urls`` rows of ``labelled`` (url, verdict), drawn by a hash of the URL, of URLs up to
-    ``max_length`` characters. Without rows, or with one verdict only, the model gives their share of blocked."""
-    rows = labelled.filter(F.col("url").isNotNull() & (F.length("url") <= max_length))
-    share = max_urls / max(1, rows.count())
-    sample = rows.filter(unit_hash("url", seed=4) < share).select("url", "verdict").orderBy("url").toPandas()
+    """Fit on at most ``max_urls`` distinct rows of ``labelled`` (url, verdict), the first by a hash of the URL, of URLs
+    up to ``max_length`` characters. However often a URL occurs, it is drawn once. Without rows, or with one verdict
+    only, the model gives their share of blocked."""
+    rows = labelled.filter(F.col("url").isNotNull() & (F.length("url") <= max_length)).select("url", "verdict")
+    distinct = rows.agg(F.approx_count_distinct("url")).first()[0]
+    drawn = rows.withColumn("h", unit_hash("url", seed=4)).filter(F.col("h") < 1.2 * max_urls / max(1, distinct)).distinct()
+    sample = drawn.orderBy("h", "url", "verdict").limit(max_urls).toPandas().sort_values(["url", "verdict"])
     urls, y = sample["url"].tolist(), (sample["verdict"] == "block").to_numpy(dtype=float)
     lexicon = Lexicon.fit(urls, y)
     if len(urls) < 2:

@@ -351,3 +351,15 @@ def test_toxicity_sample_is_the_same_in_any_layout(spark):
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         models.append((m.bucket.tolist(), m.weight.tolist(), m.bias))
     assert models[0] == models[1] == models[2]
+
+
+def test_a_frequent_url_is_drawn_once(spark, monkeypatch):
+    """A URL that holds most rows, and whose hash is in the sample, adds one row to what reaches the driver."""
+    import pandas as pd
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 < 2, F.lit("http://hot.example/1")).otherwise(F.concat(F.lit("http://x"), F.col("id"), F.lit(".net/a"))).alias("url"))
+    rows = rows.withColumn("verdict", F.when(F.crc32("url") % 2 == 0, "block").otherwise("allow"))
+    seen = []
+    monkeypatch.setattr(url_filter.Lexicon, "fit", classmethod(lambda cls, urls, y, fit=url_filter.Lexicon.fit.__func__: seen.append(list(urls)) or fit(cls, urls, y)))
+    url_filter.train(rows, max_urls=1000)
+    assert 900 <= len(seen[0]) <= 1000 and pd.Series(seen[0]).is_unique
