@@ -134,6 +134,7 @@ class Packing:
     window: int = 1024
     end_id: int = 0
     shard_docs: int = 4096
+    shard_postings: int = 2_000_000
     query_terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
@@ -238,12 +239,13 @@ class LexicalTree:
 
 def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
     """``tokenized`` with its shard: the leaf of a lexical tree, in so many pieces by a hash that each holds about
-    ``shard_docs`` rows at most."""
-    if rows <= p.shard_docs:
-        return tokenized.withColumn("shard", F.lit(0))
-    leaves = -(-rows * 5 // (4 * p.shard_docs))
+    ``shard_docs`` rows at most. Rows that repeat within a task of the scan are numbered, so that copies of one row go
+    to different pieces; others go where their own content sends them, whatever the layout."""
+    leaves = max(1, -(-rows * 5 // (4 * p.shard_docs)))
     draw = min(max(8_000, 8 * leaves), 60_000)
-    sample = tokenized.filter(unit_hash("doc_id", "tokens", "tail_crc", seed=9) < draw / rows).select("bag")
+    hashed = tokenized.select("bag", unit_hash("doc_id", "tokens", "tail_crc", seed=9).alias("h")).filter(F.col("h") < draw / max(1, rows))
+    # A row that is drawn is drawn once, however often it is repeated.
+    sample = hashed.dropDuplicates(["h"]).orderBy("h").limit(draw * 5 // 4).select("bag")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(_SKETCH_TERMS, dtype=np.int64)
@@ -270,17 +272,22 @@ def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         directions, (weights, tree) = _directions(), shared.value
+        seen: dict[tuple, int] = {}
         for batch in batches:
             if batch.num_rows:
-                at = tree.leaf(np.stack([sketch(b, weights, directions) for b in batch.column(batch.schema.get_field_index("bag")).to_pylist()]))
-                yield batch.append_column("leaf", pa.array(at, pa.int32()))
-
-    placed = materialize(tokenized.mapInArrow(place, TOKENIZED + ", leaf int"), "placed")
+                at = tree.leaf(np.stack([sketch(b, weights, directions) for b in batch.column("bag").to_pylist()]))
+                copy = []
+                for key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tokens", "tail_crc")), strict=True):
+                    copy.append(seen.get(key, 0))
+                    seen[key] = copy[-1] + 1
+                yield batch.append_column("leaf", pa.array(at, pa.int32())).append_column("copy", pa.array(copy, pa.int32()))
+
+    placed = materialize(tokenized.mapInArrow(place, TOKENIZED + ", leaf int, copy int"), "placed")
     count = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     pieces = {k: -(-n // p.shard_docs) for k, n in sorted(count.items())}
     first = dict(zip(pieces, np.cumsum([0, *pieces.values()]).tolist(), strict=False))
     plan = tokenized.sparkSession.createDataFrame([(k, first[k], n) for k, n in pieces.items()], "leaf int, first int, pieces int")
-    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens", "tail_crc"), F.col("pieces")).cast("int")
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens", "tail_crc", "copy"), F.col("pieces")).cast("int")
     return placed.join(F.broadcast(plan), "leaf").withColumn("shard", shard)
 
 
@@ -384,7 +391,9 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, p: Packing) -> DataFrame:
     """Per piece PACKED. Every id of every row lies in one piece; a piece is a full window or a document's tail. A null
-    or empty text has the end id only. Repeated rows are packed each; an empty table gives no rows."""
+    or empty text has the end id only. Repeated rows are packed each; an empty table gives no rows. An index holds at
+    most 1.25 * ``shard_docs`` documents and ``shard_postings`` pairs of a document and a token (one document may have
+    more): where a shard has more, several are built, one after the other."""
     rows = docs.count()
     shards = max(1, -(-rows * 5 // (4 * p.shard_docs)))
     parts = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -392,13 +401,14 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         held: list[tuple] = []
-        now = None
+        now, taken, postings = None, 0, 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal taken
             ids, tokens, full, tail, crc, bags = zip(*held, strict=True)
             tails = np.array(tail, dtype=np.int64)
             seq, offset = pack_shard(tails, InvertedIndex(list(bags), p), p.window)
-            number, base = int(seq.max(initial=-1)) + 1, int(now) << 32
+            number, base = int(seq.max(initial=-1)) + 1, (int(now) << 32) + taken
             out: list[list] = [[] for _ in range(7)]
             for k in range(len(ids)):
                 for j, c in enumerate(full[k]):
@@ -408,20 +418,24 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
                 if tails[k]:
                     for to, x in zip(out, (ids[k], len(full[k]) * p.window, int(tails[k]), crc[k], tokens[k], base + int(seq[k]), int(offset[k])), strict=True):
                         to.append(x)
+            taken += number
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(1, 7)]
             for s, row in zip(batch.column(0).to_pylist(), zip(*columns, strict=True), strict=True):
-                if s != now and held:
+                here = len(row[5]) // 8
+                if held and (s != now or len(held) >= p.shard_docs * 5 // 4 or postings + here > p.shard_postings):
                     yield flush()
-                    held.clear()
-                now = s
+                    postings = 0
+                taken = taken if s == now else 0
+                now, postings = s, postings + here
                 held.append(row)
         if held:
             yield flush()
 
     cols = ["doc_id", "tokens", "full", "tail", "tail_crc", "bag"]
     tokenized = tokenize(docs, p)
-    dealt = deal(materialize(tokenized, "tokenized") if rows > p.shard_docs else tokenized, rows, p).select("shard", *cols).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "tail_crc")
+    dealt = deal(materialize(tokenized, "tokenized"), rows, p).select("shard", *cols).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "tail_crc")
     return dealt.mapInArrow(run, PACKED)

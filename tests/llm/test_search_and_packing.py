@@ -276,6 +276,22 @@ def test_like_documents_share_a_shard(spark):
     check_packing(rows, packing.pack(docs(spark, rows), p).collect())
 
 
+def test_repeated_rows_keep_the_bound_of_a_shard(spark):
+    rows = [(1, "one row that is there again and again")] * 850 + [(k, f"word{k} other{k % 7} text") for k in range(2, 52)]
+    p = packing.Packing.public(shard_docs=100)
+    dealt = packing.deal(packing.tokenize(docs(spark, rows).repartition(3), p), len(rows), p)
+    assert dealt.count() == 900 and max(r["count"] for r in dealt.groupBy("shard").count().collect()) <= 150
+    check_packing(rows, packing.pack(docs(spark, rows), p).collect())
+
+
+def test_an_index_is_bounded_by_its_postings(spark):
+    rows = [(k, " ".join(f"t{j * 7 + k}" for j in range(30 + k % 5))) for k in range(60)]
+    small = packing.pack(docs(spark, rows), packing.Packing.public(shard_postings=200)).collect()
+    whole = packing.pack(docs(spark, rows), packing.Packing.public()).collect()
+    check_packing(rows, small)
+    assert len({r["sequence_id"] for r in small}) > len({r["sequence_id"] for r in whole})
+
+
 def brute_near(rows, words, percent):
     def sh(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
