@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
@@ -21,7 +20,7 @@ from ..operators import composites, filters, joins, masks, neighbourhood, statis
 from ..operators.grid import Grid, between, rasterize, require_same_grid, snap_bounds
 from ..operators.resample import reproject, reproject_nearest, reproject_weighted
 from ..operators.scenes import by_footprint
-from ..sources import store
+from ..sources import chunks, geotiff, store
 from .request import CubeRequest
 
 
@@ -118,6 +117,19 @@ class Cube:
     def write(self, path: str, **how) -> str:
         return store.write_cube(self.pixels, path, self.grid, {**self.attrs, "bands": list(self.bands)}, self.stats, **how)
 
+    def export_images(self, path: str, **how) -> list[str]:
+        """A tiled GeoTIFF with overviews for each time; class bands keep a pixel where others are averaged."""
+        nearest = [b for b in self.bands if is_categorical(b)]
+        return geotiff.export_geotiffs(self.pixels, path, self.grid, self.bands, nearest=nearest, **how)
+
+    @classmethod
+    def of_images(cls, spark, path: str, **options) -> Cube:
+        """The GeoTIFFs of a folder, a time for each file."""
+        raster = geotiff.open_raster(path)
+        pixels = geotiff.read_geotiff(spark, path, **options)
+        bands = tuple(c for c in pixels.columns if c not in ("layer", "time", "row", "col"))
+        return cls(pixels.select("time", "row", "col", *bands), bands, raster.grid if not int(options.get("level", 0)) else None)
+
     @classmethod
     def open(cls, spark, path: str) -> Cube:
         pixels, grid, attrs, stats = store.open_cube(spark, path)
@@ -172,12 +184,29 @@ def _target(r: CubeRequest, grid: Grid) -> Grid | None:
     return Grid.covering(crs, snap_bounds(bounds, res), res)
 
 
+def _bands(r: CubeRequest, columns: Sequence[str]) -> list[str]:
+    """The bands asked for, all of which the pixels must have; if the mission's whole list is asked for, those there are."""
+    bands = [b for b in r.bands if b in columns]
+    lacking = [b for b in r.bands if b not in columns]
+    if lacking and (not bands or set(r.bands) != set(mission(r.mission).bands)):
+        raise ValueError(f"the pixels have no band {', '.join(lacking)}")
+    return bands
+
+
+def _day_mosaic(rows: DataFrame, names: Sequence[str], order, keys: Sequence[str]) -> DataFrame:
+    """One pixel per day and place: the first value of each band by ``order``, else by time and then by the values."""
+    order = F.struct("time", *names) if order is None else order
+    day = F.to_date("time").cast("timestamp_ntz")
+    return composites.solar_day_mosaic(rows.withColumn("__order", order).withColumn("time", day), names, F.col("__order"), keys)
+
+
 def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scenes: DataFrame | None = None) -> tuple[Cube | None, DataFrame | None]:
     """A cube of raw pixels (time, row, col, bands, the class band) and its composites. Every field of the request is
     heeded or refused: what the catalogue alone knows (cloud cover, footprints, sun azimuths, baselines, metadata) needs
     ``scenes``, a table of the scenes with datetime and those columns.
 
-    The order is fixed: scenes and dates, day mosaic (where ``order`` is given), grid, polygon's extent, class mask,
+    The day mosaic takes the first value by ``order``; without one, of the earliest time, and of equal times the least.
+    The order of steps is fixed: scenes and dates, day mosaic (unless tiles stay separate), grid, polygon's extent, class mask,
     scaling, shadows, indices, statistics, coverage, cloud filter, clip, update, composites, files. Without
     ``keep_timeseries`` there is no cube, only composites. Statistics, the mosaic, shadows and composites shuffle; the
     rest are projections in one stage."""
@@ -185,19 +214,20 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     m = mission(r.mission)
     if scenes is None and (lacking := _needs_scenes(r, pixels.columns)):
         raise ValueError(f"{', '.join(lacking)} needs the table of scenes")
+    bands = _bands(r, pixels.columns)
+    if m.class_band not in pixels.columns and (lacking := [n for n in ("cloud_masking", "scene_cloud_coverage", "metadata_output") if getattr(r, n) not in (None, False)] + ["partial_scene_handling"] * (r.partial_scene_handling == "remove")):
+        raise ValueError(f"{', '.join(lacking)} needs the class band {m.class_band or ''}, which the pixels lack")
     rows = _of_request(pixels, r, scenes)
     if r.mission == "sentinel_2_l1c" and "baseline" not in rows.columns:
         rows = _with_baseline(rows, scenes)
-    bands = [b for b in r.bands if b in rows.columns]
     carried = [m.class_band] if m.class_band and m.class_band in rows.columns and m.class_band not in bands else []
     base = ["baseline"] if r.mission == "sentinel_2_l1c" else []
     borrowed = ["nir"] if r.shadow_masking and "nir" not in bands else []
     if r.shadow_masking and not {"nir", m.class_band} <= set(rows.columns):
         raise ValueError(f"shadow_masking needs nir and {m.class_band}")
     names = [*bands, *carried, *base, *borrowed]
-    if order is not None and r.tile_handling == "mosaic":
-        day = F.to_date("time").cast("timestamp_ntz").alias("time")
-        rows = composites.solar_day_mosaic(rows.withColumn("time", day), names, order, ("time", "row", "col"))
+    if r.tile_handling == "mosaic":
+        rows = _day_mosaic(rows, names, order, ("time", "row", "col"))
     rows = rows.select("time", "row", "col", *names)
     if target := _target(r, grid):
         nearest = [*carried, *base]
@@ -210,7 +240,7 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     attrs = {"mission": r.mission, "stac_api": r.source, "spectral_bands": bands, "indices": list(r.indices or ()), "resampling": r.resampling_method, "tile_handling": r.tile_handling, "partial_scene_handling": r.partial_scene_handling, "cloud_status": "not_masked"}
     cube = Cube(rows, tuple([*bands, *carried, *borrowed]), grid, None, attrs)
     aoi = rasterize(rows.sparkSession, grid, r.rings) if r.clip_raster else None
-    if m.class_band in cube.pixels.columns and (r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove" or r.cloud_masking or r.scene_metadata):
+    if m.class_band in cube.pixels.columns and (r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove" or r.cloud_masking or r.scene_metadata or r.metadata_output):
         inside = cube
         if aoi is not None:  # pixels of the area only, both counted and counted against
             inside = cube._with(cube.pixels.join(aoi.filter("inside").select("row", "col"), ["row", "col"], "left_semi"))
@@ -243,6 +273,8 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     layers = _layers(cube, r)
     if r.output:
         _export(cube, layers, r)
+    if r.metadata_output:
+        cube.stats.write.mode("overwrite").parquet(r.metadata_output)
     return (cube if r.keep_timeseries else None), layers
 
 
@@ -281,9 +313,18 @@ def _layers(cube: Cube, r: CubeRequest, by: Sequence[str] = ()) -> DataFrame | N
 def _export(cube: Cube, layers: DataFrame | None, r: CubeRequest) -> None:
     """Files beside each other: the cube (or only its composites), the request, the statistics, a band list for maps."""
     how = {"compression": "zstd" if r.compress else "snappy"}
-    if (r.export_format or "parquet") == "csv":
+    fmt = r.export_format or "parquet"
+    if fmt == "csv":
         table = cube.pixels if r.keep_timeseries else layers
-        table.write.mode("overwrite").option("header", True).csv(r.output)
+        table.write.mode("overwrite").option("header", True).option("compression", "gzip" if r.compress else "none").csv(r.output)
+    elif fmt == "geotiff":
+        _export_images(cube, layers, r, r.output)
+    elif fmt == "zarr":
+        if not r.keep_timeseries:
+            raise ValueError("a chunk store holds a time series")
+        chunks.write_zarr(cube.pixels, r.output, cube.grid, cube.bands, attrs=cube.attrs)
+        if layers is not None:
+            layers.write.mode("overwrite").option("compression", how["compression"]).parquet(f"{r.output}_composites")
     elif r.keep_timeseries:
         cube.write(r.output, **how)
         if layers is not None:
@@ -294,12 +335,23 @@ def _export(cube: Cube, layers: DataFrame | None, r: CubeRequest) -> None:
     if r.export_settings:
         store.write_settings(r.output, json.loads(r.to_json())["parameters"])
     if r.statistics_csv:
-        store.write_statistics_csv(cube.statistics(), f"{os.path.splitext(r.output)[0]}_statistics.csv")
+        store.write_statistics_csv(cube.statistics(), store.sidecar(r.output, "_statistics.csv"))
     if r.vrt:
-        dates = [str(x["d"]) for x in cube.pixels.select(F.to_date("time").alias("d")).distinct().orderBy("d").collect()]
-        store.Files(cube.pixels.sparkSession, r.output).write(f"{r.output}.vrt", store.vrt(r.output, cube.grid, dates, store.band_order(cube.bands)))
-    if r.metadata_output and cube.stats is not None:
-        cube.stats.write.mode("overwrite").parquet(r.metadata_output)
+        folder = r.output if fmt == "geotiff" else f"{r.output}_images"
+        images = _export_images(cube, layers, r, folder) if fmt != "geotiff" else store.Files(cube.pixels.sparkSession, folder).names(folder)
+        listed = [(name.removesuffix(".tif"), f"{folder.rpartition('/')[2]}/{name}") for name in sorted(images) if name.endswith(".tif")]
+        store.Files(cube.pixels.sparkSession, r.output).write(f"{r.output}.vrt", store.vrt(listed, cube.grid, store.band_order(cube.bands), nodata=-9999.0))
+
+
+def _export_images(cube: Cube, layers: DataFrame | None, r: CubeRequest, path: str) -> list[str]:
+    """Images of the time series, by date, and of the composites, by name, in one folder."""
+    parts = []
+    if r.keep_timeseries:
+        parts.append(cube.pixels.withColumn("file", geotiff.file_name("time")))
+    if layers is not None:
+        parts.append(layers.withColumn("file", geotiff.file_name("layer")))
+    rows = fold(DataFrame.unionByName, [p.select("file", "row", "col", *cube.bands) for p in parts])
+    return geotiff.export_geotiffs(rows, path, cube.grid, cube.bands, key="file", nearest=[b for b in cube.bands if is_categorical(b)])
 
 
 def build_features(request: CubeRequest, pixels: DataFrame, grid: Grid, feature: str = "feature_id", order=None) -> DataFrame:
@@ -310,11 +362,11 @@ def build_features(request: CubeRequest, pixels: DataFrame, grid: Grid, feature:
     if refused := [n for n in ("polygon", "max_cc", "min_footprint_coverage", "shadow_masking", "scene_metadata", "crs", "update", "output") if getattr(r, n)]:
         raise ValueError(f"many areas at once do without {', '.join(refused)}")
     rows = _of_request(pixels, r, None)
-    bands = [b for b in r.bands if b in rows.columns and b != m.class_band]
+    bands = [b for b in _bands(r, rows.columns) if b != m.class_band]
     carried = [m.class_band] if m.class_band in rows.columns else []
     keys = (feature, "time", "row", "col")
-    if order is not None and r.tile_handling == "mosaic":
-        rows = composites.solar_day_mosaic(rows.withColumn("time", F.to_date("time").cast("timestamp_ntz")), [*bands, *carried], order, keys)
+    if r.tile_handling == "mosaic":
+        rows = _day_mosaic(rows, [*bands, *carried], order, keys)
     rows = rows.select(*keys, *bands, *carried)
     kept = None
     if r.scene_cloud_coverage is not None or r.partial_scene_handling == "remove":

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from ..functions.registry import common_band, endpoint, mission, source_name
 from ..functions.temporal import Window, parse_daterange
 from ..operators.composites import Custom, parse_requests
@@ -14,6 +16,14 @@ from ..operators.grid import validate_crs
 from ..sources.store import validate_format
 
 
+def _text_of(path: str) -> str:
+    """Through Spark's file systems where a session is there, else a local file."""
+    from ..sources.store import Files
+
+    spark = SparkSession.getActiveSession()
+    return Files(spark, path).read(path) if spark else Path(path).read_text()
+
+
 @dataclass
 class CubeRequest:
     mission: str
@@ -54,7 +64,7 @@ class CubeRequest:
 
     @classmethod
     def from_json(cls, text_or_path: str) -> CubeRequest:
-        text = text_or_path if text_or_path.lstrip().startswith("{") else Path(text_or_path).read_text()
+        text = text_or_path if text_or_path.lstrip().startswith("{") else _text_of(text_or_path)
         given = json.loads(text)["parameters"]
         known = {f.name for f in fields(cls)}
         if unknown := sorted(set(given) - known):

@@ -735,7 +735,7 @@ def build_features(spark, sf):
     from .plans.cube import build_features as many
     from .plans.request import CubeRequest
 
-    r = CubeRequest(L2A, bands=["red", "nir"], indices=["ndvi"], cloud_masking=True, stats=["mean", "max"])
+    r = CubeRequest(L2A, bands=["red", "nir"], indices=["ndvi"], cloud_masking=True, stats=["mean", "max"], tile_handling="separate")
     out = many(r, V.pixels(spark, sf).withColumn("feature_id", F.col("ord") % 5), GR.Grid("EPSG:32632", 10, -10, 0, 80, 8, 8))
     of = lambda op, band: rounded(F.max(F.when(F.col("layer") == f"{op}_timeseries", F.col(band)))).alias(f"{band}_{op}")
     return out.groupBy("feature_id", "row", "col").agg(of("mean", "nir"), of("max", "ndvi"))
@@ -758,4 +758,4 @@ def stream_daily_window(spark, sf):
     return spark.table(name)
 
 
-from . import queries_tools  # noqa: E402, F401  registers more
+from . import queries_rasters, queries_tools  # noqa: E402, F401  register more

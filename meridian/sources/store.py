@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +15,7 @@ from ..operators.grid import Grid
 
 #: Names that older cubes have for the time series table.
 LEGACY = {"Spectral_Temporal_Stack": "Time_Series"}
-FORMATS = (None, "parquet", "csv")
+FORMATS = (None, "parquet", "csv", "geotiff", "zarr")
 
 
 class Files:
@@ -32,27 +29,43 @@ class Files:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
+    def qualified(self, path: str) -> str:
+        """With the scheme of its file system, for readers that do not know Hadoop's default."""
+        return self._fs.makeQualified(self._path(path)).toString()
+
     def rename(self, path: str, to: str) -> None:
         if not self._fs.rename(self._path(path), self._path(to)):
             raise OSError(f"{path} could not be renamed to {to}")
 
+    def names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
-    def write(self, path: str, text: str) -> None:
+    def write_bytes(self, path: str, data: bytes) -> None:
         out = self._fs.create(self._path(path), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
 
-    def read(self, path: str) -> str:
+    def write(self, path: str, text: str) -> None:
+        self.write_bytes(path, text.encode())
+
+    def read_bytes(self, path: str) -> bytes:
         source = self._fs.open(self._path(path))
         try:
-            return bytes(source.readAllBytes()).decode()
+            return bytes(source.readAllBytes())
         finally:
             source.close()
 
+    def read(self, path: str) -> str:
+        return self.read_bytes(path).decode()
+
 
 def resolve_path(path: str, spark: SparkSession | None = None) -> str:
     """The root of a cube from any file in it."""
@@ -70,7 +83,7 @@ def resolve_path(path: str, spark: SparkSession | None = None) -> str:
 def validate_format(path: str, fmt: str | None) -> str:
     if fmt not in FORMATS:
         raise ValueError(f"format is one of {', '.join(map(str, FORMATS))}")
-    ends = {"csv": ".csv"}
+    ends = {"csv": ".csv", "zarr": ".zarr"}
     if fmt in ends and not path.endswith(ends[fmt]):
         raise ValueError(f"{fmt} goes to a path that ends in {ends[fmt]}")
     return fmt or "parquet"
@@ -157,24 +170,31 @@ def jsonable(value):
     return f"<{type(value).__name__}>"
 
 
+def sidecar(path: str, end: str) -> str:
+    """``path`` with ``end`` in place of its extension."""
+    folder, slash, name = path.rpartition("/")
+    return f"{folder}{slash}{name.rpartition('.')[0] or name}{end}"
+
+
 def write_settings(path: str, parameters: dict) -> str:
-    """``<output>_settings.json`` of a call, as it was made."""
-    out = f"{os.path.splitext(path)[0]}_settings.json"
-    Path(out).write_text(json.dumps({"parameters": jsonable(parameters)}, indent=2))
+    """``<output>_settings.json`` of a call, as it was made, in the file system of the path."""
+    out = sidecar(path, "_settings.json")
+    Files(SparkSession.active(), out).write(out, json.dumps({"parameters": jsonable(parameters)}, indent=2))
     return out
 
 
 def read_settings(path: str) -> dict:
-    return json.loads(Path(path).read_text())["parameters"]
+    return json.loads(Files(SparkSession.active(), path).read(path))["parameters"]
 
 
 def write_statistics_csv(stats: DataFrame, path: str) -> str:
     """One file; the table has rows per day, month and year, however many pixels there were."""
-    tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+    files, tmp = Files(stats.sparkSession, path), f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     stats.coalesce(1).write.option("header", True).csv(tmp)
-    part = next(p for p in os.listdir(tmp) if p.startswith("part-"))
-    os.replace(f"{tmp}/{part}", path)
-    shutil.rmtree(tmp)
+    part = next(n for n in files.names(tmp) if n.startswith("part-"))
+    files.remove(path)
+    files.rename(f"{tmp}/{part}", path)
+    files.remove(tmp)
     return path
 
 
@@ -184,29 +204,17 @@ def band_order(bands: Sequence[str]) -> list[str]:
     return (rgb if len(rgb) == 3 else []) + [b for b in bands if len(rgb) < 3 or b not in rgb]
 
 
-def layer_file(prefix: str, layer: str, date: str | None = None) -> str:
-    """A safe name: only the date for the time series, else the layer's."""
-    name = date if layer == "Time_Series" and date else layer
-    safe = "".join(c if c.isalnum() or c in "-_." else "_" for c in name)
-    return f"{prefix + '_' if prefix else ''}{safe}.tif"
-
-
-def vrt(name: str, grid: Grid, dates: Sequence[str], bands: Sequence[str], scale: float | None = None, offset: float | None = None) -> str:
-    """A virtual raster that names each image ``date band``."""
+def vrt(images: Sequence[tuple[str, str]], grid: Grid, bands: Sequence[str], data_type: str = "Float32", nodata: float | None = None, scale: float | None = None, offset: float | None = None) -> str:
+    """A virtual raster over image files: ``images`` are (date or layer, file beside the virtual raster), all of them
+    with ``bands`` in this order. Each of its images is named ``date band``."""
     out = [f'<VRTDataset rasterXSize="{grid.width}" rasterYSize="{grid.height}">', f"  <SRS>{escape(grid.crs)}</SRS>", f"  <GeoTransform>{grid.c}, {grid.a}, 0, {grid.f}, 0, {grid.e}</GeoTransform>"]
+    whole = f'xOff="0" yOff="0" xSize="{grid.width}" ySize="{grid.height}"'
     n = 0
-    for d in dates:
-        for b in bands:
+    for label, file in images:
+        for k, b in enumerate(bands, 1):
             n += 1
-            out += [f'  <VRTRasterBand dataType="Float32" band="{n}">', f"    <Description>{escape(f'{d} {b}')}</Description>"]
-            if scale is not None:
-                out += [f"    <Scale>{scale}</Scale>", f"    <Offset>{offset}</Offset>"]
-            out += [f"    <SimpleSource><SourceFilename relativeToVRT=\"1\">{escape(name)}</SourceFilename><SourceBand>{n}</SourceBand></SimpleSource>", "  </VRTRasterBand>"]
+            out += [f'  <VRTRasterBand dataType="{data_type}" band="{n}">', f"    <Description>{escape(f'{label} {b}')}</Description>"]
+            out += [f"    <NoDataValue>{nodata:g}</NoDataValue>"] if nodata is not None else []
+            out += [f"    <Scale>{scale}</Scale>", f"    <Offset>{offset}</Offset>"] if scale is not None else []
+            out += [f'    <SimpleSource><SourceFilename relativeToVRT="1">{escape(file)}</SourceFilename><SourceBand>{k}</SourceBand><SrcRect {whole}/><DstRect {whole}/></SimpleSource>', "  </VRTRasterBand>"]
     return "\n".join([*out, "</VRTDataset>"])
-
-
-def frames(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """One row per scene and block of rows with pixel arrays, for writers of images."""
-    block = F.floor(F.col("row") / 256).cast("int")
-    cells = F.sort_array(F.collect_list(F.struct("row", "col", *bands)))
-    return pixels.groupBy("time", block.alias("block")).agg(cells.alias("cells"))

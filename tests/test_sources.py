@@ -75,9 +75,8 @@ def test_sidecars(spark, sf, tmp_path):
     csv = store.write_statistics_csv(cube.statistics(), str(tmp_path / "s.csv"))
     assert open(csv).readline().strip() == "period,label,band,n_dates,mean,median,min,max,std"
     assert store.band_order(["blue", "nir", "red", "green"]) == ["red", "green", "blue", "nir"]
-    assert store.layer_file("p", "Time_Series", "2024-01-01") == "p_2024-01-01.tif" and store.layer_file("", "a b/c") == "a_b_c.tif"
-    text = store.vrt("c.nc", Grid("EPSG:32632", 10, -10, 0, 80, 8, 8), ["2024-01-01", "2024-01-02"], ["red", "nir"], 0.1, 1.0)
-    assert text.count("<VRTRasterBand") == 4 and "2024-01-02 nir" in text
+    text = store.vrt([("2024-01-01", "c/2024-01-01.tif"), ("2024-01-02", "c/2024-01-02.tif")], Grid("EPSG:32632", 10, -10, 0, 80, 8, 8), ["red", "nir"], scale=0.1, offset=1.0)
+    assert text.count("<VRTRasterBand") == 4 and "2024-01-02 nir" in text and text.count("c/2024-01-01.tif</SourceFilename><SourceBand>2") == 1
 
 
 GOOD = {"mission": "s2", "bands": ["B04", "nir"], "indices": ["ndvi"], "daterange": ["2024-01-01", "2024-02-01"]}
