@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scene as S
 from ..functions.registry import SOURCE_LABELS
 from ..functions.temporal import solar_day
+from .coverage import Ring, feature_shares, union_share
 
 #: Two eras may differ by this share of the AOI before the older one wins.
 ERA_MARGIN = 0.02
@@ -99,15 +100,28 @@ def ring_box(ring: Column) -> list[Column]:
     return [F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1")]
 
 
-def by_footprint(scenes: DataFrame, aoi: Sequence[float], least: float, key: Sequence[str] = ("solar_day",)) -> DataFrame:
-    """Scenes of the groups whose footprints cover ``least`` of the AOI; scenes without outline or time always stay."""
+def by_footprint(scenes: DataFrame, aoi: Sequence[Ring], least: float, key: Sequence[str] = ("solar_day",)) -> DataFrame:
+    """Scenes of the groups whose footprints together cover ``least`` of the AOI (rings in degrees); scenes without
+    outline or time always stay. If no group is left, an error says how much the best one covers."""
     known = scenes.filter(F.col("geometry").isNotNull() & F.col(key[-1]).isNotNull())
-    share = boxes_union_share(known.select(*key, *ring_box(F.col("geometry")[0])), aoi, key)
+    share = union_share(known, aoi, key)
+    groups, best, kept = share.agg(F.count(F.lit(1)), F.max("share"), F.count_if(F.col("share") >= least)).first()
+    if groups and not kept:
+        raise ValueError(f"no scene is left: the best of {groups} groups covers {best:.2%} of the area, {least:.2%} were asked for")
     dropped = share.filter(F.col("share") < least).select(*key)
     unknown = scenes.filter(F.col("geometry").isNull() | F.col(key[-1]).isNull())
     return known.join(dropped, list(key), "left_anti").unionByName(unknown)
 
 
+def coverage_by_orbit(scenes: DataFrame, aoi: Sequence[Ring]) -> DataFrame:
+    """``orbit_summary`` of the shares that the footprints of each orbit's dates cover."""
+    return orbit_summary(union_share(scenes, aoi, ["orbit", "solar_day"]), scenes)
+
+
+def coverage_by_feature(scenes: DataFrame, features: dict[object, Sequence[Ring]]) -> DataFrame:
+    return feature_summary(feature_shares(scenes, features, ["orbit", "solar_day"]))
+
+
 def orbit_summary(shares: DataFrame, scenes: DataFrame) -> DataFrame:
     """Per orbit: dates, average, best and worst share of a date, tiles, systems; best average first, unknown last.
     ``shares``: (orbit, solar_day, share)."""
@@ -117,13 +131,16 @@ def orbit_summary(shares: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def feature_summary(shares: DataFrame) -> DataFrame:
-    """Per AOI feature, of the dates that reach it: dates, orbits, shares, and how many only graze it.
-    ``shares``: (feature_id, orbit, solar_day, share)."""
-    hit = shares.filter("share > 0")
-    return hit.groupBy("feature_id").agg(
-        F.count_distinct("solar_day").alias("dates"), F.sort_array(F.collect_set("orbit")).alias("orbits"), F.avg("share").alias("average"),
-        F.max("share").alias("best"), F.min("share").alias("worst"), F.count_if(F.col("share") < GRAZING).alias("grazing"),
+    """Per AOI feature, of the dates that reach it: dates, orbits, shares, how many only graze it, and the orbits that
+    never reach it. A feature that none reaches has no dates. ``shares``: (feature_id, orbit, solar_day, share)."""
+    hit = F.col("share") > 0
+    per = shares.groupBy("feature_id", "orbit").agg(F.max("share").alias("best"))
+    orbits = per.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.when(F.col("best") > 0, F.col("orbit")))).alias("orbits"), F.sort_array(F.collect_list(F.when(F.col("best") <= 0, F.col("orbit")))).alias("unreached"))
+    found = shares.groupBy("feature_id").agg(
+        F.count_distinct(F.when(hit, F.col("solar_day"))).alias("dates"), F.avg(F.when(hit, F.col("share"))).alias("average"), F.max(F.when(hit, F.col("share"))).alias("best"),
+        F.min(F.when(hit, F.col("share"))).alias("worst"), F.count_if(hit & (F.col("share") < GRAZING)).alias("grazing"),
     )
+    return found.join(orbits, "feature_id")
 
 
 def findings(dates: int, average: float | None, best: float | None, orbits: int, partial: float = 0.9) -> list[str]:

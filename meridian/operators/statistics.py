@@ -129,12 +129,14 @@ def second_difference(pixels: DataFrame, value: str, order: str = "time", partit
     return pixels.withColumn("d2", F.abs(F.lag(value, 2).over(w) - F.lag(value, 1).over(w) * 2 + F.col(value)))
 
 
-def edge_roughness(pixels: DataFrame, band: str) -> DataFrame:
-    """Mean second difference over time on the tenth of pixels with the steepest mean gradient."""
-    mean = pixels.groupBy("row", "col").agg(F.avg(band).alias("v"))
-    right = mean.select((F.col("row")).alias("row"), (F.col("col") - 1).alias("col"), F.col("v").alias("vr"))
-    below = mean.select((F.col("row") - 1).alias("row"), F.col("col"), F.col("v").alias("vb"))
-    grad = mean.join(right, ["row", "col"]).join(below, ["row", "col"]).select("row", "col", F.sqrt(F.pow(F.col("vr") - F.col("v"), 2) + F.pow(F.col("vb") - F.col("v"), 2)).alias("g"))
-    cut = grad.agg(F.percentile("g", F.lit(0.9)).alias("p"))
-    edges = grad.join(F.broadcast(cut), F.col("g") >= F.col("p")).select("row", "col")
-    return second_difference(pixels.join(edges, ["row", "col"], "left_semi"), band).agg(F.avg("d2").alias("roughness"))
+def edge_roughness(pixels: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean second difference over time on the tenth of pixels, of each group, with the steepest mean gradient."""
+    at = [*by, "row", "col"]
+    mean = pixels.groupBy(*at).agg(F.avg(band).alias("v"))
+    right = mean.select(*by, F.col("row"), (F.col("col") - 1).alias("col"), F.col("v").alias("vr"))
+    below = mean.select(*by, (F.col("row") - 1).alias("row"), F.col("col"), F.col("v").alias("vb"))
+    grad = mean.join(right, at).join(below, at).select(*at, F.sqrt(F.pow(F.col("vr") - F.col("v"), 2) + F.pow(F.col("vb") - F.col("v"), 2)).alias("g"))
+    cut = grad.groupBy(*by).agg(F.percentile("g", F.lit(0.9)).alias("p"))
+    over = F.col("g") >= F.col("p")
+    edges = (grad.join(cut, list(by)).filter(over) if by else grad.join(F.broadcast(cut), over)).select(*at)
+    return second_difference(pixels.join(edges, at, "left_semi"), band, partition=at).agg(F.avg("d2").alias("roughness"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
@@ -17,7 +18,8 @@ from ..functions.registry import mission
 from ..functions.scene import SCENE_FIELDS
 from ..functions.temporal import filter_dates
 from ..operators import composites, filters, joins, masks, neighbourhood, statistics, update
-from ..operators.grid import Grid, between, rasterize, require_same_grid, snap_bounds
+from ..operators.coverage import box_ring
+from ..operators.grid import Grid, between, rasterize, require_same_grid, snap_bounds, utm_inverse
 from ..operators.resample import reproject, reproject_nearest, reproject_weighted
 from ..operators.scenes import by_footprint
 from ..sources import chunks, geotiff, store
@@ -137,7 +139,21 @@ class Cube:
         return cls(pixels, bands, grid, stats, attrs)
 
 
-def _of_request(rows: DataFrame, r: CubeRequest, scenes: DataFrame | None) -> DataFrame:
+def _in_degrees(rings: list, grid: Grid) -> list:
+    """Rings in the coordinates of a UTM grid, in degrees; others are taken for degrees already."""
+    if not re.fullmatch(r"EPSG:32[67]\d\d", grid.crs) or all(abs(x) <= 360 and abs(y) <= 90 for ring in rings for x, y in ring):
+        return rings
+    zone = int(grid.crs[-2:])
+    spark = SparkSession.active()
+    rows = [(k, j, float(x), float(y)) for k, ring in enumerate(rings) for j, (x, y) in enumerate(ring)]
+    lon, lat = utm_inverse(F.col("x"), F.col("y"), zone, grid.crs[6] == "7")
+    out: list = [[] for _ in rings]
+    for p in spark.createDataFrame(rows, "k int, j int, x double, y double").select("k", "j", lon.alias("lon"), lat.alias("lat")).orderBy("k", "j").collect():
+        out[p["k"]].append((p["lon"], p["lat"]))
+    return out
+
+
+def _of_request(rows: DataFrame, r: CubeRequest, scenes: DataFrame | None, grid: Grid) -> DataFrame:
     """Pixels of the dates and scenes asked for. What the catalogue tells is taken from ``scenes``: datetime, and as
     asked cloud_cover, geometry and solar_day."""
     rows = filter_dates(rows, r.windows)
@@ -147,8 +163,11 @@ def _of_request(rows: DataFrame, r: CubeRequest, scenes: DataFrame | None) -> Da
     if r.max_cc is not None or r.min_footprint_coverage is not None:
         kept = filters.cloud_cover(scenes, r.max_cc)
         if r.min_footprint_coverage is not None:
-            x, y = zip(*(p for ring in r.rings for p in ring), strict=True)
-            kept = by_footprint(kept, (min(x), min(y), max(x), max(y)), r.min_footprint_coverage)
+            rings = _in_degrees(r.rings, grid)
+            if not r.clip_raster:  # the cube is the polygon's box
+                x, y = zip(*(p for ring in rings for p in ring), strict=True)
+                rings = [box_ring((min(x), min(y), max(x), max(y)))]
+            kept = by_footprint(kept, rings, r.min_footprint_coverage)
         rows = filters.keep_dates(rows, kept.select(F.col("datetime").alias("time")))
     return rows
 
@@ -217,7 +236,7 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     bands = _bands(r, pixels.columns)
     if m.class_band not in pixels.columns and (lacking := [n for n in ("cloud_masking", "scene_cloud_coverage", "metadata_output") if getattr(r, n) not in (None, False)] + ["partial_scene_handling"] * (r.partial_scene_handling == "remove")):
         raise ValueError(f"{', '.join(lacking)} needs the class band {m.class_band or ''}, which the pixels lack")
-    rows = _of_request(pixels, r, scenes)
+    rows = _of_request(pixels, r, scenes, grid)
     if r.mission == "sentinel_2_l1c" and "baseline" not in rows.columns:
         rows = _with_baseline(rows, scenes)
     carried = [m.class_band] if m.class_band and m.class_band in rows.columns and m.class_band not in bands else []
@@ -361,7 +380,7 @@ def build_features(request: CubeRequest, pixels: DataFrame, grid: Grid, feature:
     m = mission(r.mission)
     if refused := [n for n in ("polygon", "max_cc", "min_footprint_coverage", "shadow_masking", "scene_metadata", "crs", "update", "output") if getattr(r, n)]:
         raise ValueError(f"many areas at once do without {', '.join(refused)}")
-    rows = _of_request(pixels, r, None)
+    rows = _of_request(pixels, r, None, grid)
     bands = [b for b in _bands(r, rows.columns) if b != m.class_band]
     carried = [m.class_band] if m.class_band in rows.columns else []
     keys = (feature, "time", "row", "col")

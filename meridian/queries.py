@@ -12,6 +12,7 @@ from .functions import radiometry as R
 from .functions import temporal as T
 from .functions.expr import rounded
 from .functions.indices import index
+from .operators import coverage as CO
 from .operators import composites as C
 from .operators import coregistration as G
 from .operators import filters as FI
@@ -242,6 +243,52 @@ def footprint_prefilter(spark, sf):
     return share.select("solar_day", "share", (F.col("share") >= 0.5).alias("kept"))
 
 
+def _authalic(degrees: float) -> str:
+    """An equal-area height on WGS84, in SQL, by the formula of the projection."""
+    e, x = "sqrt((2 - 1 / 298.257223563) / 298.257223563)", f"sin(radians({degrees}))"
+    return f"((1 - {e} * {e}) * ({x} / (1 - {e} * {e} * {x} * {x}) - ln((1 - {e} * {x}) / (1 + {e} * {x})) / (2 * {e})) / 2)"
+
+
+#: Squares turned by 45 degrees, their corners 0.8 degrees from a centre on the equator, whose longitude a scene's number gives.
+_TURNED = f"""s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS solar_day, o_orderpriority AS orbit, (o_orderkey % 211) / 100.0 AS x FROM orders),
+    g AS (SELECT *, x - lag(x) OVER (PARTITION BY solar_day, orbit ORDER BY x) AS gap FROM s),
+    sh AS (SELECT solar_day, orbit, sum(1 - CASE WHEN gap IS NULL THEN 0 ELSE pow(greatest(0, 1 - gap / 1.6), 2) END) * 2 * 0.8 * {_authalic(0.8)} / (4.0 * 2 * {_authalic(1.0)}) AS share FROM g GROUP BY 1, 2)"""
+
+
+def _turned(spark, sf):
+    """Scenes with turned squares as outlines, and an AOI that holds them all."""
+    x, square = (F.col("item_id") % 211) / 100.0, ((-0.8, 0.0), (0.0, -0.8), (0.8, 0.0), (0.0, 0.8), (-0.8, 0.0))
+    ring = F.array(*(F.struct((x + dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in square))
+    s = V.scenes(spark, sf).select("item_id", F.to_date("datetime").alias("solar_day"), F.col("tile").alias("orbit"), F.col("source").alias("tile"), F.col("source").alias("crs"), F.array(ring).alias("geometry"))
+    return s, [[(-0.9, -1.0), (3.1, -1.0), (3.1, 1.0), (-0.9, 1.0)]]
+
+
+@query(f"WITH {_TURNED} SELECT solar_day, orbit, round(share + 1e-9, 6) AS share FROM sh")
+def footprint_union(spark, sf):
+    """Of each date of an orbit, how much of the AOI its turned outlines cover together."""
+    s, aoi = _turned(spark, sf)
+    share = CO.union_share(s, aoi, ["solar_day", "orbit"])
+    return share.select("solar_day", "orbit", rounded(F.col("share")).alias("share"))
+
+
+@query(f"""WITH {_TURNED} SELECT orbit, count(*) AS dates, {r6("avg(share)")} AS average, {r6("max(share)")} AS best, {r6("min(share)")} AS worst FROM sh GROUP BY 1""")
+def orbit_coverage(spark, sf):
+    s, aoi = _turned(spark, sf)
+    return SC.coverage_by_orbit(s, aoi).select("orbit", "dates", *(rounded(F.col(c)).alias(c) for c in ("average", "best", "worst")))
+
+
+@query(f"""WITH {_TURNED}, d AS (SELECT solar_day, orbit, x FROM s), f(feature_id, lo, hi) AS (VALUES ('west', -0.795, 0.405), ('east', 1.005, 2.005), ('far', 20.0, 21.0)),
+    m AS (SELECT feature_id, solar_day, orbit, max(CASE WHEN x + 0.8 > lo AND x - 0.8 < hi THEN 1 ELSE 0 END) AS hit FROM d, f GROUP BY 1, 2, 3), o AS (SELECT feature_id, orbit, max(hit) AS hit FROM m GROUP BY 1, 2)
+    SELECT feature_id, count(DISTINCT CASE WHEN hit = 1 THEN solar_day END) AS dates, (SELECT count(*) FILTER (WHERE o.hit = 1) FROM o WHERE o.feature_id = m.feature_id) AS orbits,
+        (SELECT count(*) FILTER (WHERE o.hit = 0) FROM o WHERE o.feature_id = m.feature_id) AS unreached FROM m GROUP BY feature_id""")
+def feature_coverage(spark, sf):
+    """Which dates and orbits reach each of three areas on the equator, one of which none reaches."""
+    s, _ = _turned(spark, sf)
+    boxes = {"west": (-0.795, 0.405), "east": (1.005, 2.005), "far": (20.0, 21.0)}
+    out = SC.coverage_by_feature(s, {k: [CO.box_ring((a, -0.01, b, 0.01))] for k, (a, b) in boxes.items()})
+    return out.select("feature_id", "dates", F.size("orbits").cast("long").alias("orbits"), F.size("unreached").cast("long").alias("unreached"))
+
+
 # Time ---------------------------------------------------------------------------------------------------------------
 
 
@@ -675,13 +722,23 @@ def patch_positions(spark, sf):
     return spark.createDataFrame([(p,) for p in RS.patch_positions(400)], "start int")
 
 
-def _moved_scenes(spark, sf):
-    """One scene of 64 x 64 noise pixels a nation, each moved by rows and columns of its own."""
-    scene = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(64 * 64 - 1))).alias("p"))
-    at = scene.select("k", (F.col("p") / 64).cast("int").alias("row"), (F.col("p") % 64).alias("col"), ((F.col("k") + 2) % 5 - 2).alias("dy"), ((2 * F.col("k") + 3) % 7 - 3).alias("dx"))
-    noise = F.pmod(F.xxhash64(F.pmod(F.col("row") - F.col("dy"), F.lit(64)), F.pmod(F.col("col") - F.col("dx"), F.lit(64))), F.lit(1000)) / 1000.0
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")).cast("timestamp_ntz")
-    return at.select(F.lit("c").alias("cube_id"), day.alias("time"), "row", "col", noise.alias("red"))
+def _ground(spark, sf):
+    """An image of 64 x 64 pixels: the mean price of the line items that a hash sends to each, 0.3 where there is none."""
+    place = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(64 * 64))
+    known = V.table(spark, sf, "lineitem").groupBy(place.alias("p")).agg((F.avg("l_extendedprice") / 100000).alias("red"))
+    every = spark.range(64 * 64).withColumnRenamed("id", "p").join(known, "p", "left")
+    return every.select((F.col("p") / 64).cast("int").alias("row"), (F.col("p") % 64).cast("int").alias("col"), F.coalesce("red", F.lit(0.3)).alias("red"))
+
+
+def _moved_scenes(spark, sf, still=0):
+    """The image a day for each nation, moved by rows and columns of its own, but for the first ``still`` days."""
+    k, moves = F.col("n_nationkey"), F.col("n_nationkey") >= still
+    dy, dx = F.when(moves, (k + 2) % 5 - 2).otherwise(0), F.when(moves, (2 * k + 3) % 7 - 3).otherwise(0)
+    scene = V.table(spark, sf, "nation").select(k.cast("int").alias("k"), dy.cast("int").alias("dy"), dx.cast("int").alias("dx"))
+    at = _ground(spark, sf).join(F.broadcast(scene), F.lit(True))  # 25 scenes
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k")).cast("timestamp_ntz")
+    moved = lambda c, by: F.pmod(F.col(c) + F.col(by), F.lit(64)).alias(c)
+    return at.select(F.lit("c").alias("cube_id"), day.alias("time"), moved("row", "dy"), moved("col", "dx"), "red")
 
 
 def _whole_shifts(found):
@@ -703,6 +760,24 @@ def phase_shift_anchor(spark, sf):
     return _whole_shifts(G.estimate_shifts(_moved_scenes(spark, sf), "red", size=32, mode="anchor", anchor="2024-01-13"))
 
 
+_STILL = _MOVED.replace("CAST((n_nationkey", "CASE WHEN n_nationkey >= 5 THEN 1 ELSE 0 END * CAST((n_nationkey").replace("CAST((2 *", "CASE WHEN n_nationkey >= 5 THEN 1 ELSE 0 END * CAST((2 *")
+
+
+@query(_STILL)
+def phase_shift_composite(spark, sf):
+    """Shifts against the median of the first days, in two passes."""
+    return _whole_shifts(G.estimate_shifts(_moved_scenes(spark, sf, 5), "red", size=32, composite_days=4, update_ref=10_000, passes=2))
+
+
+@query(f"SELECT cube_id, day, kept, TRUE AS aligned FROM ({_STILL})")
+def coregister_scenes(spark, sf):
+    """Scenes moved back by one warp: whether each one's inner pixels are those of the ground."""
+    out, shifts = G.coregister(_moved_scenes(spark, sf, 5), ["red"], passes="auto", size=32, composite_days=4)
+    ground = _ground(spark, sf).filter("row between 8 and 55 and col between 8 and 55").withColumnRenamed("red", "was")
+    near = out.join(ground, ["row", "col"]).groupBy("cube_id", F.to_date("time").alias("day")).agg((F.avg(F.abs(F.col("red") - F.col("was"))) < 0.02).alias("aligned"))
+    return shifts.select("cube_id", F.to_date("time").alias("day"), "kept").join(near, ["cube_id", "day"])
+
+
 @query()
 def super_resolution(spark, sf):
     """Half the pixel size with the default model (tested against the same interpolation of the whole image)."""

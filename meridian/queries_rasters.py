@@ -10,8 +10,8 @@ from .functions.expr import rounded
 from .operators.grid import Grid
 from .plans.cube import Cube
 from .queries import query, r6
-from .queries_tools import scratch
 from .sources import chunks, geotiff
+from .sources.scratch import scratch
 
 FRAME = Grid("EPSG:32632", 10, -10, 500_000, 5_000_000, 80, 48)
 BANDS = ["green", "red", "nir"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,21 +27,12 @@ from .plans.cube import Cube, build
 from .plans.request import CubeRequest
 from .queries import CLEAR, L2A, TYPED, _clouds, _pieces, _PLACED, nd, query, r6
 from .sources import stac, store
+from .sources.scratch import scratch
 from .streaming import scenes as STR
 
 EIGHT = GR.Grid("EPSG:32632", 10, -10, 0, 80, 8, 8)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares; a local session without one has its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/cubes/{name}-{uuid.uuid4().hex}"
-
-
 # Scene properties -----------------------------------------------------------------------------------------------------
 
 _LETTERS = "CDEFGHJKLMNPQRSTUVWX"
@@ -134,8 +123,8 @@ def attach_azimuths(spark, sf):
     return J.attach_daily(times, daily).select("time", rounded(F.col("sun_azimuth")).alias("sun_azimuth"))
 
 
-@query(f"""WITH {V.PX}, st AS (SELECT time, count(*) AS n, avg(qa) AS cloud, avg(nir) AS g FROM px GROUP BY 1), r AS (SELECT *, percent_rank() OVER (ORDER BY time) AS p FROM st)
-    SELECT time FROM r WHERE cloud <= 10 AND n >= 2 ORDER BY p BETWEEN 0.25 AND 0.75 DESC, g DESC, time LIMIT 1""")
+@query(f"""WITH {V.PX}, st AS (SELECT time, count(*) AS n, avg(qa) AS cloud, avg(nir) AS g FROM px GROUP BY 1), r AS (SELECT *, epoch(time) AS t, min(epoch(time)) OVER () AS a, max(epoch(time)) OVER () AS z FROM st)
+    SELECT time FROM r WHERE cloud <= 10 AND n >= 2 ORDER BY t >= a + (z - a) / 4 AND t <= z - (z - a) / 4 DESC, g DESC, time LIMIT 1""")
 def anchor_scene(spark, sf):
     px = V.pixels(spark, sf).groupBy("time").agg(F.avg("qa").alias("cloud_percentage"), F.when(F.count(F.lit(1)) < 2, 1.0).otherwise(0.0).alias("missing"), F.avg("nir").alias("gradient"))
     return G.auto_anchor(px).select("time")

@@ -270,6 +270,87 @@ def test_shifts_are_chained(spark, mode):
     assert not np.allclose((far["shift_row"], far["shift_col"]), np.array(scenes[0 if mode == "anchor" else 2][1]) - start, atol=0.4)
 
 
+def test_a_chain_holds_two_scenes(monkeypatch):
+    """However long a chain is, the frames alive at a time are the reference, the one that is matched and the next."""
+    import weakref
+
+    rng, alive, most = np.random.default_rng(1), weakref.WeakSet(), 0
+
+    class Frame(np.ndarray):
+        pass
+
+    base = rng.random((48, 48))
+
+    def frames():
+        nonlocal most
+        for k in range(60):
+            a = np.roll(base, (k % 3, -(k % 2)), (0, 1)).view(Frame)
+            alive.add(a)
+            most = max(most, len(alive))
+            yield k, a, None
+            del a
+
+    monkeypatch.setattr(Frame, "__hash__", lambda self: id(self), raising=False)
+    monkeypatch.setattr(Frame, "__eq__", lambda self, other: self is other, raising=False)
+    m = coregistration.Matching(size=24, windows=9)
+    monkeypatch.setattr(coregistration.Matching, "shift", lambda self, ref, tgt: coregistration.Votes(0.0, 0.0, 9, 0.0, 9))
+    assert len(list(coregistration.chain(frames(), base, m))) == 60 and most <= 3
+
+
+def test_votes_equal_the_consensus_of_tables(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, *map(float, (*rng.normal((g, -g), 0.15 if k % 4 else 3.0), rng.uniform(20, 90)))) for g in range(6) for k in range(int(rng.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "g int, x double, y double, reliability double")
+    for r in coregistration.consensus(df, ["g"]).collect():
+        v = coregistration.Votes.count([q[1:] for q in rows if q[0] == r["g"]])
+        assert (v.x, v.y, v.spread) == pytest.approx((r["x"], r["y"], r["spread"])) and (v.inliers, v.windows) == (r["inliers"], r["windows"])
+
+
+def test_coarse_windows_decide_where_they_agree(monkeypatch):
+    rng, looked = np.random.default_rng(8), []
+    a = rng.random((128, 128))
+    real = coregistration.phase_shift
+    monkeypatch.setattr(coregistration, "phase_shift", lambda *x: looked.append(1) or real(*x))
+    m = coregistration.Matching(size=32, windows=30, coarse=6)
+    v = m.shift(a, np.roll(a, (2, 1), (0, 1)))
+    assert (round(v.y), round(v.x)) == (2, 1) and len(looked) == v.windows == 6
+    looked.clear()
+    noisy = np.roll(a, (2, 1), (0, 1))
+    noisy[:, :64] = rng.random((128, 64))
+    v = m.shift(a, noisy)
+    assert len(looked) == v.windows > 6
+
+
+def test_windows_are_clear_with_their_surroundings():
+    clear = np.ones((96, 96), dtype=bool)
+    clear[40, 40] = False
+    places = coregistration.window_positions(clear, 32, 20, stride=4, apart=8)
+    assert places and all(clear[r - 1 : r + 33, c - 1 : c + 33].all() and r >= 1 and c >= 1 and r + 33 <= 96 for r, c in places)
+    spread = [min(abs(p[0] - q[0]) + abs(p[1] - q[1]) for q in places[:k]) for k, p in enumerate(places) if k]
+    assert spread == sorted(spread, reverse=True)
+    holes = np.random.default_rng(0).random((96, 96)) > 0.05
+    assert coregistration.window_positions(holes, 32, 5, 8, 16) and not coregistration.window_positions(np.zeros((96, 96), dtype=bool), 32, 5, 8, 16)
+
+
+def test_masked_pixels_do_not_steer_the_match(spark):
+    rng = np.random.default_rng(3)
+    a, cloud = rng.random((72, 72)), rng.random((72, 72)) + 3
+    rows = []
+    for k, s in enumerate(((0, 0), (0, 0), (3, -2))):
+        x = np.roll(a, s, (0, 1))
+        rows += [("c", f"2024-01-0{k + 1}", r, c, float(cloud[r, c] if r < 30 else x[r, c]), r < 30) for r in range(72) for c in range(72)]
+    d = spark.createDataFrame(rows, "cube_id string, time string, row int, col int, red double, cloudy boolean").withColumn("time", F.to_timestamp_ntz("time"))
+    got = {str(r["time"])[:10]: (r["shift_row"], r["shift_col"]) for r in coregistration.estimate_shifts(d, "red", size=24, clear=~F.col("cloudy"), mode="anchor", anchor="2024-01-01").collect()}
+    assert np.allclose(got["2024-01-03"], (3, -2), atol=0.2)
+
+
+def test_anchor_is_chosen_by_time(spark):
+    rows = [("2024-01-01", 0.0, 0.0, 9.0), ("2024-01-20", 0.0, 0.0, 2.0), ("2024-01-22", 50.0, 0.0, 8.0), ("2024-01-25", None, 0.0, 3.0), ("2024-02-10", 0.0, 0.5, 7.0)]
+    df = spark.createDataFrame(rows, "time string, cloud_percentage double, missing double, gradient double").withColumn("time", F.to_timestamp_ntz("time"))
+    assert str(coregistration.auto_anchor(df).first()["time"])[:10] == "2024-01-25"
+    assert str(coregistration.auto_anchor(df.filter("cloud_percentage = 50 or missing = 0.5")).first()["time"])[:10] == "2024-01-22"
+
+
 def test_patches_and_upsampling():
     assert resample.patch_positions(100) == [0] and resample.patch_positions(400)[-1] == 272
     a = np.arange(200 * 180, dtype=float).reshape(1, 200, 180)
