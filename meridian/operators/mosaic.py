@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce as fold
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import Grid
+from .grid import Grid, between_arrays
+from .resample import reproject
 
 OVERLAPS = ("first", "mean", "median", "min", "max")
 #: Fractions of a pixel within which two grids are in phase.
@@ -125,8 +127,44 @@ def layer_report(cubes: dict[str, Sequence[str]]) -> dict[str, list[str]]:
     return {"common": sorted(common), "only_some": sorted(set.union(*sets) - common)}
 
 
-def mosaic(pieces: Sequence[Piece], overlap: str = "first", time_join: str = "outer", band_join: str = "inner", strict: bool = True, with_source: bool = False) -> tuple[DataFrame, Grid, dict]:
-    """Pixels, grid and attributes of the mosaic of two cubes or more."""
+def target_grid(pieces: Sequence[Piece], crs: str | None = None, resolution: float | None = None) -> Grid:
+    """``union_grid``; with a system or pixel size of its own, the extent of all pieces in it, on whole pixels."""
+    if crs is None and resolution is None and len({p.grid.crs for p in pieces}) == 1:
+        return union_grid(pieces)
+    base = union_grid(pieces)
+    crs, res = crs or base.crs, resolution or abs(base.a)
+    phase = base if (crs, res) == (base.crs, abs(base.a)) else None
+    bounds = []
+    for p in pieces:
+        left, bottom, right, top = p.grid.bounds
+        t = np.linspace(0, 1, 101)
+        x, y = left + t * (right - left), bottom + t * (top - bottom)
+        edge = np.concatenate((x, x, np.full(101, left), np.full(101, right))), np.concatenate((np.full(101, bottom), np.full(101, top), y, y))
+        e, n = between_arrays(p.grid.crs, crs)(*edge)
+        bounds.append((e.min(), n.min(), e.max(), n.max()))
+    low, high = np.min(bounds, axis=0)[:2], np.max(bounds, axis=0)[2:]
+    c0, f0 = (phase.c, phase.f) if phase else (0.0, 0.0)
+    left, top = c0 + np.floor((low[0] - c0) / res + PHASE_TOLERANCE) * res, f0 + np.ceil((high[1] - f0) / res - PHASE_TOLERANCE) * res
+    return Grid(crs, res, -res, float(left), float(top), int(np.ceil((high[0] - left) / res - PHASE_TOLERANCE)), int(np.ceil((top - low[1]) / res - PHASE_TOLERANCE)))
+
+
+def onto_grid(piece: Piece, onto: Grid, resampling: str = "nearest") -> Piece:
+    """A piece on the mosaic's grid: as it is where only rows and columns move, else warped."""
+    try:
+        offsets(piece.grid, onto)
+    except ValueError:
+        return replace(piece, pixels=reproject(piece.pixels.select("time", "row", "col", *piece.bands), piece.grid, onto, piece.bands, resampling), grid=onto)
+    return piece
+
+
+def mosaic(
+    pieces: Sequence[Piece], overlap: str = "first", time_join: str = "outer", band_join: str = "inner", strict: bool = True, with_source: bool = False, crs: str | None = None,
+    resolution: float | None = None, resampling: str = "nearest", on_grid_mismatch: str = "error",
+) -> tuple[DataFrame, Grid, dict]:
+    """Pixels, grid and attributes of the mosaic of two cubes or more. Cubes of another system, pixel size or phase than
+    the mosaic's are an error, or with ``on_grid_mismatch="resample"``, or a ``crs`` or ``resolution`` asked for, warped onto it."""
+    if on_grid_mismatch not in ("error", "resample"):
+        raise ValueError("on_grid_mismatch is error or resample")
     if len(pieces) < 2:
         raise ValueError("a mosaic has two cubes at least")
     if time_join not in ("outer", "inner") or band_join not in ("inner", "union"):
@@ -137,7 +175,9 @@ def mosaic(pieces: Sequence[Piece], overlap: str = "first", time_join: str = "ou
         if not common:
             raise ValueError("the cubes share no band")
         pieces = [replace(p, bands=tuple(common)) for p in pieces]
-    onto = union_grid(pieces)
+    onto = target_grid(pieces, crs, resolution)
+    if on_grid_mismatch == "resample" or crs or resolution:
+        pieces = [onto_grid(p, onto, resampling) for p in pieces]
     placed = place(pieces, onto)
     if time_join == "inner":
         days = placed.groupBy("time").agg(F.count_distinct("priority").alias("n")).filter(F.col("n") == len(pieces)).select("time")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_categorical
-from .grid import Grid, between
+from .grid import Grid, between, between_arrays
 from .neighbourhood import map_tiles
 
 
@@ -47,6 +48,8 @@ def reproject_weighted(pixels: DataFrame, source: Grid, target: Grid, bands: Seq
     Missing neighbours do not count; where less than half of the weight is there (cubic) the pixel is missing. Class
     bands take the nearest instead."""
     keys = [key] if isinstance(key, str) else list(key)
+    if inverse is None:
+        return resample_tiles(pixels, source, target, bands, method, keys)
     cells = target_cells(pixels.sparkSession, target)
     x, y = target.x(F.col("col")), target.y(F.col("row"))
     if inverse:
@@ -78,12 +81,118 @@ def reproject_bilinear(pixels: DataFrame, source: Grid, target: Grid, bands: Seq
 
 def reproject(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], method: str = "nearest", key: str | Sequence[str] = "time") -> DataFrame:
     """Onto a grid of the same system or of another UTM zone; class bands always take the nearest pixel."""
-    inverse = between(target.crs, source.crs)
     if method == "nearest":
-        return reproject_nearest(pixels, source, target, inverse)
+        return reproject_nearest(pixels, source, target, between(target.crs, source.crs))
+    return resample_tiles(pixels, source, target, bands, method, [key] if isinstance(key, str) else list(key))
+
+
+def _warp_tile(target: Grid, source: Grid, tile: int) -> Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a tile of the target: its rows and columns, and where their centres lie in rows and columns of the source."""
+    move, across = between_arrays(target.crs, source.crs), -(-target.width // tile)
+
+    def at(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        r0, c0 = number // across * tile, number % across * tile
+        row, col = (v.ravel() for v in np.mgrid[r0 : min(r0 + tile, target.height), c0 : min(c0 + tile, target.width)])
+        x, y = move(target.c + (col + 0.5) * target.a, target.f + (row + 0.5) * target.e)
+        return row, col, (y - source.f) / source.e - 0.5, (x - source.c) / source.a - 0.5
+
+    return at
+
+
+def resample_tiles(pixels: DataFrame, source: Grid, target: Grid, bands: Sequence[str], method: str = "bilinear", keys: Sequence[str] = ("time",), tile: int = 256) -> DataFrame:
+    """``bilinear`` or ``cubic`` onto another grid, tile by tile of the target. Each tile's footprint in the source is
+    computed, with the pixels that the method needs around it; a source pixel goes to the tiles whose footprint holds it,
+    so pixels are shuffled once and hardly more than once each. Tiles are smaller where the target is coarser, so that
+    a task's footprint stays bounded. Missing pixels are treated as in ``reproject_weighted``; several pixels of one place
+    count as their mean, of class bands the least."""
     if method not in ("bilinear", "cubic"):
         raise ValueError("resampling is nearest, bilinear or cubic")
-    return reproject_weighted(pixels, source, target, bands, inverse, key, method)
+    spark = pixels.sparkSession
+    tile = max(16, min(tile, int(tile * 2 * abs(source.a) / abs(target.a)) or 16))
+    locate, reach = _warp_tile(target, source, tile), {"bilinear": 1, "cubic": 2}[method]
+    tiles = -(-target.width // tile) * -(-target.height // tile)
+
+    def footprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number in batch.column(0).to_pylist():
+                _, _, v, u = locate(number)
+                r0, r1, c0, c1 = (int(f(w)) + d for w, f, d in ((v.min(), np.floor, -reach), (v.max(), np.ceil, reach), (u.min(), np.floor, -reach), (u.max(), np.ceil, reach)))
+                if r1 >= 0 and c1 >= 0 and r0 < source.height and c0 < source.width:
+                    rows.append((number, max(r0, 0), min(r1, source.height - 1), max(c0, 0), min(c1, source.width - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(5)], ["__tile", "__r0", "__r1", "__c0", "__c1"])
+
+    of = spark.range(0, tiles, 1, max(1, min(tiles // 64, 1000))).mapInArrow(footprints, "__tile int, __r0 int, __r1 int, __c0 int, __c1 int")
+    span = lambda a, b: F.explode(F.sequence((F.col(a) / tile).cast("int"), (F.col(b) / tile).cast("int")))
+    of = of.withColumn("__br", span("__r0", "__r1")).withColumn("__bc", span("__c0", "__c1"))
+    held = pixels.select(*keys, *bands, "row", "col", F.floor(F.col("row") / tile).cast("int").alias("__br"), F.floor(F.col("col") / tile).cast("int").alias("__bc"))
+    near = held.join(of, ["__br", "__bc"]).filter(F.col("row").between(F.col("__r0"), F.col("__r1")) & F.col("col").between(F.col("__c0"), F.col("__c1"))).drop("__br", "__bc", "__r1", "__c1")
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col, v, u = locate(table.column("__tile")[0].as_py())
+        r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
+        base = (int(r.min()), int(c.min()))
+        shape = (int(r.max()) - base[0] + 1, int(c.max()) - base[1] + 1)
+        cells = shape[0] * shape[1]
+        place = (r - base[0]) * shape[1] + c - base[1]
+        some = np.bincount(place, minlength=cells) > 0
+
+        def at(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Places of source pixels, -1 where there is none."""
+            i, j = i - base[0], j - base[1]
+            ok = (i >= 0) & (i < shape[0]) & (j >= 0) & (j < shape[1])
+            k = np.where(ok, i * shape[1] + j, 0)
+            return np.where(ok & some[k], k, -1)
+
+        i0, j0 = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
+        tr, tc = v - i0, u - j0
+        if method == "bilinear":
+            taps = [(0, 1 - tr), (1, tr)], [(0, 1 - tc), (1, tc)]
+        else:
+            taps = tuple([(k, w) for k, w in zip((-1, 0, 1, 2), cubic_weights_of(t), strict=True)] for t in (tr, tc))
+        pairs = [(at(i0 + dr, j0 + dc), wr * wc, np.abs(dr - tr) + np.abs(dc - tc)) for dr, wr in taps[0] for dc, wc in taps[1]]
+        there = np.any([(k >= 0) & (w != 0) for k, w, _ in pairs], axis=0)
+        cols = {n: table.column(n).take(pa.array(np.zeros(int(there.sum()), dtype=np.int64))) for n in keys}
+        for b in bands:
+            if is_categorical(b):
+                codes = table.column(b).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                order = np.lexsort((codes, place))  # missing ones last
+                first = order[np.append(True, place[order][1:] != place[order][:-1])]
+                source_row = np.zeros(cells, dtype=np.int64)
+                source_row[place[first]] = first
+                known = np.zeros(cells, dtype=bool)
+                known[place[first]] = ~np.isnan(codes[first])
+                best, gap = np.full(len(row), -1, dtype=np.int64), np.full(len(row), np.inf)
+                for k, w, d in pairs:  # in order of row and column, so that of equals the first stays
+                    nearer = (k >= 0) & (w != 0) & known[k] & (d < gap)
+                    best, gap = np.where(nearer, k, best), np.where(nearer, d, gap)
+                cols[b] = table.column(b).take(pa.array(source_row[np.maximum(best[there], 0)], mask=best[there] < 0))
+                continue
+            given = table.column(b).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            held = ~np.isnan(given)
+            n = np.bincount(place[held], minlength=cells)
+            value = np.where(n > 0, np.bincount(place[held], weights=given[held], minlength=cells) / np.maximum(n, 1), np.nan)
+            total, whole = np.zeros(len(row)), np.zeros(len(row))
+            for k, w, _ in pairs:
+                x = value[k]
+                ok = (k >= 0) & ~np.isnan(x) & (w != 0)
+                total += np.where(ok, x * w, 0.0)
+                whole += np.where(ok, w, 0.0)
+            enough = whole > (0.5 if method == "cubic" else 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cols[b] = pa.array((total / whole)[there], mask=~enough[there])
+        return pa.table({**cols, "row": pa.array(row[there].astype(np.int32)), "col": pa.array(col[there].astype(np.int32))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    schema = ", ".join(f"`{n}` {kinds[n] if n in keys or is_categorical(n) else 'double'}" for n in (*keys, *bands))
+    out = near.groupBy(*keys, "__tile").applyInArrow(run, f"{schema}, row int, col int")
+    return out.select(*keys, "row", "col", *bands)
+
+
+def cubic_weights_of(t: np.ndarray) -> list[np.ndarray]:
+    """``cubic_weights`` of many points."""
+    t2, t3 = t * t, t * t * t
+    return [-0.5 * t + t2 - 0.5 * t3, 1 - 2.5 * t2 + 1.5 * t3, 0.5 * t + 2 * t2 - 1.5 * t3, -0.5 * t2 + 0.5 * t3]
 
 
 def shift_whole(pixels: DataFrame, rows: int, cols: int) -> DataFrame:

@@ -293,6 +293,34 @@ def reproject_cubic(spark, sf):
     return RS.reproject(_monthly(spark, sf), EIGHT, b, ["nir"], "cubic").select("time", "row", "col", rounded(F.col("nir")).alias("nir"))
 
 
+def _snyder(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    """Easting and northing in SQL by Snyder's series in longitude, another one than the operators use."""
+    e2, k = "0.0066943799901413165", 0.9996
+    ep, nn = f"({e2} / (1 - {e2}))", f"(6378137.0 / sqrt(1 - {e2} * pow(sin(radians({lat})), 2)))"
+    a, t, c = f"(cos(radians({lat})) * radians({lon} - {zone * 6 - 183}))", f"pow(tan(radians({lat})), 2)", f"({ep} * pow(cos(radians({lat})), 2))"
+    f = f"radians({lat})"
+    m = f"(6378137.0 * ((1 - {e2} / 4 - 3 * pow({e2}, 2) / 64 - 5 * pow({e2}, 3) / 256) * {f} - (3 * {e2} / 8 + 3 * pow({e2}, 2) / 32 + 45 * pow({e2}, 3) / 1024) * sin(2 * {f}) + (15 * pow({e2}, 2) / 256 + 45 * pow({e2}, 3) / 1024) * sin(4 * {f}) - (35 * pow({e2}, 3) / 3072) * sin(6 * {f})))"
+    x = f"{k} * {nn} * ({a} + (1 - {t} + {c}) * pow({a}, 3) / 6 + (5 - 18 * {t} + pow({t}, 2) + 72 * {c} - 58 * {ep}) * pow({a}, 5) / 120) + 500000"
+    y = f"{k} * ({m} + {nn} * tan(radians({lat})) * (pow({a}, 2) / 2 + (5 - {t} + 9 * {c} + 4 * pow({c}, 2)) * pow({a}, 4) / 24 + (61 - 58 * {t} + pow({t}, 2) + 600 * {c} - 330 * {ep}) * pow({a}, 6) / 720))"
+    return x, y
+
+
+#: Pixels of a kilometre at 12 degrees east, 48 north, the edge of zones 32 and 33; the target lies in zone 33.
+_WEST, _EAST = GR.Grid("EPSG:32632", 1000, -1000, 720_000, 5_323_000, 8, 8), GR.Grid("EPSG:32633", 1000, -1000, 273_055, 5_323_000, 9, 9)
+
+
+@query(f"""WITH {V.CUBE}, cell AS (SELECT "row", col, 720000 + 1000 * (col + 0.5) AS x, 5323000 - 1000 * ("row" + 0.5) AS y FROM (SELECT unnest(range(0, 8)) AS "row"), (SELECT unnest(range(0, 8)) AS col)),
+    deg AS (SELECT lon, lat, {_snyder("lon", "lat", 32)[0]} AS x32, {_snyder("lon", "lat", 32)[1]} AS y32, {_snyder("lon", "lat", 33)[0]} AS x33, {_snyder("lon", "lat", 33)[1]} AS y33
+        FROM (SELECT 11.9 + unnest(range(0, 1300)) / 5000.0 AS lon), (SELECT 47.9 + unnest(range(0, 1000)) / 5000.0 AS lat)),
+    near AS (SELECT r, c, arg_min(x32, d) AS x, arg_min(y32, d) AS y, min(d) AS d, arg_min(x33, d) AS ex, arg_min(y33, d) AS ey, any_value(tx) AS tx, any_value(ty) AS ty FROM (SELECT *, 273055 + 1000 * (c + 0.5) AS tx, 5323000 - 1000 * (r + 0.5) AS ty, pow(x33 - 273055 - 1000 * (c + 0.5), 2) + pow(y33 - 5323000 + 1000 * (r + 0.5), 2) AS d
+        FROM (SELECT *, CAST(floor((x33 - 273055) / 1000) AS INT) AS c, CAST(floor((5323000 - y33) / 1000) AS INT) AS r FROM deg) WHERE r BETWEEN 0 AND 8 AND c BETWEEN 0 AND 8) GROUP BY 1, 2),
+    map AS (SELECT r, c, CAST(floor((5323000 - y) / 1000) AS INT) AS "row", CAST(floor((x - 720000) / 1000) AS INT) AS col FROM near)
+    SELECT cube.time, m.r AS "row", m.c AS col, cube.nir FROM cube JOIN map m ON cube."row" = m."row" AND cube.col = m.col""")
+def reproject_between_zones(spark, sf):
+    """Nearest pixels of another UTM zone; the SQL finds them on a fine net of degrees, projected by another series."""
+    return RS.reproject(V.cube(spark, sf).select("time", "row", "col", "nir"), _WEST, _EAST, ["nir"])
+
+
 @query("""SELECT c_custkey AS id, round(c_custkey % 360 - 180 + 0.5, 6) AS lon, round(c_custkey % 160 - 80 + 0.25, 6) AS lat FROM customer""")
 def utm_there_and_back(spark, sf):
     """Degrees to the zone's metres and back."""

@@ -410,3 +410,53 @@ def test_rolling_needs_a_full_window(spark):
     assert got == [None] * 3 + [3.0, 4.0, 5.0] + [None] * 3
     d = px(spark, [(f"2024-01-{t:02d}", r, c, float((r * 7 + c * 3 + t * t) % 11)) for t in range(1, 6) for r in range(5) for c in range(5)])
     assert statistics.edge_roughness(d, "nir").first()["roughness"] > 0
+
+
+def test_arrays_project_as_columns_do(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.uniform(200_000, 800_000, 50), rng.uniform(100_000, 8_000_000, 50)
+    for a, b in (("EPSG:32632", "EPSG:32633"), ("EPSG:32733", "EPSG:32732"), ("EPSG:32631", "EPSG:32731")):
+        move = grid.between(a, b)
+        rows = spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y, strict=True)], "x double, y double")
+        want = np.array([tuple(r) for r in rows.select(*move(F.col("x"), F.col("y"))).collect()])
+        assert np.allclose(np.array(grid.between_arrays(a, b)(x, y)).T, want, rtol=0, atol=1e-3)
+    assert grid.between_arrays("EPSG:32632", "EPSG:32632")(x, y)[0] is x
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic"])
+def test_tiles_resample_as_the_relational_form_does(spark, method):
+    rng = np.random.default_rng(7)
+    rows = [(f"2024-01-0{1 + t}", r, c, None if rng.random() < 0.2 else float(rng.random()), int(rng.integers(0, 12)) if rng.random() < 0.9 else None) for t in range(2) for r in range(40) for c in range(50) if rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "time string, row int, col int, nir double, scl int")
+    a, b = grid.Grid("EPSG:32632", 10, -10, 700_000, 5_300_000, 50, 40), grid.Grid("EPSG:32632", 7, -7, 700_033, 5_299_990, 61, 53)
+    same = lambda x, y: (x, y)
+    want = resample.reproject_weighted(px, a, b, ["nir", "scl"], same, method=method)
+    key = lambda r: (r["time"], r["row"], r["col"])
+    for tile in (16, 256):
+        got = {key(r): (r["nir"], r["scl"]) for r in resample.resample_tiles(px, a, b, ["nir", "scl"], method, tile=tile).collect()}
+        for r in want.collect():
+            v, k = got.pop(key(r))
+            assert k == r["scl"] and (v is None) == (r["nir"] is None) and (v is None or v == pytest.approx(r["nir"], rel=1e-9))
+        assert not got
+    twice = resample.resample_tiles(px.unionByName(px), a, b, ["nir", "scl"], method)
+    assert twice.count() == want.count()
+    coarse = grid.Grid("EPSG:32632", 80, -80, 700_000, 5_300_000, 6, 5)
+    assert resample.resample_tiles(px, a, coarse, ["nir"], method).count() > 0
+
+
+def test_mosaic_of_two_zones(spark):
+    west, east = grid.Grid("EPSG:32632", 1000, -1000, 720_000, 5_323_000, 8, 8), grid.Grid("EPSG:32633", 1000, -1000, 273_055, 5_323_000, 9, 9)
+    flat = lambda g, v: spark.createDataFrame([("2024-01-01", r, c, v) for r in range(g.height) for c in range(g.width)], "time string, row int, col int, nir double")
+    pieces = [mosaic.Piece(flat(west, 1.0), west, "w", ("nir",)), mosaic.Piece(flat(east, 2.0), east, "e", ("nir",))]
+    with pytest.raises(ValueError, match="another grid"):
+        mosaic.mosaic(pieces)
+    for how in ({"on_grid_mismatch": "resample"}, {"crs": "EPSG:32632"}, {"resolution": 500.0, "resampling": "bilinear"}):
+        out, onto, _ = mosaic.mosaic(pieces, **how)
+        rows = out.filter("nir is not null").collect()
+        assert onto.crs in ("EPSG:32632", "EPSG:32633") and abs(onto.a) == how.get("resolution", 1000)
+        assert {r["nir"] for r in rows} <= {1.0, 2.0} and len({r["nir"] for r in rows}) == 2
+        assert all(0 <= r["row"] < onto.height and 0 <= r["col"] < onto.width for r in rows)
+        area = len(rows) * onto.a**2 / 1e6
+        assert 64 <= area <= 64 + 81
+    with pytest.raises(ValueError, match="error or resample"):
+        mosaic.mosaic(pieces, on_grid_mismatch="x")
