@@ -237,6 +237,12 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     if m.class_band not in pixels.columns and (lacking := [n for n in ("cloud_masking", "scene_cloud_coverage", "metadata_output") if getattr(r, n) not in (None, False)] + ["partial_scene_handling"] * (r.partial_scene_handling == "remove")):
         raise ValueError(f"{', '.join(lacking)} needs the class band {m.class_band or ''}, which the pixels lack")
     rows = _of_request(pixels, r, scenes, grid)
+    if r.update:
+        old = Cube.open(pixels.sparkSession, r.update)
+        store.require_time_series(old.attrs, old.pixels.columns)
+        added = [b for b in bands if b not in old.bands]
+        if not added:  # only days that are not there are masked, scaled and counted
+            rows = filters.new_dates(rows, old.pixels)
     if r.mission == "sentinel_2_l1c" and "baseline" not in rows.columns:
         rows = _with_baseline(rows, scenes)
     carried = [m.class_band] if m.class_band and m.class_band in rows.columns and m.class_band not in bands else []
@@ -286,9 +292,7 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     if r.scene_metadata:
         cube = _with_metadata(cube, scenes, r)
     if r.update:
-        old = Cube.open(pixels.sparkSession, r.update)
-        store.require_time_series(old.attrs, old.pixels.columns)
-        cube = old.updated(cube, [b for b in cube.bands if b not in old.bands])
+        cube = _updated(old, cube, r, added)
     layers = _layers(cube, r)
     if r.output:
         _export(cube, layers, r)
@@ -297,6 +301,25 @@ def build(request: CubeRequest, pixels: DataFrame, grid: Grid, order=None, scene
     return (cube if r.keep_timeseries else None), layers
 
 
+def _updated(old: Cube, new: Cube, r: CubeRequest, added: Sequence[str]) -> Cube:
+    """The stored cube with the days or bands of ``new``. Without an output of its own the update is made in place: days
+    touch only the files of their months, if both sides have the same columns."""
+    columns = lambda c: set(c.pixels.columns) - {"day", "month"}
+    if r.output or added or columns(old) != columns(new):
+        cube = replace(old, pixels=old.pixels.drop("day", "month")).updated(new, [b for b in new.bands if b not in old.bands])
+        if not r.output:
+            cube.write(r.update)
+            return Cube.open(cube.pixels.sparkSession, r.update)
+        return cube
+    if old.grid and new.grid:
+        require_same_grid(new.grid, old.grid)
+    stats = None
+    if new.stats is not None and old.stats is not None and set(new.stats.columns) == set(old.stats.columns):
+        stats = old.stats.unionByName(new.stats)
+    store.merge_days(new.pixels, r.update, stats=stats, compression="zstd" if r.compress else "snappy")
+    return Cube.open(new.pixels.sparkSession, r.update)
+
+
 def _without_shadows(cube: Cube, raw: DataFrame, scenes: DataFrame, r: CubeRequest) -> Cube:
     """Cloud shadows masked too, found on reflectance before clouds were masked, from the class band's clouds and the
     sun's azimuth of the day."""

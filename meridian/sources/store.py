@@ -90,7 +90,7 @@ def validate_format(path: str, fmt: str | None) -> str:
 
 
 def write_cube(pixels: DataFrame, path: str, grid: Grid | None = None, attrs: dict | None = None, stats: DataFrame | None = None, overwrite: bool = True, compression: str = "zstd", block_rows: int = 2048) -> str:
-    """Write beside the target, then swap: a reader sees the old cube or the new one, and the new one may read the old.
+    """Write beside the target, then swap (see ``swap``); the new cube may read the old.
     Files are those of a month and a block of ``block_rows`` rows, sorted by day, so that a day is read by the statistics of
     row groups; a month is never one task where scenes are large."""
     files = Files(pixels.sparkSession, path)
@@ -98,11 +98,7 @@ def write_cube(pixels: DataFrame, path: str, grid: Grid | None = None, attrs: di
         raise FileExistsError(path)
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     timed = "time" in pixels.columns
-    dealt = pixels
-    if timed:
-        block = [F.floor(F.col("row") / block_rows)] if "row" in pixels.columns else []
-        keyed = pixels.withColumns({"day": F.to_date("time"), "month": F.trunc("time", "month")})
-        dealt = keyed.repartition("month", *block).sortWithinPartitions("month", "day", "time")
+    dealt = _dealt(pixels, block_rows) if timed else pixels
     out = dealt.write.option("compression", compression)
     (out.partitionBy("month") if timed else out).parquet(f"{tmp}/pixels")
     if stats is not None:
@@ -114,7 +110,8 @@ def write_cube(pixels: DataFrame, path: str, grid: Grid | None = None, attrs: di
 
 
 def swap(new: str, target: str, files: Files) -> None:
-    """The target is not touched until the new one is complete."""
+    """The target is not touched until the new one is complete. Between the two renames a reader finds no cube for a
+    moment; object stores copy on rename, so there the moment is longer."""
     old = f"{target}.old-{uuid.uuid4().hex[:8]}"
     had = files.exists(target)
     if had:
@@ -129,6 +126,50 @@ def swap(new: str, target: str, files: Files) -> None:
         files.remove(old)
 
 
+def _dealt(pixels: DataFrame, block_rows: int) -> DataFrame:
+    """Keyed by day and month; a task for each month and block of rows."""
+    block = [F.floor(F.col("row") / block_rows)] if "row" in pixels.columns else []
+    keyed = pixels.withColumns({"day": F.to_date("time"), "month": F.trunc("time", "month")})
+    return keyed.repartition("month", *block).sortWithinPartitions("month", "day", "time")
+
+
+def merge_days(new: DataFrame, path: str, attrs: dict | None = None, stats: DataFrame | None = None, compression: str = "zstd", block_rows: int = 2048) -> list[str]:
+    """Add the days of ``new`` that a stored cube lacks; returns the months written. Only these months are written anew,
+    with what they held, and put in place one by one; files of other months are not touched. ``new`` has the columns of
+    the cube. A merge that is run again after a failure finds the days that are there and adds the rest."""
+    spark = new.sparkSession
+    root, files = resolve_path(path, spark), Files(spark, path)
+    meta = json.loads(files.read(f"{root}/meta.json"))
+    old = spark.read.parquet(f"{root}/pixels")
+    columns = [c for c in old.columns if c not in ("day", "month")]
+    if lacking := sorted(set(columns) ^ set(new.columns)):
+        raise ValueError(f"the cube and what is added differ in {', '.join(lacking)}")
+    fresh = new.select(*columns).withColumn("__day", F.to_date("time")).join(old.select(F.col("day").alias("__day")).distinct(), "__day", "left_anti").drop("__day")
+    # One row for each month.
+    months = [r["m"] for r in fresh.select(F.trunc("time", "month").alias("m")).distinct().orderBy("m").collect()]
+    if not months:
+        return []
+    tmp, away = f"{root}.tmp-{uuid.uuid4().hex[:8]}", f"{root}.old-{uuid.uuid4().hex[:8]}"
+    whole = old.filter(F.col("month").isin(months)).select(*columns).unionByName(fresh)
+    _dealt(whole, block_rows).write.option("compression", compression).partitionBy("month").parquet(f"{tmp}/pixels")
+    if stats is not None:
+        stats.coalesce(1).write.parquet(f"{tmp}/scene_stats")
+    files.make(away)
+    for name in [n for n in files.names(f"{tmp}/pixels") if n.startswith("month=")]:
+        if files.exists(f"{root}/pixels/{name}"):
+            files.rename(f"{root}/pixels/{name}", f"{away}/{name}")
+        files.rename(f"{tmp}/pixels/{name}", f"{root}/pixels/{name}")
+    if stats is not None:
+        if files.exists(f"{root}/scene_stats"):
+            files.rename(f"{root}/scene_stats", f"{away}/scene_stats")
+        files.rename(f"{tmp}/scene_stats", f"{root}/scene_stats")
+    if attrs is not None:
+        files.write(f"{root}/meta.json", json.dumps(jsonable({**meta, "attrs": {**meta["attrs"], **attrs}}), indent=2))
+    files.remove(tmp)
+    files.remove(away)
+    return [str(m)[:7] for m in months]
+
+
 def open_cube(spark: SparkSession, path: str) -> tuple[DataFrame, Grid | None, dict, DataFrame | None]:
     """Pixels, grid, attributes and scene statistics. A filter on ``time`` prunes files by ``day`` only if it names the
     day too; use ``days``."""

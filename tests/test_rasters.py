@@ -246,3 +246,28 @@ def test_build_makes_a_day_mosaic_without_an_order(spark, sf, tmp_path):
     table = str(tmp_path / "t.csv")
     build(CubeRequest("s2", bands=["red"], output=table, export_format="csv", compress=True), px, Q.FRAME)
     assert any(n.endswith(".csv.gz") for n in os.listdir(table))
+
+
+def _files(path):
+    return {os.path.relpath(os.path.join(d, f), path): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_update_writes_only_the_months_it_touches(spark, sf, tmp_path):
+    path, px = str(tmp_path / "cube"), V.pixels(spark, sf)
+    ask = {"mission": "s2", "bands": ["nir"], "cloud_masking": True}
+    build(CubeRequest(**ask, daterange=["1996-01-01", "1996-04-10"], output=path), px, Q.FRAME, F.col("ord"))
+    before = _files(path)
+    cube, _ = build(CubeRequest(**ask, daterange=["1996-02-01", "1996-06-30"], update=path), px, Q.FRAME, F.col("ord"))
+    after = _files(path)
+    of = lambda files, month: {k: v for k, v in files.items() if f"month=1996-{month}" in k}
+    assert all(of(before, m) == of(after, m) for m in ("01", "02", "03")) and of(before, "04") != of(after, "04") and of(after, "06")
+    whole = build(CubeRequest(**ask, daterange=["1996-01-01", "1996-06-30"]), px, Q.FRAME, F.col("ord"))[0]
+    key = ["time", "row", "col", "nir"]
+    assert cube.pixels.select(*key).exceptAll(whole.pixels.select(*key)).count() == 0 and cube.pixels.count() == whole.pixels.count()
+    assert os.listdir(tmp_path) == ["cube"]
+    build(CubeRequest(**ask, daterange=["1996-02-01", "1996-06-30"], update=path), px, Q.FRAME, F.col("ord"))
+    assert _files(path) == after
+    with pytest.raises(ValueError, match="differ in red"):
+        store.merge_days(px.select("time", "row", "col", "nir", "red"), path)
+    more, _ = build(CubeRequest(**{**ask, "bands": ["red"]}, daterange=["1996-01-01", "1996-06-30"], update=path), px, Q.FRAME, F.col("ord"))
+    assert more.bands == ("nir", "red") and more.pixels.filter("red is not null").count() > 0
