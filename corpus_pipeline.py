@@ -4,7 +4,13 @@ language_id  keeps documents whose language the model finds with a posterior of
 toxicity     keeps documents that score under 0.5
 exact_dedup  keeps one document of each group of equal texts
 near_dedup   keeps one document of each component of near-duplicates (shingles of five words, similarity 0.8)
-packing      packs what is left into sequences of 1024 tokens and returns the pieces"""
+packing      packs what is left into sequences of 1024 tokens and returns the pieces
+
+A null or empty text, or one without a letter, has no language and goes in the first stage; very long texts are read as a
+whole. Fully repeated rows, and equal texts under different ids, leave one row in exact_dedup; of ties in length the smallest
+doc_id stays. Rows of one id with different texts are one document to near_dedup: they stay or go together. Rows without an
+id are judged like others but are never near-duplicates. Columns beyond those of documents are carried to the last stage,
+whatever their names. An empty table gives no pieces."""
 
 from __future__ import annotations
 

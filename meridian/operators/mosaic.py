@@ -127,6 +127,13 @@ def layer_report(cubes: dict[str, Sequence[str]]) -> dict[str, list[str]]:
     return {"common": sorted(common), "only_some": sorted(set.union(*sets) - common)}
 
 
+def layer_table(layers: DataFrame, cube: str = "cube", layer: str = "layer") -> DataFrame:
+    """``layer_report`` of a table of cubes and their layers: (layer, cubes, kind), kind common or only_some."""
+    whole = layers.agg(F.count_distinct(cube).alias("__all"))
+    per = layers.groupBy(layer).agg(F.count_distinct(cube).alias("cubes"))
+    return per.join(F.broadcast(whole), F.lit(True)).select(layer, "cubes", F.when(F.col("cubes") == F.col("__all"), "common").otherwise("only_some").alias("kind"))
+
+
 def target_grid(pieces: Sequence[Piece], crs: str | None = None, resolution: float | None = None) -> Grid:
     """``union_grid``; with a system or pixel size of its own, the extent of all pieces in it, on whole pixels."""
     if crs is None and resolution is None and len({p.grid.crs for p in pieces}) == 1:

@@ -264,6 +264,12 @@ def patch_positions(size: int, patch: int = 128, step: int = 96) -> list[int]:
     return [*out, size - patch]
 
 
+def patch_starts(size: Column, patch: int = 128, step: int = 96) -> Column:
+    """``patch_positions`` of a column of sizes."""
+    last = size - patch
+    return F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_append(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda s: s < last), last))
+
+
 def upsample_bilinear(a: np.ndarray, factor: int) -> np.ndarray:
     """Each pixel as factor x factor, values between centres interpolated; edges repeat."""
     for axis in (0, 1):

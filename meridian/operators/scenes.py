@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scene as S
 from ..functions.registry import SOURCE_LABELS
-from ..functions.temporal import solar_day
+from ..functions.temporal import filter_dates, shrinking_probe, solar_day
 from .coverage import Ring, feature_shares, union_share
 
 #: Two eras may differ by this share of the AOI before the older one wins.
@@ -170,6 +170,27 @@ def crs_counts(scenes: DataFrame) -> DataFrame:
     return per.withColumn("share", F.col("scenes") / F.sum("scenes").over(Window.partitionBy()))
 
 
+def probe(scenes: DataFrame, first: str | None, last: str, days: int = 14, time: str = "datetime") -> DataFrame:
+    """Scenes of a short window at the end of a range; where it has none, of a window four, then twelve times as long,
+    never before ``first``. What is fixed by the tiles (systems, outlines) is found without scanning the whole range:
+    each probe is a filter that reaches the scan and stops at the first scene."""
+    for window in shrinking_probe(first, last, days):
+        found = filter_dates(scenes, [window], time)
+        if not found.isEmpty():
+            return found
+    return scenes.limit(0)
+
+
+def native_crs_probe(scenes: DataFrame, first: str | None, last: str, aoi: Sequence[Ring] | None = None, days: int = 14) -> DataFrame:
+    """(crs, scenes, share) of a probe, best first: the share is that of the AOI that a system's footprints cover, or
+    without an AOI that of the scenes."""
+    found = probe(scenes, first, last, days).filter("crs is not null")
+    counts = crs_counts(found)
+    if aoi is not None:
+        counts = counts.drop("share").join(union_share(found, aoi, ["crs"]), "crs", "left")
+    return counts.orderBy(F.desc(F.round(F.coalesce("share", F.lit(0.0)), 3)), "crs")
+
+
 def representative_footprints(scenes: DataFrame, area: Column) -> DataFrame:
     """Per system and tile the footprint of largest area."""
     return scenes.withColumn("__a", area).groupBy("crs", "tile").agg(F.max_by("geometry", "__a").alias("geometry"), F.max("__a").alias("area"))

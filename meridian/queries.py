@@ -209,6 +209,14 @@ def native_crs_share(spark, sf):
     return SC.crs_counts(V.scenes(spark, sf).withColumnRenamed("tile", "crs")).withColumn("share", rounded(F.col("share")))
 
 
+@query(f"""WITH {V.SCENES}, c AS (SELECT tile AS crs, count(*) AS scenes FROM sc WHERE datetime >= TIMESTAMP '2001-07-18' AND datetime < TIMESTAMP '2001-09-13' GROUP BY 1)
+    SELECT crs, scenes, {r6('scenes / (SELECT sum(scenes) FROM c)')} AS share FROM c""")
+def native_crs_probe(spark, sf):
+    """The fortnight before 2001-09-12 has no scene; the window four times as long has."""
+    s = V.scenes(spark, sf).withColumnRenamed("tile", "crs")
+    return SC.native_crs_probe(s, "1995-01-01", "2001-09-12").select("crs", "scenes", rounded(F.col("share")).alias("share"))
+
+
 @query(f"WITH {V.SCENES}, c AS (SELECT tile AS crs, count(*) / (SELECT count(*) FROM sc) AS share FROM sc GROUP BY 1) SELECT crs FROM c ORDER BY round(share, 3) DESC, crs <> '1-URGENT', crs LIMIT 1")
 def crs_choice(spark, sf):
     c = SC.crs_counts(V.scenes(spark, sf).withColumnRenamed("tile", "crs"))
@@ -559,10 +567,12 @@ def mosaic_inner_dates(spark, sf):
     return out.join(days, "time", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'common' AS kind, 'nir' AS layer UNION ALL SELECT 'common', 'red' UNION ALL SELECT 'only_some', 'evi' UNION ALL SELECT 'only_some', 'ndvi'")
+@query("""WITH l AS (SELECT DISTINCT l_suppkey % 5 AS cube, 'b' || CAST(l_partkey % 150 AS VARCHAR) AS layer FROM lineitem WHERE l_quantity < 20)
+    SELECT layer, count(*) AS cubes, CASE WHEN count(*) = (SELECT count(DISTINCT cube) FROM l) THEN 'common' ELSE 'only_some' END AS kind FROM l GROUP BY 1""")
 def layer_intersection(spark, sf):
-    got = MO.layer_report({"a": ["red", "nir", "ndvi"], "b": ["nir", "red", "evi"]})
-    return spark.createDataFrame([(k, v) for k, vs in got.items() for v in vs], "kind string, layer string")
+    """Which layers all of five cubes have, and which only some."""
+    rows = V.table(spark, sf, "lineitem").filter("l_quantity < 20").select((F.col("l_suppkey") % 5).alias("cube"), F.concat(F.lit("b"), (F.col("l_partkey") % 150).cast("string")).alias("layer"))
+    return MO.layer_table(rows)
 
 
 # Grid ---------------------------------------------------------------------------------------------------------------
@@ -717,9 +727,18 @@ def pack_int16_roundtrip(spark, sf):
     return packed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), back.alias("within"))
 
 
-@query("SELECT CAST(p AS INT) AS start FROM (VALUES (0), (96), (192), (272)) t(p)")
+@query("""WITH s AS (SELECT DISTINCT p_size * 17 AS size FROM part), p AS (SELECT size, unnest(range(0, 20)) * 96 AS at FROM s)
+    SELECT CAST(size AS INT) AS size, CAST(at AS INT) AS start FROM p WHERE at < size - 128 UNION ALL SELECT CAST(size AS INT), CAST(greatest(size - 128, 0) AS INT) FROM s""")
 def patch_positions(spark, sf):
-    return spark.createDataFrame([(p,) for p in RS.patch_positions(400)], "start int")
+    sizes = V.table(spark, sf, "part").select((F.col("p_size") * 17).cast("int").alias("size")).distinct()
+    return sizes.select("size", F.explode(RS.patch_starts(F.col("size"))).alias("start"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, CAST(pow(10, c_custkey % 14) * (c_custkey % 9 + 1) AS DOUBLE) AS n FROM customer)
+    SELECT id, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < pow(1024, 2) THEN printf('%.1f KB', n / 1024) WHEN n < pow(1024, 3) THEN printf('%.1f MB', n / pow(1024, 2)) WHEN n < pow(1024, 4) THEN printf('%.1f GB', n / pow(1024, 3)) ELSE printf('%.1f TB', n / pow(1024, 4)) END AS size FROM c""")
+def human_sizes(spark, sf):
+    k = F.col("c_custkey")
+    return V.table(spark, sf, "customer").select(k.alias("id"), GR.human_size_column(F.pow(F.lit(10.0), k % 14) * (k % 9 + 1)).alias("size"))
 
 
 def _ground(spark, sf):

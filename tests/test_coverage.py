@@ -108,3 +108,15 @@ def test_rings_of_a_grid_in_degrees(spark):
     (lon, lat), (east, _) = _in_degrees([[(500_000, 5_000_000), (510_000, 5_000_000)]], g)[0]
     assert lon == pytest.approx(9.0, abs=1e-9) and lat == pytest.approx(45.153, abs=1e-2) and 9.12 < east < 9.14
     assert _in_degrees([[(1, 2)]], g) == [[(1, 2)]]
+
+
+def test_probe_widens_until_it_finds_scenes(spark):
+    rows = [(k, d, "EPSG:3263" + str(k % 2)) for k, d in enumerate(("2023-01-01", "2024-01-01", "2024-02-20", "2024-02-21"))]
+    df = spark.createDataFrame(rows, "item_id int, d string, crs string").withColumn("datetime", F.to_timestamp_ntz("d"))
+    ids = lambda *a: sorted(r["item_id"] for r in SC.probe(df, *a).collect())
+    assert ids(None, "2024-02-25") == [2, 3] and ids(None, "2024-03-20") == [2, 3] and ids(None, "2024-06-01") == [1, 2, 3]
+    assert ids("2024-05-01", "2024-06-01") == [] and ids(None, "2030-01-01") == []
+    assert SC.native_crs_probe(df, None, "2030-01-01").count() == 0
+    geo = df.withColumn("geometry", F.array(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in C.box_ring((0, 0, 1, 2))))))
+    got = SC.native_crs_probe(geo, None, "2024-02-25", [C.box_ring((0, 0, 2, 2))]).collect()
+    assert [(r["crs"], r["scenes"], round(r["share"], 6)) for r in got] == [("EPSG:32630", 1, 0.5), ("EPSG:32631", 1, 0.5)]

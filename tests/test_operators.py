@@ -460,3 +460,21 @@ def test_mosaic_of_two_zones(spark):
         assert 64 <= area <= 64 + 81
     with pytest.raises(ValueError, match="error or resample"):
         mosaic.mosaic(pieces, on_grid_mismatch="x")
+
+
+def test_columns_say_what_functions_say(spark):
+    sizes = spark.range(1, 700, 7)
+    assert all(r["s"] == resample.patch_positions(r["id"]) for r in sizes.select("id", resample.patch_starts(F.col("id").cast("int")).alias("s")).collect())
+    assert all(r["u"] == grid.snap_unit("s2", r["id"], ["coastal"]) for r in sizes.select("id", grid.snap_unit_column(F.col("id"), 60.0).alias("u")).collect())
+    bytes_ = spark.createDataFrame([(float(v),) for v in (0, 1, 1023, 1024, 1536, 5e6, 3e9, 7e12, 9e15, -2048)], "n double")
+    assert all(r["t"] == grid.human_size(r["n"]) for r in bytes_.select("n", grid.human_size_column(F.col("n")).alias("t")).collect())
+    for code in ("EPSG:32632", "epsg:32760", "32700", "32761", "4326", "3035", "EPSG:6933", "x", "326011"):
+        got = spark.createDataFrame([(code,)], "c string").select(grid.is_metric_crs(F.col("c"))).first()[0]
+        try:
+            assert bool(grid.validate_crs(code)) == got
+        except ValueError:
+            assert not got
+    rows = spark.createDataFrame([("a", "red"), ("a", "nir"), ("b", "nir"), ("b", "nir"), ("b", "evi")], "cube string, layer string")
+    want = mosaic.layer_report({"a": ["red", "nir"], "b": ["nir", "evi"]})
+    got = {r["layer"]: r["kind"] for r in mosaic.layer_table(rows).collect()}
+    assert {k: sorted(x for x in got if got[x] == k) for k in ("common", "only_some")} == want
