@@ -727,8 +727,8 @@ def pack_int16_roundtrip(spark, sf):
     return packed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), back.alias("within"))
 
 
-@query("""WITH s AS (SELECT DISTINCT p_size * 17 AS size FROM part), p AS (SELECT size, unnest(range(0, 20)) * 96 AS at FROM s)
-    SELECT CAST(size AS INT) AS size, CAST(at AS INT) AS start FROM p WHERE at < size - 128 UNION ALL SELECT CAST(size AS INT), CAST(greatest(size - 128, 0) AS INT) FROM s""")
+@query("""WITH s AS (SELECT DISTINCT p_size * 17 AS size FROM part), p AS (SELECT size, unnest(range(0, 20)) * 96 AS k FROM s)
+    SELECT CAST(size AS INT) AS size, CAST(k AS INT) AS start FROM p WHERE k < size - 128 UNION ALL SELECT CAST(size AS INT), CAST(greatest(size - 128, 0) AS INT) FROM s""")
 def patch_positions(spark, sf):
     sizes = V.table(spark, sf, "part").select((F.col("p_size") * 17).cast("int").alias("size")).distinct()
     return sizes.select("size", F.explode(RS.patch_starts(F.col("size"))).alias("start"))
