@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table of ``materialize`` that nothing will read again."""
     jvm = df.sparkSession._jvm

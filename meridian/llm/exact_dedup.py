@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, scratch_path
+from .common import join_groups, materialize, scratch_path, unused
 
 #: Fixed by the contract: the characters that do not count, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -118,7 +118,8 @@ def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) ->
     several texts loses none of them. Texts are shuffled once: the join also brings repeated rows together."""
     slim = materialize(_digests(docs), "digests")
     groups = _groups(slim, index, batch or uuid.uuid4().hex)
-    row_key = lambda id_, h: [F.coalesce(id_, F.lit(0)).alias("__i"), F.xxhash64(h, id_.isNull()).alias("__h")]
+    i, h = (unused(docs, n) for n in ("__i", "__h"))
+    row_key = lambda id_, text: [F.coalesce(id_, F.lit(0)).alias(i), F.xxhash64(text, id_.isNull()).alias(h)]
     kept = groups.filter("new").select(*row_key(F.col("keep_id"), F.col("keep_h")))
     rows = docs.select("*", *row_key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return rows.join(kept, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "__h"]).select(*docs.columns)
+    return rows.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)

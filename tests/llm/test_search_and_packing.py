@@ -466,3 +466,30 @@ def test_pipeline(spark, sf):
     check_packing(list(after.items()), C.STAGES[-1][1](spark, now, sf).collect())
     ids = {r["doc_id"] for r in C.run(spark, sf).select("doc_id").distinct().collect()}
     assert ids == set(after)
+
+
+def test_pipeline_of_hard_tables(spark, sf, tmp_path):
+    """Null, empty, repeated and very long texts, null ids, and columns whose names the operators use themselves."""
+    import corpus_pipeline as C
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = d.filter("length(text) between 500 and 3000").orderBy("doc_id").select("doc_id", "text", "lang").limit(60).collect()
+    body = " ".join(r["text"] for r in clean if r["lang"] == clean[0]["lang"])
+    rows = [(900_000 + k, t, None, "hard", None) for k, t in enumerate((None, "", " \t\n", body * 6))]
+    rows += [(None, clean[0]["text"], None, None, None), (clean[1]["doc_id"], clean[1]["text"], None, None, None), (clean[2]["doc_id"], clean[3]["text"], None, None, None)]
+    extra = spark.createDataFrame(rows, d.schema)
+    names = ("cls", "rep", "shard", "score", "norm", "component", "kept", "__h")
+    base = str(tmp_path / "in")
+    d.unionByName(extra).withColumns({n: F.lit("x") for n in names}).write.parquet(f"{base}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{base}/labels.parquet")
+    out = C.run(spark, base).collect()
+    plain = {r["doc_id"] for r in C.run(spark, sf).select("doc_id").distinct().collect()}
+    ids = {r["doc_id"] for r in out}
+    assert not ids & {900_000, 900_001, 900_002} and 900_003 in ids  # without a letter there is no language; a long text stays
+    assert ids - {900_003, None} <= plain | {clean[2]["doc_id"]} and len(plain - ids) <= 2
+    pieces = collections.Counter((r["doc_id"], r["start"]) for r in out if r["doc_id"] not in (None, clean[2]["doc_id"]))
+    assert max(pieces.values()) == 1  # a repeated row is packed once
+    empty = str(tmp_path / "none")
+    d.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert C.run(spark, empty).count() == 0
