@@ -286,11 +286,24 @@ def deal(tokenized: DataFrame, rows: int, p: Packing) -> DataFrame:
     count = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     pieces = {k: -(-n // p.shard_docs) for k, n in sorted(count.items())}
     first = dict(zip(pieces, np.cumsum([0, *pieces.values()]).tolist(), strict=False))
-    plan = tokenized.sparkSession.createDataFrame([(k, first[k], n) for k, n in pieces.items()], "leaf int, first int, pieces int")
+    # An Arrow table; a list of rows would start Python workers of another kind, which stay beside those of the stages.
+    ints = [pa.array(x, pa.int32()) for x in (pieces, [first[k] for k in pieces], pieces.values())]
+    plan = tokenized.sparkSession.createDataFrame(pa.table(ints, names=["leaf", "first", "pieces"]))
     shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens", "tail_crc", "copy"), F.col("pieces")).cast("int")
     return placed.join(F.broadcast(plan), "leaf").withColumn("shard", shard)
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids in order, for each id its place among them, and how often each occurs."""
+    if ids.max(initial=0) >= 1 << 20:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    n = np.bincount(ids)
+    terms = np.flatnonzero(n)
+    place = np.zeros(len(n), dtype=np.int64)
+    place[terms] = np.arange(len(terms))
+    return terms, place[ids], n[terms]
+
+
 class InvertedIndex:
     """BM25 postings of one shard, held by term in one array of documents and one of weights. Terms that a sixteenth of
     the documents hold are rows of a matrix instead, as far as ``cells`` go: their postings are added without looking up
@@ -303,14 +316,15 @@ class InvertedIndex:
         tf = np.concatenate([h[1] for h in halves]).astype(np.float64)
         doc = np.repeat(np.arange(len(bags)), size)
         length = np.bincount(doc, weights=tf, minlength=len(bags))
-        terms, inverse, df = np.unique(term, return_inverse=True, return_counts=True)
+        terms, inverse, df = _numbered(term)
         idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
         norm = p.k1 * (1 - p.b + p.b * length / max(length.mean(), 1))
         weight = idf[inverse] * tf * (p.k1 + 1) / (tf + norm[doc])
         self.size = len(bags)
-        by_term = np.argsort(inverse, kind="stable")
+        # 16-bit numbers are sorted by their digits.
+        by_term = np.argsort(inverse.astype(np.uint16) if len(terms) <= 1 << 16 else inverse, kind="stable")
         self.doc, self.weight = doc[by_term].astype(np.int32), weight[by_term].astype(np.float32)
-        self.start = np.concatenate(([0], np.cumsum(df)))
+        self.at = inverse[by_term] * len(bags) + doc[by_term]  # term and document as one number, in order
         common = np.flatnonzero(df * 16 > len(bags))
         common = common[np.argsort(-df[common], kind="stable")][: cells // max(1, len(bags))]
         self.row = np.full(len(terms), -1)
@@ -320,33 +334,42 @@ class InvertedIndex:
         self.rows[self.row[inverse[held]], doc[held]] = weight[held]
         # The query of a document: its terms that another document has too, all of them or those of most weight.
         shared = df[inverse] > 1
-        d, w, t = doc[shared], weight[shared], inverse[shared]
-        order = np.lexsort((t, -w, d))
-        d, t = d[order], t[order]
-        first = np.searchsorted(d, np.arange(len(bags)))
-        keep = np.arange(len(d)) - first[d] < (p.query_terms or len(terms))
-        self.query, self.query_start = t[keep], np.searchsorted(d[keep], np.arange(len(bags) + 1))
-
-    def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that share a query term with the seed, and their scores."""
+        d, t = doc[shared], inverse[shared]
+        if p.query_terms:
+            order = np.lexsort((t, -weight[shared], d))
+            d, t = d[order], t[order]
+            keep = np.arange(len(d)) - np.searchsorted(d, np.arange(len(bags)))[d] < p.query_terms
+            d, t = d[keep], t[keep]
+        self.query, self.query_start = t, np.searchsorted(d, np.arange(len(bags) + 1))
+
+    def neighbours(self, seed: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that share a query term with the seed, and their scores; of those numbered under ``below`` only, if
+        it is given. Postings of the others are not read."""
+        below = self.size if below is None else below
         query = self.query[self.query_start[seed] : self.query_start[seed + 1]]
         row = self.row[query]
-        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
-        at = [slice(self.start[t], self.start[t + 1]) for t in query[row < 0].tolist()]
+        score = self.rows[row[row >= 0], :below].sum(axis=0, dtype=np.float64)
+        rare = query[row < 0] * self.size
+        at = [slice(a, b) for a, b in zip(np.searchsorted(self.at, rare).tolist(), np.searchsorted(self.at, rare + below).tolist(), strict=True) if a < b]
         if at:
-            score += np.bincount(np.concatenate([self.doc[a] for a in at]), weights=np.concatenate([self.weight[a] for a in at]), minlength=self.size)
+            score += np.bincount(np.concatenate([self.doc[a] for a in at]), weights=np.concatenate([self.weight[a] for a in at]), minlength=below)
         found = np.flatnonzero(score)
         return found, score[found]
 
 
 def pack_shard(tails: np.ndarray, index: InvertedIndex, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each tail (none for tails of length 0), sequences of at most ``window`` tokens."""
+    """Sequence number and offset of each tail (none for tails of length 0), sequences of at most ``window`` tokens.
+    A seed's neighbours are looked for among the tails up to the last that fits beside it: where tails come in order
+    of length, those are just the ones that fit."""
     seq, offset = np.full(len(tails), -1, dtype=np.int64), np.zeros(len(tails), dtype=np.int64)
     by_length: list[list[int]] = [[] for _ in range(window + 1)]
     for k in np.argsort(tails, kind="stable")[::-1].tolist():
         if tails[k]:
             by_length[tails[k]].append(k)
     free = tails > 0
+    reach = np.zeros(window + 1, dtype=np.int64)  # for each length, the number after the last tail of that length at most
+    np.maximum.at(reach, tails, np.arange(1, len(tails) + 1))
+    reach = np.maximum.accumulate(reach)
     present = sum(1 << n for n in range(1, window + 1) if by_length[n])  # bit n: some tail of length n may be left
 
     def longest(most: int) -> int:
@@ -372,7 +395,7 @@ def pack_shard(tails: np.ndarray, index: InvertedIndex, window: int) -> tuple[np
 
         put(k)
         if used < window:
-            found, score = index.neighbours(k)
+            found, score = index.neighbours(k, int(reach[window - used]))
             fits = free[found] & (tails[found] <= window - used)
             found, score = found[fits], score[fits]
             for j in found[np.lexsort((found, -score))].tolist():
@@ -405,6 +428,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal taken
+            held.sort(key=lambda row: row[3])
             ids, tokens, full, tail, crc, bags = zip(*held, strict=True)
             tails = np.array(tail, dtype=np.int64)
             seq, offset = pack_shard(tails, InvertedIndex(list(bags), p), p.window)

@@ -262,6 +262,39 @@ def test_neighbours_equal_bm25(cells):
         assert found.tolist() == sorted(want) and np.allclose(score, [want[k] for k in sorted(want)], rtol=1e-5)
 
 
+@pytest.mark.parametrize("cells", [0, 200, 10**6])
+def test_neighbours_below_a_number_are_those_of_all(cells):
+    rng = np.random.default_rng(3)
+    bags = [np.array([*sorted(c), *(c[k] for k in sorted(c))], "<u4").tobytes() for c in (collections.Counter(rng.zipf(1.3, 40).clip(max=300).tolist()) for _ in range(60))]
+    index = packing.InvertedIndex(bags, packing.Packing("", "", ""), cells)
+    for seed, below in [(0, 0), (3, 1), (7, 30), (59, 60)]:
+        (found, score), (some, part) = index.neighbours(seed), index.neighbours(seed, below)
+        assert some.tolist() == found[found < below].tolist() and part.tolist() == score[found < below].tolist()
+
+
+def test_shards_read_only_tails_that_fit():
+    rng = np.random.default_rng(4)
+    bags = [np.array([*sorted(c), *(c[k] for k in sorted(c))], "<u4").tobytes() for c in (collections.Counter(rng.zipf(1.3, 40).clip(max=300).tolist()) for _ in range(200))]
+    tails = np.sort(rng.integers(0, 1025, 200))
+    index, asked = packing.InvertedIndex(bags, packing.Packing("", "", "")), []
+
+    class Whole:
+        def neighbours(self, seed, below):
+            asked.append((tails[seed], below))
+            return index.neighbours(seed)
+
+    whole, bounded = packing.pack_shard(tails, Whole(), 1024), packing.pack_shard(tails, index, 1024)
+    assert all((x == y).all() for x, y in zip(whole, bounded, strict=True))
+    assert asked and all(below == (tails <= 1024 - n).sum() for n, below in asked)
+
+
+def test_dealing_starts_no_other_python_workers(spark, monkeypatch):
+    p = packing.Packing.public(shard_docs=100)
+    tokens = packing.tokenize(docs(spark, [(k, f"word{k} other{k % 7} text") for k in range(300)]), p)
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **b: pytest.fail("rows through RDD workers"))
+    assert packing.deal(tokens, 300, p).count() == 300
+
+
 def test_like_documents_share_a_shard(spark):
     rng = np.random.default_rng(8)
     words = [[f"{chr(97 + t)}{w}x" for w in range(40)] for t in range(16)]
